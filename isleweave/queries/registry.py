@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import proximity
+from . import proximity, units
 
-MODULES = (proximity,)
+MODULES = (proximity, units)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
