@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import proximity, units
+from . import instants, proximity, units
 
-MODULES = (proximity, units)
+MODULES = (proximity, units, instants)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
