@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Zone abbreviations and the offsets, in minutes, that each may mean.
@@ -160,5 +160,8 @@ def normalise_instants(values: DataFrame, feeds: DataFrame) -> DataFrame:
     zones = feeds.where(F.col("source").isNotNull()).groupBy("source").agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order"))
     read = once.join(zones, "source", "left").withColumn("r", interpretations(F.col("value"), F.col("home_zone"), F.col("date_order"))).where(F.size("r") > 0)
     flat = read.select("field_name", "id", F.coalesce("source", F.lit("")).alias("source"), "value", "loaded_s", F.col("r.utc_s").alias("utc"), F.col("r.form").alias("form"), F.col("r.cost").alias("cost"), F.floor(F.col("loaded_s") / CHAIN_S).alias("chain"))
-    chosen = flat.groupBy("field_name", "source", "chain").applyInPandas(_chain, "field_name string, id string, value string, utc_s bigint")
-    return chosen.distinct()
+    keys = ["field_name", "source", "chain"]
+    flagged = flat.withColumn("search", F.max(F.size("utc") > 1).over(Window.partitionBy(*keys)))
+    plain = flagged.where(~F.col("search")).select("field_name", "id", "value", F.col("utc")[0].alias("utc_s"))
+    chosen = flagged.where(F.col("search")).drop("search").groupBy(*keys).applyInPandas(_chain, "field_name string, id string, value string, utc_s bigint")
+    return plain.unionByName(chosen).distinct()

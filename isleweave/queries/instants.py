@@ -23,7 +23,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_normal(spark: SparkSession, folder: str) -> DataFrame:
     """``field_name, id, value, utc``: every value that denotes an instant, with its one normal form."""
-    utc = F.format_string("%sT%02d:%02d:%02dZ", F.date_from_unix_date(F.floor(F.col("utc_s") / 86400).cast("int")), F.pmod(F.floor(F.col("utc_s") / 3600), F.lit(24)), F.pmod(F.floor(F.col("utc_s") / 60), F.lit(60)), F.pmod("utc_s", F.lit(60)))
+    utc = F.format_string("%sT%02d:%02d:%02dZ", F.date_from_unix_date(F.floor(F.col("utc_s") / 86400).cast("int")).cast("string"), F.pmod(F.floor(F.col("utc_s") / 3600), F.lit(24)), F.pmod(F.floor(F.col("utc_s") / 60), F.lit(60)), F.pmod("utc_s", F.lit(60)))
     return _instants(spark, folder).select("field_name", "id", "value", utc.alias("utc"))
 
 
