@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..plans.skew import salted_join
+from ..plans.skew import join_small, salted_join
 
 #: Signs and short forms that no currency list spells out, and the code each stands for.
 SIGNS = [("€", "EUR"), ("£", "GBP"), ("₹", "INR"), ("$", "USD"), ("us$", "USD"), ("a$", "AUD"), ("au$", "AUD"), ("rs", "LKR"), ("slrs", "LKR"), ("රු", "LKR"), ("indian rs", "INR")]
-#: A dictionary of more spellings than this is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 100_000
 #: Greatest weighted edit distance, as a share of the longer spelling.
 LIMIT = 0.3
 TOLERANCE = 0.03
@@ -94,10 +92,7 @@ def with_unit(rows: DataFrame, dictionary: DataFrame, spelling: str, out: str) -
     A spelling may be shared by most rows, so the dictionary is broadcast after its size is checked; a larger one is
     joined with salted keys.
     """
-    named = dictionary.select(F.col("spelling").alias(spelling), F.col("unit").alias(out))
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(named), spelling, "left")
-    return salted_join(rows, named, [spelling], how="left")
+    return join_small(rows, dictionary.select(F.col("spelling").alias(spelling), F.col("unit").alias(out)), [spelling], "left")
 
 
 def currency_mention(text: Column) -> Column:

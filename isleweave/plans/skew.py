@@ -33,3 +33,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     a = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(spread)).drop("__salts")
     b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
+
+
+#: A table of more rows than this is never broadcast by name.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table expected to be small, one key of which may be held by most ``rows``.
+
+    ``small`` is broadcast only after its size is checked; beyond ``BROADCAST_ROWS`` the join shuffles with salted
+    keys.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, how)
+    return salted_join(rows, small, keys, how=how)
