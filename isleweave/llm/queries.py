@@ -10,6 +10,33 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .mixing import mixed, reached_shares
 from .tokenise import encode_documents, token_count
+from .truncation import confirmed, cut_texts
+
+
+def _cut_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All values of the three fields, and those that are cut."""
+    hotel, news, event = (table(spark, folder, t) for t in ("hotel", "news_signal", "graph_event"))
+    field = lambda d, t, c: d.select(F.lit(f"{t}.{c}").alias("field_name"), "id", "source", F.col(c).alias("value"))
+    values = field(hotel, "hotel", "description").unionByName(field(news, "news_signal", "summary")).unionByName(field(event, "graph_event", "title"))
+    title = F.lit("graph_event.title").alias("field_name")
+    found = cut_texts(values, news.select(title, F.col("title").alias("value")))
+    links = event.where(F.col("news_url").isNotNull()).select("id", F.col("news_url").alias("url")).distinct()
+    whole = links.join(news.select("url", F.col("title").alias("whole")).distinct(), "url").select(title, "id", "whole")
+    return values, confirmed(found, whole)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``field_name, id``: every value whose end is missing."""
+    return _cut_values(spark, folder)[1].where(F.col("id").isNotNull()).select("field_name", "id").distinct()
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts each field: distinct values, cut ones, and the share."""
+    values, found = _cut_values(spark, folder)
+    every = values.where(F.col("value").isNotNull() & (F.trim("value") != "")).select("field_name", "source", "id", "value").distinct().groupBy("field_name", "source").agg(F.count(F.lit(1)).alias("texts"))
+    cut = found.groupBy("field_name", "source").agg(F.count(F.lit(1)).alias("cut"))
+    both = every.join(cut, (every["field_name"] == cut["field_name"]) & every["source"].eqNullSafe(cut["source"]), "left").select(every["field_name"], every["source"], "texts", F.coalesce("cut", F.lit(0)).alias("cut"))
+    return both.withColumn("share", F.col("cut") / F.col("texts"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +60,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "source_mix"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
 
 
