@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .mixing import mixed, reached_shares
+from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
 from .tokenise import encode_documents, token_count
 from .truncation import confirmed, cut_texts
 
@@ -39,6 +40,30 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return both.withColumn("share", F.col("cut") / F.col("texts"))
 
 
+SIMILAR, LEAST_TOKENS = 0.7, 12
+
+
+def _news_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "news_signal").select("id", distinct_tokens(F.col("title"), F.col("summary")).alias("words"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``id_a, id_b``: every pair of news records whose token sets are at least 0.7 alike."""
+    _, members, pairs = near_duplicates(_news_tokens(spark, folder), SIMILAR, LEAST_TOKENS)
+    return expanded_pairs(members, pairs)
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, class_id, group_id, links``: of each record the least id of its class of equal texts, the least id of its group, and how many other classes it is linked to."""
+    classes, members, pairs = near_duplicates(_news_tokens(spark, folder), SIMILAR, LEAST_TOKENS)
+    roots = components(classes, pairs)
+    links = pairs.select(F.explode(F.array("rec_a", "rec_b")).alias("rec")).groupBy("rec").agg(F.count(F.lit(1)).alias("links"))
+    firsts = members.groupBy("rec").agg(F.min("id").alias("class_id"))
+    of = roots.join(firsts, "rec").join(links, "rec", "left")
+    groups = of.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return members.join(of.join(groups, "root"), "rec").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, ids`` of every document by the public 50k byte-level vocabulary."""
     return encode_documents(table(spark, folder, "documents"))
@@ -60,7 +85,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "source_mix"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
 
 
