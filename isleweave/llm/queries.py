@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .addresses import mined, parsed, same_house
 from .mixing import mixed, reached_shares
 from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
 from .tokenise import encode_documents, token_count
@@ -64,6 +65,20 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(of.join(groups, "root"), "rec").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _houses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mined(parsed(table(spark, folder, "hotel"), table(spark, folder, "city")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``id_a, id_b``: every pair of hotel records whose addresses denote the same house."""
+    return same_house(_houses(spark, folder)[0])
+
+
+def p7_rewrites(spark: SparkSession, folder: str) -> DataFrame:
+    """``round, word, better``: the rewrites that were mined."""
+    return _houses(spark, folder)[1]
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, ids`` of every document by the public 50k byte-level vocabulary."""
     return encode_documents(table(spark, folder, "documents"))
@@ -85,7 +100,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "source_mix"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
 
 
