@@ -17,7 +17,7 @@ def known(lat: Column, lng: Column) -> Column:
 def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Haversine distance on a sphere of radius 6371 km; null where any coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    a = F.least(a, F.lit(1.0))
+    a = F.when(a > 1, 1.0).otherwise(a)  # least() would hide a null
     return 2 * EARTH_KM * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
