@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .addresses import mined, parsed, same_house
+from .entity_matching import matches
 from .mixing import mixed, reached_shares
 from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
 from .tokenise import encode_documents, token_count
@@ -65,6 +66,16 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(of.join(groups, "root"), "rec").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """``id_a, id_b, confidence, direct``: hotel records of different sources that describe one hotel."""
+    return matches(table(spark, folder, "hotel"), _houses(spark, folder)[0])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``id_a, id_b``: the pairs of ``p5_matches``."""
+    return p5_matches(spark, folder).select("id_a", "id_b").distinct()
+
+
 def _houses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mined(parsed(table(spark, folder, "hotel"), table(spark, folder, "city")))
 
@@ -100,7 +111,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "source_mix"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
 
 
