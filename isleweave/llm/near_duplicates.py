@@ -24,7 +24,7 @@ from ..plans.skew import salted_join
 #: Ratio between the ends of a band of sizes, and segments of a band over the least number that suffices.
 BAND, SLACK = 1.3, 1.4
 #: Buckets are counted in so many counters (a table of at most 2 * COUNTERS integers, whatever the corpus). Collisions make the choice of segments worse, never the result.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 17
 #: A bucket is split for each so many records in its counter.
 SPLIT = 50_000
 
@@ -209,7 +209,7 @@ def similar_classes(classes: DataFrame, threshold: float, least: int) -> DataFra
     """``rec_a, rec_b, similarity`` of all pairs of different classes at least ``threshold`` alike."""
     spark = classes.sparkSession
     plan = Plan(threshold, least)
-    shared = spark.sparkContext.broadcast(_bucket_counts(classes, plan).astype(np.int32))  # 8 MB, fixed
+    shared = spark.sparkContext.broadcast(_bucket_counts(classes, plan).astype(np.int32))  # 1 MB, fixed
     index, probes = _rows(classes, plan, shared, False).alias("s"), _rows(classes, plan, shared, True).alias("r")
     ratio = (1 - threshold) / (1 + threshold)
     col = F.col
