@@ -201,7 +201,7 @@ def token_classes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.where(F.col("id").isNotNull() & (F.size("words") >= least)).select("id", "words").withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)).select("id", "set", "words")
     sets = rows.groupBy("set").agg(F.first("words").alias("words"))  # equal for all rows of a set
     sets = cut(sets.select("set", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").alias("n")).withColumn("rec", F.monotonically_increasing_id()))
-    members = salted_join(rows.select("id", "set").distinct(), sets.select("set", "rec"), ["set"]).select("id", "rec")
+    members = cut(salted_join(rows.select("id", "set").distinct(), sets.select("set", "rec"), ["set"]).select("id", "rec"))
     return sets.drop("set"), members
 
 
@@ -221,7 +221,7 @@ def similar_classes(classes: DataFrame, threshold: float, least: int) -> DataFra
     pairs = found.join(words.toDF("rec_r", "words_r", "n_r"), "rec_r").join(words.toDF("rec_s", "words_s", "n_s"), "rec_s")
     both = F.size(F.array_intersect("words_r", "words_s"))
     pairs = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("n_r") + F.col("n_s") - F.col("both")))
-    return pairs.where(F.col("both") >= threshold * (F.col("n_r") + F.col("n_s") - F.col("both")) - 1e-9).select(F.least("rec_r", "rec_s").alias("rec_a"), F.greatest("rec_r", "rec_s").alias("rec_b"), "similarity")
+    return cut(pairs.where(F.col("both") >= threshold * (F.col("n_r") + F.col("n_s") - F.col("both")) - 1e-9).select(F.least("rec_r", "rec_s").alias("rec_a"), F.greatest("rec_r", "rec_s").alias("rec_b"), "similarity"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
