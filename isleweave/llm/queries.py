@@ -12,6 +12,7 @@ from .addresses import mined, parsed, same_house
 from .entity_matching import matches
 from .mixing import mixed, reached_shares
 from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
+from .personal import personal_spans, redacted
 from .tokenise import encode_documents, token_count
 from .truncation import confirmed, cut_texts
 
@@ -111,7 +112,17 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "source_mix"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, kind, found_text``: every piece of personal information as it stands in the text."""
+    return personal_spans(table(spark, folder, "documents")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, text`` with every piece replaced by its placeholder."""
+    return redacted("text", table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {}
 
 
