@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import instants, proximity, units
+from . import graph, instants, proximity, ranking, texts, units
 
-MODULES = (proximity, units, instants)
+MODULES = (proximity, units, instants, graph, texts, ranking)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return proximity.p1_found(spark, folder)
+    return ranking.weighted_retrieve(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
