@@ -27,13 +27,22 @@ ORDER_COST, ZONE_COST, SWITCH_COST, BACK_COST, EARLY_COST = 60.0, 6.0, 0.2, 0.5,
 SKEW_S = 60
 
 
-def _part(text: Column, shape: str, group: int) -> Column:
-    found = F.regexp_extract(text, shape, group)
-    return F.when(found != "", found)
+SPLIT = "\x01"
+OFFSET = r"(?: ?(Z|[A-Z]{2,4}|[+-]\d{2}:?(?:\d{2})?))?$"
+HALF = r"(?: ?([aApP])\.?[mM]\.?)?"
+#: The known forms: shape, and which group is year, month, day, hour, minute, second, half of the day, offset.
+FORMS = {
+    "iso": (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?" + OFFSET, [1, 2, 3, 4, 5, 6, None, 7]),
+    "basic": (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?" + OFFSET, [1, 2, 3, 4, 5, 6, None, 7]),
+    "words": (r"^(?:[A-Za-z]{3,9},? )?(\d{1,2}) ([A-Za-z]{3})[a-z]*\.?,? (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?" + HALF + OFFSET, [3, 2, 1, 4, 5, 6, 7, 8]),
+    "american": (r"^(?:[A-Za-z]{4,9},? )?([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?" + HALF + OFFSET, [3, 1, 2, 4, 5, 6, 7, 8]),
+    "numeric": (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?" + HALF + OFFSET, [3, 2, 1, 4, 5, 6, 7, 8]),
+}
+READINGS = "array<struct<utc_s:bigint,form:string,cost:double>>"
 
 
-def interpretations(text: Column, home_zone: Column, date_order: Column) -> Column:
-    """All valid readings of ``text``: array of struct ``utc_s, form, cost``, empty where it denotes no instant.
+def with_readings(rows: DataFrame, value: str, home_zone: str, date_order: str) -> DataFrame:
+    """``rows`` with ``readings``: all valid interpretations of ``value`` (struct ``utc_s, form, cost``), empty where it denotes no instant.
 
     Known forms: ISO 8601 dates with a time (basic or extended, blank or T, any fraction, Z, offset or none), RFC 822
     (weekday optional, offset or abbreviation), ``9 December 2024, 10:06 pm``, all-number dates with / . or -, and Unix
@@ -41,58 +50,63 @@ def interpretations(text: Column, home_zone: Column, date_order: Column) -> Colu
     ``home_zone`` (UTC where null); one that a clock change makes happen twice has both readings, one that is skipped
     is read with the offset before the change. ``date_order`` (``dmy`` or ``mdy``) makes the other reading of an
     all-number date expensive, not impossible.
+
+    Every step is a projection of its own, so that a value is matched once and its parts are taken once.
     """
-    t = F.regexp_replace(F.trim(text), r"\s+", " ")
-    zone = F.coalesce(home_zone, F.lit("UTC"))
-    offset = r"(?: ?(Z|[A-Z]{2,4}|[+-]\d{2}:?(?:\d{2})?))?$"
-    iso = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?" + offset
-    basic = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?" + offset
-    words = r"^(?:[A-Za-z]{3,9},? )?(\d{1,2}) ([A-Za-z]{3})[a-z]*\.?,? (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([aApP])\.?[mM]\.?)?" + offset
-    american = r"^(?:[A-Za-z]{4,9},? )?([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([aApP])\.?[mM]\.?)?" + offset
-    numeric = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([aApP])\.?[mM]\.?)?" + offset
+    keep, col = rows.columns, F.col
+    t = F.trim(F.regexp_replace(value, r"\s+", " "))
+    out = rows.select(*keep, t.alias("__t"), F.coalesce(home_zone, F.lit("UTC")).alias("__zone"), F.coalesce(date_order, F.lit("dmy")).alias("__order"))
+    form = F.when(col("__t").rlike(r"^\d{9,10}$|^\d{13}$|^\d{16}$"), "unix")
+    for name, (shape, _) in FORMS.items():
+        form = form.when(col("__t").rlike(shape), name)
+    out = out.withColumn("__form", form)
+    parts = None
+    for name, (shape, groups) in FORMS.items():
+        order = SPLIT.join("" if g is None else f"${g}" for g in groups)
+        one = F.split(F.regexp_replace("__t", shape, order), SPLIT)
+        parts = F.when(col("__form") == name, one) if parts is None else parts.when(col("__form") == name, one)
+    out = out.withColumn("__p", parts)
+    at = lambda k: F.get("__p", F.lit(k))
     number = lambda c: c.try_cast("int")
     month = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
+    named = col("__form").isin("words", "american")
+    hour = number(at(3))
+    out = out.select(
+        *keep, "__t", "__zone", "__order", "__form", number(at(0)).alias("__y"), F.when(named, F.try_element_at(month, F.lower(at(1)))).otherwise(number(at(1))).alias("__m"), number(at(2)).alias("__d"),
+        F.when(at(6) == "", hour).when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(F.lower(at(6)) == "p", 12).otherwise(0)).alias("__h"), number(at(4)).alias("__mi"),
+        F.least(F.coalesce(number(at(5)), F.lit(0)), F.lit(59)).alias("__s"), F.when(at(7) != "", at(7)).alias("__off"),  # a leap second is read as the second before
+    )
+    stamp = lambda m, d, zone: F.unix_seconds(F.try_make_timestamp("__y", m, d, "__h", "__mi", "__s", zone))
+    swapped = (col("__form") == "numeric") & (col("__m") != col("__d"))
+    zoneless = col("__off").isNull()
+    both = lambda m, d: F.struct(stamp(col(m), col(d), F.lit("UTC")).alias("u"), F.when(zoneless, stamp(col(m), col(d), col("__zone"))).alias("h"))
+    digits = F.regexp_replace("__off", r"[^0-9]", "")
+    minutes = F.when(col("__off").rlike("^[+-]"), (number(F.substring(digits, 1, 2)) * 60 + F.coalesce(number(F.substring(digits, 3, 2)), F.lit(0))) * F.when(F.startswith("__off", F.lit("-")), -1).otherwise(1))
     abbreviations = F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    nothing = F.array().cast("array<struct<utc_s:bigint,form:string,cost:double>>")
-
-    def hour(h: Column, half: Column) -> Column:
-        h = number(h)
-        pm = F.lower(half) == "p"
-        return F.when(half.isNull(), h).when(h.between(1, 12), F.pmod(h, F.lit(12)) + F.when(pm, 12).otherwise(0))
-
-    def read(form: str, y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, off: Column, cost: Column) -> Column:
-        s = F.least(F.coalesce(number(s), F.lit(0)), F.lit(59))  # a leap second is read as the second before
-        as_utc = F.unix_seconds(F.try_make_timestamp(number(y), mo, number(d), h, number(mi), s, F.lit("UTC")))
-        at_home = F.unix_seconds(F.try_make_timestamp(number(y), mo, number(d), h, number(mi), s, zone))
-        wall = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), zone))
-        one = lambda u, c: F.struct(u.cast("bigint").alias("utc_s"), F.lit(form).alias("form"), c.cast("double").alias("cost"))
-        again = [F.when(wall(at_home + k) == as_utc, one(at_home + k, cost)) for k in (3600, 1800)]
-        zoneless = F.filter(F.array(one(at_home, cost), *again), lambda x: x.isNotNull())
-        digits = F.regexp_replace(off, r"[^0-9]", "")
-        minutes = F.when(off.rlike("^[+-]"), (number(F.substring(digits, 1, 2)) * 60 + F.coalesce(number(F.substring(digits, 3, 2)), F.lit(0))) * F.when(off.startswith("-"), -1).otherwise(1))
-        meant = F.transform(F.coalesce(F.try_element_at(abbreviations, off), F.array().cast("array<int>")), lambda m: one(as_utc - m * 60, cost + F.when(wall(as_utc - m * 60) == as_utc, 0).otherwise(F.when(F.size(F.try_element_at(abbreviations, off)) > 1, ZONE_COST).otherwise(0))))
-        zoned = F.when(minutes.isNotNull(), F.array(one(as_utc - minutes * 60, cost))).otherwise(meant)
-        return F.when(as_utc.isNull(), nothing).when(off.isNull(), zoneless).otherwise(zoned)
-
-    zero = F.lit(0.0)
-    p = lambda shape, g: _part(t, shape, g)
-    from_iso = lambda shape, form: read(form, p(shape, 1), number(p(shape, 2)), p(shape, 3), number(p(shape, 4)), p(shape, 5), p(shape, 6), p(shape, 7), zero)
-    in_words = read("words", p(words, 3), F.try_element_at(month, F.lower(p(words, 2))), p(words, 1), hour(p(words, 4), p(words, 7)), p(words, 5), p(words, 6), p(words, 8), zero)
-    in_american = read("american", p(american, 3), F.try_element_at(month, F.lower(p(american, 1))), p(american, 2), hour(p(american, 4), p(american, 7)), p(american, 5), p(american, 6), p(american, 8), zero)
-    numeric_as = lambda day, mon, order: read(order, p(numeric, 3), number(p(numeric, mon)), p(numeric, day), hour(p(numeric, 4), p(numeric, 7)), p(numeric, 5), p(numeric, 6), p(numeric, 8), F.when(F.coalesce(date_order, F.lit("dmy")) == order, 0.0).otherwise(ORDER_COST))
-    dmy, mdy = numeric_as(1, 2, "dmy"), numeric_as(2, 1, "mdy")
-    unix = t.try_cast("bigint")
-    seconds = F.when(F.length(t) <= 10, unix).when(F.length(t) == 13, F.floor(unix / 1000)).when(F.length(t) == 16, F.floor(unix / 1_000_000)).cast("bigint")
-    in_unix = F.when(seconds.isNotNull(), F.array(F.struct(seconds.alias("utc_s"), F.lit("unix").alias("form"), zero.alias("cost")))).otherwise(nothing)
-    return (
-        F.when(t.rlike(r"^\d{9,10}$|^\d{13}$|^\d{16}$"), in_unix)
-        .when(t.rlike(iso), from_iso(iso, "iso"))
-        .when(t.rlike(basic), from_iso(basic, "basic"))
-        .when(t.rlike(words), in_words)
-        .when(t.rlike(american), in_american)
-        .when(t.rlike(numeric), F.when(p(numeric, 1) == p(numeric, 2), dmy).otherwise(F.concat(dmy, mdy)))
-        .otherwise(nothing)
-    )
+    unix = col("__t").try_cast("bigint")
+    seconds = F.when(col("__form") == "unix", F.when(F.length("__t") <= 10, unix).when(F.length("__t") == 13, F.floor(unix / 1000)).otherwise(F.floor(unix / 1_000_000)).cast("bigint"))
+    out = out.select(
+        *keep, "__zone", "__form", "__order", F.when(col("__y").isNotNull(), both("__m", "__d")).alias("__a"), F.when(swapped, both("__d", "__m")).alias("__b"), minutes.alias("__minutes"),
+        F.when(minutes.isNull() & ~zoneless, F.coalesce(F.try_element_at(abbreviations, "__off"), F.array().cast("array<int>"))).alias("__meant"), seconds.alias("__seconds"),
+    )
+    wall = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), col("__zone")))
+    nothing = F.array().cast(READINGS)
+
+    def read(pair: str, form: Column, cost: Column) -> Column:
+        u, h = col(f"{pair}.u"), col(f"{pair}.h")
+        one = lambda x, c: F.struct(x.cast("bigint").alias("utc_s"), form.alias("form"), c.cast("double").alias("cost"))
+        again = F.filter(F.array(F.lit(3600), F.lit(1800)), lambda k: wall(h + k) == u)
+        at_home = F.concat(F.array(one(h, cost)), F.transform(again, lambda k: one(h + k, cost)))
+        several = F.size("__meant") > 1
+        zoned = F.transform("__meant", lambda m: one(u - m * 60, cost + F.when(several & (wall(u - m * 60) != u), ZONE_COST).otherwise(0.0)))
+        return F.when(u.isNull(), nothing).when(col("__minutes").isNotNull(), F.array(one(u - col("__minutes") * 60, cost))).when(col("__meant").isNotNull(), zoned).otherwise(at_home)
+
+    order_cost = lambda order: F.when((col("__form") == "numeric") & (col("__order") != order), ORDER_COST).otherwise(0.0)
+    name = F.when(col("__form") == "numeric", "dmy").otherwise(col("__form"))
+    first = F.when(col("__a").isNull(), nothing).otherwise(read("__a", name, order_cost("dmy")))
+    second = F.when(col("__b").isNull(), nothing).otherwise(read("__b", F.lit("mdy"), order_cost("mdy")))
+    in_unix = F.array(F.struct(col("__seconds").alias("utc_s"), F.lit("unix").alias("form"), F.lit(0.0).alias("cost")))
+    return out.select(*keep, F.when(col("__form").isNull(), nothing).when(col("__form") == "unix", in_unix).otherwise(F.concat(first, second)).alias("readings"))
 
 
 def _choose(readings: list[np.ndarray], forms: list[list[str]], costs: list[np.ndarray], loaded: np.ndarray) -> list[int]:
@@ -158,10 +172,10 @@ def normalise_instants(values: DataFrame, feeds: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.min(F.unix_seconds(F.col("loaded_at").cast("timestamp"))), F.lit(0)).alias("loaded_s"))
     )
     zones = feeds.where(F.col("source").isNotNull()).groupBy("source").agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order"))
-    read = once.join(zones, "source", "left").withColumn("r", interpretations(F.col("value"), F.col("home_zone"), F.col("date_order"))).where(F.size("r") > 0)
-    flat = read.select("field_name", "id", F.coalesce("source", F.lit("")).alias("source"), "value", "loaded_s", F.col("r.utc_s").alias("utc"), F.col("r.form").alias("form"), F.col("r.cost").alias("cost"), F.floor(F.col("loaded_s") / CHAIN_S).alias("chain"))
+    read = with_readings(once.join(zones, "source", "left"), "value", "home_zone", "date_order")
+    flat = read.select("field_name", "id", F.coalesce("source", F.lit("")).alias("source"), "value", "loaded_s", F.col("readings.utc_s").alias("utc"), F.col("readings.form").alias("form"), F.col("readings.cost").alias("cost"), F.floor(F.col("loaded_s") / CHAIN_S).alias("chain"))
     keys = ["field_name", "source", "chain"]
     flagged = flat.withColumn("search", F.max(F.size("utc") > 1).over(Window.partitionBy(*keys)))
-    plain = flagged.where(~F.col("search")).select("field_name", "id", "value", F.col("utc")[0].alias("utc_s"))
-    chosen = flagged.where(F.col("search")).drop("search").groupBy(*keys).applyInPandas(_chain, "field_name string, id string, value string, utc_s bigint")
+    plain = flagged.where(~F.col("search") & (F.size("utc") > 0)).select("field_name", "id", "value", F.col("utc")[0].alias("utc_s"))
+    chosen = flagged.where(F.col("search") & (F.size("utc") > 0)).drop("search").groupBy(*keys).applyInPandas(_chain, "field_name string, id string, value string, utc_s bigint")
     return plain.unionByName(chosen).distinct()
