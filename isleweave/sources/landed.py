@@ -37,7 +37,7 @@ def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """One row per hotel and room offer: ``hotel_id, room_id, name, price, board, refundable``; unpriced offers are dropped."""
     raw = spark.read.schema(RATES).json(path, multiLine=True)
     rooms = raw.select(F.explode("data").alias("d")).select(F.col("d.hotelId").alias("hotel_id"), F.posexplode("d.roomTypes").alias("at", "r"))
-    price = F.coalesce(F.get("r.offerRetailRate", F.lit(0))["amount"], F.get(F.get("r.rates", F.lit(0))["retailRate"]["total"], F.lit(0))["amount"])
+    price = F.coalesce(F.nullif(F.get("r.offerRetailRate", F.lit(0))["amount"], F.lit(0.0)), F.get(F.get("r.rates", F.lit(0))["retailRate"]["total"], F.lit(0))["amount"])
     first = F.get("r.rates", F.lit(0))
     return rooms.select(
         "hotel_id", F.concat_ws(":", "hotel_id", F.coalesce("r.roomTypeId", "r.name")).alias("room_id"), F.coalesce(first["name"], F.col("r.name")).alias("name"), price.alias("price"),
