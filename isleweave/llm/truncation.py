@@ -127,8 +127,9 @@ def cut_texts(values: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     by_field = by_source.groupBy("field_name").agg((F.sum("done") / F.sum("n")).alias("share"))
     base = by_source.join(F.broadcast(by_field), "field_name").select("field_name", "key", ((F.col("done") + PRIOR * F.col("share")) / (F.col("n") + PRIOR)).alias("base"), "share")  # one row per field
     longest = rows.groupBy("field_name").agg(F.max("size").alias("most"))
-    near = rows.join(F.broadcast(longest), "field_name").groupBy("field_name", "most").agg(F.sum((F.col("size") == F.col("most")).cast("int")).alias("at"), F.sum(F.col("size").between(F.col("most") - 10, F.col("most") - 1).cast("int")).alias("below"))
-    limits = near.where(F.col("at") >= F.greatest(F.lit(3), F.col("below"))).select("field_name", "most")
+    near = rows.join(F.broadcast(longest), "field_name").groupBy("field_name", "most").agg(F.sum((F.col("size") == F.col("most")).cast("int")).alias("at"), F.sum(F.col("size").between(F.col("most") - 10, F.col("most") - 1).cast("int")).alias("below"), F.count(F.lit(1)).alias("n"))
+    # a few values heap up at a limit; where most are of one length, that is just their length
+    limits = near.where((F.col("at") >= F.greatest(F.lit(3), F.col("below"))) & (F.col("at") * 3 < F.col("n"))).select("field_name", "most")
     rows = join_small(rows.withColumn("key", F.coalesce("source", F.lit(""))), base, ["field_name", "key"], "left").join(F.broadcast(limits), "field_name", "left")
     sentences = F.col("base") >= BASELINE
     titles = rows.where(F.col("share") < BASELINE).select("field_name", "value")
