@@ -78,7 +78,7 @@ def test_whole_structure(text):
 def test_cut_texts(spark):
     whole = [("summary", f"w{i}", "s", f"Story {i} ended well. Next came rain.", 1) for i in range(20)]
     torn = [("summary", "t1", "s", "Story 3 ended well. Next ca", 1), ("summary", "t1", "s", "Story 3 ended well. Next ca", 1), ("summary", "t2", None, "Story (four", 1), ("summary", None, "s", None, 1), ("summary", "e", "s", "", 1)]
-    titles = [("title", f"n{i}", "s", f"Why the old bridge of Town{i % 5} was closed", 1) for i in range(40)] + [("title", "x1", "s", "Why the old brid", 1), ("title", "x2", "s", "Why the old bridge of", 1)]
+    titles = [("title", f"n{i}", "s", f"Why the old bridge of Town{i} was closed", 1) for i in range(40)] + [("title", "x1", "s", "Why the old brid", 1), ("title", "x2", "s", "Why the old bridge of", 1)]
     rows = spark.createDataFrame(whole + torn + titles, "field_name string, id string, source string, value string, evidence int")
     got = {(r.field_name, r.id) for r in tr.cut_texts(rows).where(~F.col("doubt")).collect()}
     assert got == {("summary", "t1"), ("summary", "t2"), ("title", "x1"), ("title", "x2")}
