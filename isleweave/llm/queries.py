@@ -123,7 +123,15 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
-SQL: dict[str, str] = {}
+_TOKENS = "list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))), '[a-z0-9]+'))"
+SQL = {
+    "p4_found": f"""
+        WITH s AS (SELECT DISTINCT id, list_sort({_TOKENS}) AS words FROM news_signal WHERE id IS NOT NULL AND len({_TOKENS}) >= {LEAST_TOKENS}),
+             k AS (SELECT row_number() OVER () AS k, id, words FROM s), t AS (SELECT k, unnest(words) AS w FROM k),
+             b AS (SELECT a.k AS ka, b.k AS kb, count(*) AS n FROM t a JOIN t b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2)
+        SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM b JOIN k x ON x.k = b.ka JOIN k y ON y.k = b.kb
+        WHERE x.id <> y.id AND b.n >= {SIMILAR}e0 * (len(x.words) + len(y.words) - b.n) - 1e-9""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
