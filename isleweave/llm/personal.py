@@ -22,7 +22,7 @@ from .personal_labels import KINDS, labelled_texts
 KIND_NAMES = list(KINDS)
 LABELS = ["O", *[f"{p}-{k}" for k in KIND_NAMES for p in "BI"]]
 #: Training texts made from the labelled table, passes over them, texts per step, and the seed of both.
-TEXTS, PASSES, STEP_TEXTS, SEED = 900, 14, 30, 7
+TEXTS, PASSES, STEP_TEXTS, SEED = 1300, 12, 30, 7
 #: Hashed features, features per token, and how many neighbours each side tell something.
 BUCKETS, PER_TOKEN, REACH = 1 << 14, 9, 3
 SHAPES = 64
@@ -33,15 +33,17 @@ TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[ID]", "address": "[ADDRESS]", "person": "[NAME]"}
 
 _HOUSE = r"\d{1,4}(?:\s?/\s?\d{1,4}|\s?[A-Za-z])?"
-_STREET = r"[^\W\d_][\w'’.-]*(?:\s+[^\W\d_][\w'’.-]*){1,4}"
+_STREET = r"[^\W\d_][\w'’-]*(?:\s+[^\W\d_][\w'’-]*){1,4}"
+#: Code points by which a piece may go on behind its last label.
+MORE = {"email": 60, "address": 8}
 #: The rest of a house number that ends too early.
 REST = re.compile(r"(?:\s?/\s?\d{1,4}|[A-Za-z])(?!\w)")
 #: What a piece of each kind must look like as a whole.
 FORMS = {
-    "email": re.compile(r"[\w.%+-]+\s*(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s*[\w-]+(?:\s*(?:\.|\(dot\)|\[dot\]|\sdot\s)\s*[\w-]+)+", re.I),
+    "email": re.compile(r"[\w.%+-]+\s*(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s*[\w-]+(?:(?:\.|\s*\(dot\)\s*|\s*\[dot\]\s*|\sdot\s)[\w-]+)+", re.I),
     "phone": re.compile(r"(?:\+|\()?\d(?:[\s()./-]{0,3}\d){8,14}"),
     "national_id": re.compile(r"\d{9}\s?[VvXx]|\d{5}[- ]\d{4}\s?[VvXx]|\d{12}|\d{4}[ -]\d{4}[ -]\d{4}|[A-Z]{1,2}\d{6,8}"),
-    "address": re.compile(rf"{_HOUSE},?\s+{_STREET}|{_STREET},?\s+{_HOUSE}"),
+    "address": re.compile(rf"{_HOUSE},?\s+{_STREET}|{_STREET}\.?,?\s+{_HOUSE}"),
     "person": re.compile(r"(?=.*[^\W\d_]{3})(?:[^\W\d_][\w'’-]*|[^\W\d_]\.)(?:,?\s+(?:[^\W\d_][\w'’-]*|[^\W\d_]\.)){1,3}"),
 }
 
@@ -321,7 +323,10 @@ def _pieces(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         # signs at the ends may be the sentence's; the form tells what belongs to the piece
         if kind == "phone" and start and text[start - 1] in "+(":
             start -= 1
-        for m in FORMS[kind].finditer(text, start, end):
+        inside = list(FORMS[kind].finditer(text, start, end))
+        if not inside and kind in MORE and (longer := FORMS[kind].match(text, start, end + MORE[kind])):
+            inside = [longer]  # the labels ended too early
+        for m in inside:
             a = m.start() + (kind == "phone" and m.group()[0] == "(" and ")" not in m.group())
             out.append((a, m.end(), kind))
     return out

@@ -201,7 +201,7 @@ def _town(r: random.Random) -> str:
 def _street(r: random.Random) -> str:
     stem = r.choice(OLD) if r.random() < 0.35 else r.choice(STEM) + r.choice(END)
     kind = r.choice(KIND)
-    return f"{stem} {kind.lower() if r.random() < 0.05 else kind}"
+    return f"{stem} {kind.lower() if r.random() < 0.12 else kind}"
 
 
 def _digits(r: random.Random, n: int) -> str:
@@ -233,7 +233,7 @@ def email(r: random.Random) -> str:
         out = f"{user} (at) {host.replace('.', ' (dot) ')}"
     else:
         out = f"{user} [at] {host}" if form < 0.88 else f"{user} @ {host}"
-    return out.upper() if r.random() < 0.1 and form < 0.6 else out
+    return out.upper() if r.random() < 0.15 and form < 0.6 else out
 
 
 def phone(r: random.Random) -> str:
@@ -248,7 +248,7 @@ def national_id(r: random.Random) -> str:
 
 def address(r: random.Random) -> str:
     number = _digits(r, r.choice([1, 2, 3, 3, 3])) + r.choice(["", "", "", r.choice("ABC"), f"/{r.randrange(1, 40)}"])
-    return r.choice([f"{number} {_street(r)}", f"{number} {_street(r)}", f"{number}, {_street(r)}", f"{_street(r)} {number}"])
+    return r.choice([f"{number} {_street(r)}", f"{number} {_street(r)}", f"{number}, {_street(r)}", f"{_street(r)} {number}", f"{_street(r)} {number}"])
 
 
 KINDS = {"email": email, "phone": phone, "national_id": national_id, "address": address, "person": person}
