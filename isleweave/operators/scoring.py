@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 #: Default weights of the sub-scores.
 WEIGHTS = {"spatial": 0.25, "accessibility": 0.20, "facility": 0.25, "economic": 0.15, "disruption": 0.15}
 
+#: Personas with their weights, their liking of events and of nearness.
+PERSONAS = {
+    "event_seeker": ({"spatial": 0.30, "accessibility": 0.15, "facility": 0.30, "economic": 0.10, "disruption": 0.15}, "seek", "close"),
+    "quiet_seeker": ({"spatial": 0.10, "accessibility": 0.25, "facility": 0.20, "economic": 0.10, "disruption": 0.35}, "avoid", "far"),
+    "budget_traveler": ({"spatial": 0.15, "accessibility": 0.15, "facility": 0.15, "economic": 0.45, "disruption": 0.10}, "neutral", "any"),
+    "luxury_traveler": ({"spatial": 0.20, "accessibility": 0.15, "facility": 0.45, "economic": 0.05, "disruption": 0.15}, "neutral", "any"),
+}
+EVENT_WEIGHT = 0.30
+
+
+def persona_weights(persona: str | None, event: bool) -> dict[str, float] | None:
+    """Weights of a persona (any case; None for an unknown one), with an event weight where it seeks or avoids an active event."""
+    known = PERSONAS.get((persona or "").lower())
+    if known is None:
+        return None
+    return normalised(known[0] | {"event": EVENT_WEIGHT if event and known[1] in ("seek", "avoid") else 0.0})
+
 
 def truthy(c: Column) -> Column:
     """``c`` where it is neither null, NaN nor zero, else null."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 SHARE = 1000
 #: Keys with fewer rows than this are never worth a salt.
 LEAST = 20_000
+#: Salts of the rows without a key in a left join.
+NULL_SALTS = 256
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, share: int = SHARE, least: int = LEAST) -> DataFrame:
@@ -23,14 +27,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     """Equi-join in which rows of ``left`` with a hot key are spread over several tasks.
 
     ``right`` rows of a hot key are repeated once per salt; nothing is dropped. ``counts`` may give the rows of
-    ``left`` per key when the caller has them already. Null keys join nothing, as in SQL. ``how`` is ``inner`` or
-    ``left``.
+    ``left`` per key when the caller has them already. Null keys join nothing, as in SQL: a left join spreads their
+    rows over NULL_SALTS salts, an inner join drops them early. ``how`` is ``inner`` or ``left``.
     """
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    lost = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    if how == "inner":
+        left = left.where(~lost)
     hot = F.broadcast(hot_keys(counts, keys, n, share, least))
-    spread = F.pmod(F.xxhash64(*left.columns), F.col("__salts")).cast("int")
-    a = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(spread)).drop("__salts")
+    salts = F.when(lost, NULL_SALTS).otherwise(F.coalesce("__salts", F.lit(1)))
+    a = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("__salts")
     b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 

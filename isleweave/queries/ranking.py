@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..functions.geo import distance_km, known
 from ..operators import evaluation as ev
 from ..operators import scoring as sc
+from ..sources.landed import resolved_gold
 from ..sources.tables import table
 from . import base
 from .base import AFFECTED, AMENITY, ATTRACTION, EVENTS, HOTELS, KNOWN, SIGNALS, km_sql, rounded, values
@@ -237,11 +238,33 @@ def reasons(spark: SparkSession, folder: str) -> DataFrame:
     return w.select("city", "rank", "id", F.array_join(why, "; ").alias("reasons"))
 
 
+def context_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking of every city as one text, a line per hotel with its score in ten-thousandths."""
+    w = _ranked(weighted(pool(spark, folder)))
+    line = F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "id", F.lit("score"), F.round(F.col("score") * 10000).cast("bigint").cast("string"))
+    lines = w.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))  # at most K per city
+    return lines.select("city", F.array_join("l.line", "\n").alias("context"))
+
+
+def persona_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of the personas while an event is active."""
+    rows = [(p, *[sc.persona_weights(p, True)[k] for k in (*sc.WEIGHTS, "event")]) for p in sc.PERSONAS]
+    return spark.createDataFrame(rows, "persona string, " + ", ".join(f"{k} double" for k in (*sc.WEIGHTS, "event"))).select("persona", *[sc.half_up(F.col(k), 6).alias(k) for k in (*sc.WEIGHTS, "event")])
+
+
+def gold_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Human labels (here: hotels of star 5 in three provinces' cities) supersede the rules of their queries."""
+    c = pool(spark, folder)
+    own = table(spark, folder, "city").where(F.col("province").isin("West Shore", "Dry Plain")).select(F.col("name").alias("query_id"))
+    human = c.where(F.col("star") == 5).select(F.col("city").alias("query_id"), F.col("id").alias("item")).join(own, "query_id", "left_semi")
+    return resolved_gold(human, gold(c))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, intent_weights, filter_baseline, gold_predicate, tfidf_baseline, rrf_fusion, adaptive_fusion, ranking_metrics,
-        metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, krippendorff_alpha, majority_vote, judgment_counts, reasons,
+        metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, krippendorff_alpha, majority_vote, judgment_counts, reasons, context_text, persona_weights, gold_resolution,
     )
 }
 
@@ -310,7 +333,12 @@ def _intent_sql() -> str:
 
 
 _RELAX = "kk AS (SELECT *, coalesce((rating5 IS NULL OR rating5 >= 4.8e0) AND (star IS NULL OR star >= 5) AND (km IS NULL OR km <= 12), false) AS ok FROM c), k2 AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY city) AS n FROM kk), k3 AS (SELECT * FROM k2 WHERE ok OR n = 0)"
+_PERSONAS = "(VALUES " + ", ".join("('" + p + "', " + ", ".join(f"{v!r}e0" for v in (*w.values(), sc.EVENT_WEIGHT if likes in ("seek", "avoid") else 0.0)) + ")" for p, (w, likes, _) in sc.PERSONAS.items()) + ") v(persona, spatial, accessibility, facility, economic, disruption, event)"
+_SUM = "(spatial + accessibility + facility + economic + disruption + event)"
 SQL = {
+    "context_text": f"WITH {_POOL}, {_WEIGHTED} SELECT city, string_agg(concat(rank, '. ', id, ' score ', cast(round(score * 10000) AS BIGINT)), chr(10) ORDER BY rank) AS context FROM wr WHERE rank <= {K} GROUP BY 1",
+    "persona_weights": f"SELECT persona, {', '.join(f'{rounded(f"{k} / {_SUM}", 6)} AS {k}' for k in (*sc.WEIGHTS, 'event'))} FROM {_PERSONAS}",
+    "gold_resolution": f"WITH {_POOL}, {_GOLD}, hu AS (SELECT city AS query_id, id AS item FROM c WHERE star = 5 AND city IN (SELECT name FROM city WHERE province IN ('West Shore', 'Dry Plain'))) SELECT query_id, item, 'human' AS gold_source FROM hu UNION ALL SELECT query_id, item, 'rules' FROM gold WHERE query_id NOT IN (SELECT query_id FROM hu)",
     "weighted_retrieve": f"WITH {_POOL}, {_WEIGHTED} SELECT city, rank, id, score, {', '.join(f'{rounded(k, 3)} AS {k}' for k in sc.WEIGHTS)} FROM wr WHERE rank <= {K}",
     "weighted_retrieve_relaxed": f"WITH {_POOL}, {_RELAX}, {_SCORED.format(_PARTS + ', n', 'k3', rounded(_total(sc.WEIGHTS), 4))} SELECT city, rank, id, score, n = 0 AS filters_relaxed FROM wr WHERE rank <= {K}",
     "personalized_event_seek": _personal_sql("seek"),

@@ -101,3 +101,56 @@ def first_per_url(items: DataFrame, priority: str, ordinal: str, most: int | Non
     order = [F.col(priority), F.col(ordinal)]
     once = items.where(F.col("url").isNotNull() & (F.col("url") != "")).withColumn("__k", F.row_number().over(Window.partitionBy("url").orderBy(*order))).where(F.col("__k") == 1).drop("__k")
     return once if most is None else once.orderBy(*order).limit(most)
+
+
+QUERYSET = "description string, city string, k int, queries array<struct<id:string,question:string,category:string,gold:struct<max_price:double,min_price:double,min_rating:double,min_star:int,max_travel_time:double,required_amenities:array<string>>>>"
+#: Amenities that a map service implies for every place of lodging, and those of its place types.
+PLACE_DEFAULTS = ["wifi", "parking", "restaurant"]
+PLACE_TYPES = {"spa": "spa", "gym": "gym", "restaurant": "restaurant", "bar": "bar"}
+
+
+def read_queryset(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id, question, category, city, k`` and the gold bounds (null: no bound) of an evaluation set."""
+    raw = spark.read.schema(QUERYSET).json(path, multiLine=True)
+    return raw.select("city", "k", F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), "q.question", "q.category", "city", "k", "q.gold.*")
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id, item`` of human gold (a JSON map of lists under ``relevant``); a null list is no gold."""
+    return spark.read.schema("relevant map<string,array<string>>").json(path, multiLine=True).select(F.explode("relevant").alias("query_id", "items")).select("query_id", F.explode("items").alias("item"))
+
+
+def resolved_gold(human: DataFrame, rules: DataFrame) -> DataFrame:
+    """Gold with ``gold_source``: human labels supersede the rules of a query as a whole."""
+    kept = rules.join(human.select("query_id").distinct(), "query_id", "left_anti")
+    return human.withColumn("gold_source", F.lit("human")).unionByName(kept.withColumn("gold_source", F.lit("rules")))
+
+
+def with_metadata(rows: DataFrame, hotels: DataFrame, key: str = "hotel_id") -> DataFrame:
+    """``rows`` beside the hotels' metadata, null where a hotel has none."""
+    return rows.join(hotels.withColumnRenamed("id", key).dropDuplicates([key]), key, "left")
+
+
+def route_signals(distances: DataFrame) -> DataFrame:
+    """Signals made of route times (``origin, destination, duration_min, traffic_min, ts``): ratio, severity and delay.
+
+    Routes without a time in traffic give none. The id holds the route and the hour, so one signal per route and hour
+    survives an upsert.
+    """
+    known = distances.where((F.col("traffic_min") > 0) & F.col("duration_min").isNotNull())
+    ratio = F.col("duration_min") / F.col("traffic_min")
+    return known.select(
+        F.md5(F.concat_ws("|", "origin", "destination", F.substring("ts", 1, 13))).alias("id"), F.col("destination").alias("hotel_id"), F.concat_ws(" to ", "origin", "destination").alias("location_name"), "ts",
+        ratio.alias("congestion_ratio"), severity(ratio, F.lit(1.0)).alias("severity"), F.greatest(F.lit(0.0), F.col("traffic_min") - F.col("duration_min")).alias("eta_change_min"),
+    )
+
+
+def normalise_places(places: DataFrame) -> DataFrame:
+    """Places (``id, name, rating, types``) as hotels: unknown rating 0.0, amenities of the types and the defaults, estimated price."""
+    implied = F.array_compact(F.transform("types", lambda x: F.try_element_at(F.create_map(*[F.lit(v) for kv in PLACE_TYPES.items() for v in kv]), x)))
+    return places.where(F.col("id").isNotNull()).select("id", "name", F.coalesce("rating", F.lit(0.0)).alias("rating"), F.array_sort(F.array_distinct(F.concat(F.coalesce(implied, F.array().cast("array<string>")), F.array(*map(F.lit, PLACE_DEFAULTS))))).alias("amenities"), F.lit(True).alias("price_estimated"))
+
+
+def halved_rating(rating: Column) -> Column:
+    """A rating over 5 is out of ten."""
+    return F.when(rating > 5, rating / 2).otherwise(rating)

@@ -67,6 +67,29 @@ def test_weights():
     assert math.isclose(sum(w.values()), 1) and sc.normalised(dict.fromkeys(sc.WEIGHTS, 0.0)) == sc.WEIGHTS
 
 
+def test_personas():
+    seek, quiet = sc.persona_weights("Event_Seeker", True), sc.persona_weights("quiet_seeker", False)
+    assert math.isclose(sum(seek.values()), 1) and seek["event"] > 0 and quiet["event"] == 0 and sc.persona_weights("x", True) is None and sc.persona_weights(None, True) is None
+    assert max(sc.persona_weights("budget_traveler", True), key=sc.persona_weights("budget_traveler", True).get) == "economic"
+
+
+def test_more_landed_files(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps({"city": "C", "k": 5, "queries": [{"id": "q1", "question": "?", "category": "c", "gold": {"max_price": 5}}]}))
+    q = landed.read_queryset(spark, str(tmp_path / "q.json")).first()
+    assert (q.query_id, q.k, q.max_price, q.min_star) == ("q1", 5, 5.0, None)
+    (tmp_path / "g.json").write_text(json.dumps({"relevant": {"q1": ["a"], "q2": None}}))
+    human = landed.read_gold(spark, str(tmp_path / "g.json"))
+    rules = spark.createDataFrame([("q1", "z"), ("q2", "y")], "query_id string, item string")
+    assert {tuple(r) for r in landed.resolved_gold(human, rules).collect()} == {("q1", "a", "human"), ("q2", "y", "rules")}
+    d = spark.createDataFrame([("o", "h", 10.0, 40.0, "2025-01-01T10:11:12"), ("o", "i", 10.0, None, "2025-01-01T10:11:12")], "origin string, destination string, duration_min double, traffic_min double, ts string")
+    s = landed.route_signals(d).collect()
+    assert [(r.hotel_id, r.severity, r.eta_change_min) for r in s] == [("h", "heavy", 30.0)]
+    p = landed.normalise_places(spark.createDataFrame([("a", "n", None, ["spa", "lodging"]), (None, "n", 1.0, None), ("b", "n", 4.0, None)], "id string, name string, rating double, types array<string>"))
+    assert {r.id: (r.rating, r.amenities) for r in p.collect()} == {"a": (0.0, ["parking", "restaurant", "spa", "wifi"]), "b": (4.0, ["parking", "restaurant", "wifi"])}
+    rooms = spark.createDataFrame([("h",), ("x",)], "hotel_id string")
+    assert {(r.hotel_id, r.name) for r in landed.with_metadata(rooms, spark.createDataFrame([("h", "H")], "id string, name string")).collect()} == {("h", "H"), ("x", None)}
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("a", 1.0, 0.0), ("b", 3.0, None), ("c", None, 2.0)], "id string, v double, w double").withColumn("g", F.lit(1))
     got = {r.id: (r.s, r.one) for r in rows.select("id", sc.lower_is_better(F.col("v"), ["g"]).alias("s"), sc.lower_is_better(F.when(F.col("v") == 1, F.col("v")), ["g"]).alias("one")).collect()}
