@@ -167,6 +167,8 @@ ROWS = "key bigint, salt int, rec bigint, n int, s0 bigint, s1 bigint"
 def _rows(records: DataFrame, plan: Plan, shared, probe: bool) -> DataFrame:
     """The index's or the probes' rows: key, salt, record, size and bitmap. Keys of crowded counters are salted."""
 
+    split = SPLIT
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         crowd = counts[0] + counts[1]
@@ -179,7 +181,7 @@ def _rows(records: DataFrame, plan: Plan, shared, probe: bool) -> DataFrame:
                 else:
                     a, i, b, j = _index_keys(plan, hashes, sizes)
                     keys, owner = np.concatenate([a, b]), np.concatenate([i, j])
-                salts = 1 + np.minimum(crowd[(keys % np.uint64(COUNTERS)).astype(np.int64)] // SPLIT, 255)
+                salts = 1 + np.minimum(crowd[(keys % np.uint64(COUNTERS)).astype(np.int64)] // split, 255)
                 if probe:
                     salt = (_mix(rec[owner].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
                 else:

@@ -134,7 +134,8 @@ def cut_texts(values: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     sentences = F.col("base") >= BASELINE
     titles = rows.where(F.col("share") < BASELINE).select("field_name", "value")
     known = _last_words(titles, corpus)
-    rows = rows.withColumn("word", F.when(~sentences, F.regexp_extract(F.lower(F.trim("value")), r"(\S+)$", 1))).join(known, ["field_name", "word"], "left")
+    rows = rows.withColumn("word", F.when(~sentences, F.regexp_extract(F.lower(F.trim("value")), r"(\S+)$", 1)))
+    rows = join_small(rows, known, ["field_name", "word"], "left")
     # a terminator of its own, or a mark that the field's whole texts carry too, ends a title
     ended = F.col("finished") & F.col("evidence").isNull()
     evidence = (

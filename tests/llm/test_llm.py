@@ -88,8 +88,9 @@ def test_cut_texts(spark):
     assert {r.id for r in tr.confirmed(found, links).collect()} == {"a", "d"}
 
 
-@pytest.mark.parametrize("threshold,least", [(0.7, 12), (0.8, 1), (0.5, 3)])
-def test_near_duplicates_equal_brute_force(spark, threshold, least):
+@pytest.mark.parametrize("threshold,least,split", [(0.7, 12, 50_000), (0.7, 12, 3), (0.8, 1, 50_000), (0.5, 3, 50_000)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, least, split):
+    monkeypatch.setattr(nd, "SPLIT", split)  # a small one salts most buckets
     r = random.Random(5)
     words = [f"w{i}" for i in range(60)] + ["the", "a", "of"] * 5
     base = [sorted({r.choice(words) for _ in range(r.randrange(1, 60))}) for _ in range(60)]
