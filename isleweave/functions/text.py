@@ -25,10 +25,10 @@ AMENITIES = {
     "airport shuttle": ["airport shuttle", "shuttle"], "breakfast": ["breakfast included", "free breakfast"],
 }
 #: Attractions a question may ask for.
-ASKED_ATTRACTIONS = (
-    "beach,lake,river,park,temple,church,mosque,museum,mall,market,airport,train station,railway station,bus station,hospital,university,stadium,fort,palace,"
-    "waterfall,mountain,hill,zoo,spa,casino,golf,botanical,harbour,port,city center,city centre"
-).split(",")
+ASKED_ATTRACTIONS = [
+    "beach", "lake", "river", "park", "temple", "church", "mosque", "museum", "mall", "market", "airport", "train station", "railway station", "bus station", "hospital", "university",
+    "stadium", "fort", "palace", "waterfall", "mountain", "hill", "zoo", "spa", "casino", "golf", "botanical", "harbour", "port", "city center", "city centre",
+]
 #: Words in descriptions and the kinds of attraction they mean, in order.
 ATTRACTIONS = {
     "beach": "Beach", "lake": "Lake", "river": "River", "park": "Park", "temple": "Temple", "church": "Church", "mosque": "Mosque", "museum": "Museum",
@@ -45,18 +45,19 @@ ACCESS = ["accessible", "accessibility", "easy to reach", "good access", "transp
 TOP_RATED = ["top-rated", "top rated", "highly rated", "best rated", "highest rated"]
 CHEAP = ["cheap", "budget", "affordable", "lowest price", "least expensive"]
 LUXURY = ["top-rated", "highest rated", "best rated", "luxury", "5 star", "five star"]
-QUESTION_STOPS = (
-    "the a an in near with and or for hotels hotel good best top show find me that have has are is to of which what where i want looking recommend please some any around"
-).split()
-#: Amounts in questions.
-MONEY = r"\s*(?:rs\.?|lkr|\$)?\s*(\d{3,7})"
-AT_MOST = r"(?:under|below|less than|cheaper than|max|up to|within)" + MONEY
-AT_LEAST = r"(?:over|above|more than|at least|min|minimum)" + MONEY
-BETWEEN = r"between" + MONEY + r"\s*(?:and|-|to)" + MONEY
+#: Words of a question that are no keyword.
+QUESTION_STOPS = [
+    "the", "a", "an", "in", "near", "with", "and", "or", "for", "hotels", "hotel", "good", "best", "top", "show", "find", "me", "that", "have", "has", "are", "is", "to", "of", "which", "what", "where",
+    "i", "want", "looking", "recommend", "please", "some", "any", "around",
+]
+#: How questions name amounts, stars and ratings.
+AT_MOST = r"(?:under|below|less than|cheaper than|max|up to|within)\s*(?:rs\.?|lkr|\$)?\s*(\d{3,7})"
+AT_LEAST = r"(?:over|above|more than|at least|min|minimum)\s*(?:rs\.?|lkr|\$)?\s*(\d{3,7})"
+BETWEEN = r"between\s*(?:rs\.?|lkr|\$)?\s*(\d{3,7})\s*(?:and|-|to)\s*(?:rs\.?|lkr|\$)?\s*(\d{3,7})"
 STARS = r"(\d(?:\.\d)?)\s*\+?\s*(?:star|stars)"
 RATING = r"rating\s*(?:above|over|of|>=?)?\s*(\d(?:\.\d)?)"
 #: Country names that are no neighbourhood.
-COUNTRIES = ["sri lanka", "india", "thailand", "malaysia", "singapore"]
+COUNTRIES = ["sri lanka", "india", "thailand", "malaysia", "singapore", "maldives", "indonesia", "vietnam", "cambodia", "nepal"]
 #: How a text names a place nearby. The end is taken by the group, so that no look-ahead is needed.
 NEARBY = [
     r"(?:near|close\s+to|next\s+to|adjacent\s+to|opposite)\s+(?:the\s+)?([A-Z][A-Za-z\s]{2,35}?)(?:[,.\n]|$)",
