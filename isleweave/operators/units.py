@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..plans.skew import join_small, salted_join
+from ..plans.lineage import cut
+from ..plans.skew import join_small
 
 #: Signs and short forms that no currency list spells out, and the code each stands for.
 SIGNS = [("€", "EUR"), ("£", "GBP"), ("₹", "INR"), ("$", "USD"), ("us$", "USD"), ("a$", "AUD"), ("au$", "AUD"), ("rs", "LKR"), ("slrs", "LKR"), ("රු", "LKR"), ("indian rs", "INR")]
@@ -138,12 +139,12 @@ def hotel_units(hotels: DataFrame, fx: DataFrame) -> DataFrame:
     rows = hotels.select("id", "source", value("rating"), value("price_per_night"), value("price_per_night_lkr"), tidy_unit(F.col("price_currency")).alias("spelling"), F.coalesce("description", F.lit("")).alias("text"))
     rows = rows.withColumn("spelling", F.coalesce("spelling", currency_mention(F.col("text")))).withColumn("named", rating_scale(F.col("text"), F.col("rating"))).drop("text")
     canon = fx.select(F.col("currency").alias("alias"), F.col("currency").alias("unit")).unionByName(fx.select(F.col("currency_name").alias("alias"), F.col("currency").alias("unit"))).unionByName(fx.sparkSession.createDataFrame(SIGNS, "alias string, unit string"))
-    rows = with_unit(rows, unit_dictionary(rows.select("spelling"), canon), "spelling", "currency").withColumn("currency", F.coalesce("currency", F.lit("LKR")))
+    rows = with_unit(rows, cut(unit_dictionary(rows.select("spelling"), canon)), "spelling", "currency").withColumn("currency", F.coalesce("currency", F.lit("LKR")))
     # fx has one row per currency (at most some 180 in the world), usual one per source kept small by the same check
     rates = fx.groupBy(F.col("currency").alias("currency")).agg(F.max("lkr_per_unit").alias("rate"))
     table = rates.agg(F.map_from_entries(F.collect_list(F.struct("currency", "rate"))).alias("rates"))
     rows = rows.join(F.broadcast(rates), "currency", "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
-    rows = salted_join(rows, usual_scales(rows), ["source"], how="left")
+    rows = join_small(rows, cut(usual_scales(rows)), ["source"], "left")
 
     scale = F.coalesce("named", "usual", F.lit(5))
     scale = F.when(F.col("rating") > F.greatest(scale, F.lit(10)), 100).when(F.col("rating") > scale, F.greatest(scale, F.lit(10))).otherwise(scale)
