@@ -14,6 +14,8 @@ from ..operators.proximity import near_pairs
 from ..sources.tables import table
 
 EVENT_KM = 1.0
+#: How far incidents and signals reach in the reference. Queries named ``..._whole`` link by it; those beside them keep the radius of their SQL.
+WHOLE_KM = 5.0
 
 
 def hotels(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,25 +47,25 @@ def hotel_attractions(h: DataFrame) -> DataFrame:
     return h.select(F.col("id").alias("src"), F.explode(attraction_kinds(F.col("description"))).alias("dst"))
 
 
-def affected_by(h: DataFrame, e: DataFrame) -> DataFrame:
-    """``src`` hotel, ``dst`` event at most 1 km away, ``km``."""
-    return near_pairs(h, e, EVENT_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "km")
+def affected_by(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
+    """``src`` hotel, ``dst`` event at most 1 km away (5 km for ``whole``), ``km``."""
+    return near_pairs(h, e, WHOLE_KM if whole else EVENT_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "km")
 
 
-def edges(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def edges(spark: SparkSession, folder: str, whole: bool = False) -> dict[str, DataFrame]:
     h, s, e, n = (f(spark, folder) for f in (hotels, signals, events, news))
     ends = lambda d, a, b: d.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("src"), F.col(b).alias("dst"))
     return {
         "LOCATED_IN": ends(h, "id", "city"), "HAS_AMENITY": hotel_amenities(h), "NEAR_ATTRACTION": hotel_attractions(h),
         "HAS_SIGNAL": ends(s, "hotel_id", "id").join(h.select(F.col("id").alias("src")), "src", "left_semi"),
         "MENTIONED_IN": ends(e, "id", "news_url").join(n.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst"),
-        "AFFECTED_BY": affected_by(h, e).select("src", "dst"),
+        "AFFECTED_BY": affected_by(h, e, whole).select("src", "dst"),
     }
 
 
-def typed_edges(spark: SparkSession, folder: str) -> DataFrame:
+def typed_edges(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     out = None
-    for name, d in edges(spark, folder).items():
+    for name, d in edges(spark, folder, whole).items():
         part = d.select("src", "dst", F.lit(name).alias("type"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -110,6 +112,7 @@ NEWS = _latest("n", "news_signal", "url", ["loaded_at", "summary", "published_at
 AMENITY = f"am AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUES {values((k, w) for k, ws in AMENITIES.items() for w in ws)}) a(name, word) ON contains(lower(h.description), a.word))"
 ATTRACTION = f"att AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUES {values((v, k) for k, v in ATTRACTIONS.items())}) a(name, word) ON contains(lower(h.description), a.word))"
 AFFECTED = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.02 AND h.lat + 0.02 AND {km_sql('h', 'e')} <= {EVENT_KM}e0)"
+AFFECTED_WHOLE = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND {km_sql('h', 'e')} <= {WHOLE_KM}e0)"
 EDGES = f"""{HOTELS}, {SIGNALS}, {EVENTS}, {NEWS}, {AMENITY}, {ATTRACTION}, {AFFECTED},
     edge AS (SELECT id AS src, city AS dst, 'LOCATED_IN' AS type FROM h WHERE city IS NOT NULL
         UNION ALL SELECT src, dst, 'HAS_AMENITY' FROM am UNION ALL SELECT src, dst, 'NEAR_ATTRACTION' FROM att
@@ -118,6 +121,11 @@ EDGES = f"""{HOTELS}, {SIGNALS}, {EVENTS}, {NEWS}, {AMENITY}, {ATTRACTION}, {AFF
         UNION ALL SELECT src, dst, 'AFFECTED_BY' FROM ab)"""
 
 
+def whole_sql(sql: str) -> str:
+    """The SQL of a query over the whole links."""
+    return sql.replace(AFFECTED, AFFECTED_WHOLE)
+
+
 def rounded(c: str, digits: int) -> str:
     n = f"1e{digits}"
     return f"(floor(({c}) * {n} + 0.5e0) / {n})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ QUERY_TEXTS = [("v1", "quiet beach with pool and garden"), ("v2", "breakfast on
 STOPS = "the a an and or of in on at with by for from to is are was it its be as this that".split()
 
 
-def pool(spark: SparkSession, folder: str) -> DataFrame:
+def pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Candidates with the raw values of all sub-scores: one row per hotel that has a city."""
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     c = base.positioned(table(spark, folder, "city")).select(F.col("name").alias("city"), F.col("lat").alias("clat"), F.col("lng").alias("clng"))
     sig = s.where(F.col("hotel_id").isNotNull()).groupBy(F.col("hotel_id").alias("id")).agg(F.avg("eta_change_min").alias("delay"), F.max(F.col("severity") == "heavy").alias("heavy"), F.max(F.col("severity") == "moderate").alias("moderate"), F.max("eta_change_min").alias("worst"))
-    aff = base.affected_by(h, e).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
+    aff = base.affected_by(h, e, whole).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
     rating = sc.truthy(F.col("rating"))
     rating = F.when(rating > 10, rating / 20).when(rating > 5, rating / 2).otherwise(rating)
     km = sc.half_up(F.when(F.col("known"), distance_km(F.col("lat"), F.col("lng"), F.col("clat"), F.col("clng"))), 6)
@@ -63,15 +65,15 @@ def weighted(candidates: DataFrame) -> DataFrame:
     return candidates.select("id", "city", *[c.alias(k) for k, c in p.items()]).withColumn("score", sc.half_up(sc.weighted_total({k: F.col(k) for k in p}, sc.WEIGHTS), 4))
 
 
-def weighted_retrieve(spark: SparkSession, folder: str) -> DataFrame:
+def weighted_retrieve(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """The ten best hotels of every city by the weighted score, with the sub-scores."""
-    return _ranked(weighted(pool(spark, folder))).select("city", "rank", "id", "score", *[sc.half_up(F.col(k), 3).alias(k) for k in sc.WEIGHTS])
+    return _ranked(weighted(pool(spark, folder, whole))).select("city", "rank", "id", "score", *[sc.half_up(F.col(k), 3).alias(k) for k in sc.WEIGHTS])
 
 
-def weighted_retrieve_relaxed(spark: SparkSession, folder: str) -> DataFrame:
+def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """The same after filters that unknown values pass; a city where nothing passes keeps all its hotels."""
     keep = sc.passes_softly(F.col("rating5"), least=4.8) & sc.passes_softly(F.col("star"), least=5.0) & sc.passes_softly(F.col("km"), most=12.0)
-    left = sc.relaxed(pool(spark, folder), keep, ["city"])
+    left = sc.relaxed(pool(spark, folder, whole), keep, ["city"])
     flags = left.select("id", "filters_relaxed")
     return _ranked(weighted(left)).join(flags, "id").select("city", "rank", "id", "score", "filters_relaxed")
 
@@ -138,75 +140,75 @@ def tfidf_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return sc.top_k(sims, ["query_id"], [F.col("similarity").desc(), F.col("id").desc()], K)
 
 
-def _lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, folder: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rankings of the systems ``graph`` and ``filter`` per city, and gold."""
-    c = pool(spark, folder)
+    c = pool(spark, folder, whole)
     graph = _ranked(weighted(c)).select(F.lit("graph").alias("system"), F.col("city").alias("query_id"), "rank", F.col("id").alias("item"))
     flt = filtered(c).select(F.lit("filter").alias("system"), F.col("city").alias("query_id"), "rank", F.col("id").alias("item"))
     return graph.unionByName(flt), gold(c)
 
 
-def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    r, _ = _lists(spark, folder)
+def rrf_fusion(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    r, _ = _lists(spark, folder, whole)
     lists = r.select("query_id", F.when(F.col("system") == "graph", 0).otherwise(1).alias("list"), F.lit(1.0).alias("weight"), "rank", "item")
     return ev.fused(lists).select("query_id", "item", sc.half_up(F.col("score"), 8).alias("score"), "position")
 
 
-def adaptive_fusion(spark: SparkSession, folder: str) -> DataFrame:
+def adaptive_fusion(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Cities of few candidates trust the filter twice, others the graph twice."""
-    r, _ = _lists(spark, folder)
-    small = pool(spark, folder).groupBy(F.col("city").alias("query_id")).agg((F.count(F.lit(1)) < 20).alias("small"))
+    r, _ = _lists(spark, folder, whole)
+    small = pool(spark, folder, whole).groupBy(F.col("city").alias("query_id")).agg((F.count(F.lit(1)) < 20).alias("small"))
     lists = r.join(small, "query_id").select("query_id", F.when((F.col("system") == "graph") == F.col("small"), 1).otherwise(0).alias("list"), F.when((F.col("system") == "graph") == F.col("small"), 1.0).otherwise(2.0).alias("weight"), "rank", "item")
     return ev.fused(lists).select("query_id", "item", sc.half_up(F.col("score"), 8).alias("score"), "position")
 
 
-def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    r, relevant = _lists(spark, folder)
+def _metrics(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    r, relevant = _lists(spark, folder, whole)
     return ev.ranking_metrics(r, relevant, K)
 
 
 NAMES = ("precision", "recall", "ndcg", "mrr")
 
 
-def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return _metrics(spark, folder).select("system", "query_id", *[sc.half_up(F.col(c), 6).alias(c) for c in NAMES])
+def ranking_metrics(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, folder, whole).select("system", "query_id", *[sc.half_up(F.col(c), 6).alias(c) for c in NAMES])
 
 
-def metrics_by_system(spark: SparkSession, folder: str) -> DataFrame:
-    return _metrics(spark, folder).groupBy("system").agg(*[sc.half_up(F.avg(c), 6).alias(c) for c in NAMES])
+def metrics_by_system(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, folder, whole).groupBy("system").agg(*[sc.half_up(F.avg(c), 6).alias(c) for c in NAMES])
 
 
-def metrics_by_category(spark: SparkSession, folder: str) -> DataFrame:
+def metrics_by_category(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     c = table(spark, folder, "city").select(F.col("name").alias("query_id"), F.col("province").alias("category"))
-    return _metrics(spark, folder).join(c, "query_id").groupBy("category", "system").agg(*[sc.half_up(F.avg(x), 6).alias(x) for x in NAMES])
+    return _metrics(spark, folder, whole).join(c, "query_id").groupBy("category", "system").agg(*[sc.half_up(F.avg(x), 6).alias(x) for x in NAMES])
 
 
-def best_system(spark: SparkSession, folder: str) -> DataFrame:
+def best_system(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Per city the system with the best nDCG; the first system wins ties."""
-    m = _metrics(spark, folder).withColumn("ndcg", sc.half_up(F.col("ndcg"), 6))
+    m = _metrics(spark, folder, whole).withColumn("ndcg", sc.half_up(F.col("ndcg"), 6))
     key = F.struct("ndcg", F.when(F.col("system") == "graph", 0).otherwise(-1))
     return m.groupBy("query_id").agg(F.max_by("system", key).alias("best"), F.max("ndcg").alias("ndcg"))
 
 
-def hybrid_delta(spark: SparkSession, folder: str) -> DataFrame:
+def hybrid_delta(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Mean nDCG per system and its difference from the graph's in percent."""
-    m = _metrics(spark, folder).groupBy("system").agg(F.avg("ndcg").alias("ndcg"))
+    m = _metrics(spark, folder, whole).groupBy("system").agg(F.avg("ndcg").alias("ndcg"))
     graph = m.where(F.col("system") == "graph").select("ndcg").scalar()
     return m.select("system", sc.half_up(F.col("ndcg"), 6).alias("ndcg"), sc.half_up((F.col("ndcg") - graph) / graph * 100, 2).alias("delta"))
 
 
-def inspect_query(spark: SparkSession, folder: str) -> DataFrame:
+def inspect_query(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Rankings beside the candidates' values and whether each is relevant."""
-    r, relevant = _lists(spark, folder)
-    c = pool(spark, folder).select(F.col("id").alias("item"), "km", "rating5", "star")
+    r, relevant = _lists(spark, folder, whole)
+    c = pool(spark, folder, whole).select(F.col("id").alias("item"), "km", "rating5", "star")
     hit = relevant.distinct().withColumn("relevant", F.lit(True))
     return r.join(c, "item", "left").join(hit, ["query_id", "item"], "left").select("system", "query_id", "rank", "item", "km", "rating5", "star", F.coalesce("relevant", F.lit(False)).alias("relevant"))
 
 
-def annotation_pool(spark: SparkSession, folder: str) -> DataFrame:
+def annotation_pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Top five of both systems and two others per city, drawn by a seeded hash, shuffled for an annotator by another."""
-    r, _ = _lists(spark, folder)
-    c = pool(spark, folder).select(F.col("city").alias("query_id"), F.col("id").alias("item"))
+    r, _ = _lists(spark, folder, whole)
+    c = pool(spark, folder, whole).select(F.col("city").alias("query_id"), F.col("id").alias("item"))
     p = ev.pooled(r, c, 5, 2, 7)
     shuffle = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", F.lit("8"), "query_id", "item")), "item")
     return p.withColumn("place", F.row_number().over(shuffle).cast("bigint"))
@@ -231,16 +233,16 @@ def judgment_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _judgments(spark, folder).groupBy("doc_type", "k").agg(F.count("value").alias("n"), sc.half_up(F.avg("value"), 6).alias("mean"))
 
 
-def reasons(spark: SparkSession, folder: str) -> DataFrame:
+def reasons(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Why each of a city's ten best hotels is where it is, in words, as one line per hotel."""
-    w = _ranked(weighted(pool(spark, folder)))
+    w = _ranked(weighted(pool(spark, folder, whole)))
     why = F.array_compact(F.array(F.when(F.col("spatial") > 0.7, "close to the centre"), F.when(F.col("accessibility") > 0.7, "quick to reach"), F.when(F.col("facility") > 0.5, "well equipped"), F.when(F.col("disruption") < 0.5, "disturbed"), F.when(F.col("disruption") > 0.85, "undisturbed")))
     return w.select("city", "rank", "id", F.array_join(why, "; ").alias("reasons"))
 
 
-def context_text(spark: SparkSession, folder: str) -> DataFrame:
+def context_text(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """The ranking of every city as one text, a line per hotel with its score in ten-thousandths."""
-    w = _ranked(weighted(pool(spark, folder)))
+    w = _ranked(weighted(pool(spark, folder, whole)))
     line = F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "id", F.lit("score"), F.round(F.col("score") * 10000).cast("bigint").cast("string"))
     lines = w.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))  # at most K per city
     return lines.select("city", F.array_join("l.line", "\n").alias("context"))
@@ -267,6 +269,11 @@ QUERIES = {
         metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, krippendorff_alpha, majority_vote, judgment_counts, reasons, context_text, persona_weights, gold_resolution,
     )
 }
+#: Queries that are registered over the whole links too; the others on the pool read neither events nor signals.
+WHOLE = (
+    weighted_retrieve, weighted_retrieve_relaxed, rrf_fusion, adaptive_fusion, ranking_metrics, metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, reasons, context_text,
+)
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
 
 def _low(c: str) -> str:
@@ -371,3 +378,4 @@ SQL = {
     "judgment_counts": f"WITH {_JUDGED} SELECT doc_type, k, count(value) AS n, {rounded('avg(value)', 6)} AS mean FROM j GROUP BY 1, 2",
     "reasons": f"WITH {_POOL}, {_WEIGHTED} SELECT city, rank, id, coalesce(concat_ws('; ', CASE WHEN spatial > 0.7e0 THEN 'close to the centre' END, CASE WHEN accessibility > 0.7e0 THEN 'quick to reach' END, CASE WHEN facility > 0.5e0 THEN 'well equipped' END, CASE WHEN disruption < 0.5e0 THEN 'disturbed' END, CASE WHEN disruption > 0.85e0 THEN 'undisturbed' END), '') AS reasons FROM wr WHERE rank <= {K}",
 }
+SQL |= {f"{f.__name__}_whole": base.whole_sql(SQL[f.__name__]) for f in WHOLE}
