@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import known
 from ..functions.text import AMENITIES, ATTRACTIONS, ISLAND_ALIASES, ISLAND_ZONED, amenities, attraction_kinds, island_city
 from ..operators.graph import upsert_latest
-from ..operators.proximity import near_pairs
+from ..operators.proximity import near_pairs, near_spots
 from ..sources.tables import table
 
 EVENT_KM = 1.0
@@ -52,12 +52,44 @@ def affected_by(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
     return near_pairs(h, e, WHOLE_KM if whole else EVENT_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "km")
 
 
+def point_spots(s: DataFrame) -> DataFrame:
+    """Positions of point signals (those without a hotel), ``lat, lng``, with what their signals say together."""
+    n = lambda v: F.count(F.when(F.col("severity") == v, 1)).alias(v)
+    return positioned(s.where(F.col("hotel_id").isNull())).groupBy("lat", "lng").agg(
+        F.count(F.lit(1)).alias("total"), n("heavy"), n("moderate"), n("light"), n("unknown"), F.collect_set("severity").alias("severities"), F.max("eta_change_min").alias("worst"),
+    )
+
+
+def event_counts(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
+    """``id`` of every hotel with events and their number ``events``; events at one position are counted before any pair is made."""
+    if not whole:
+        return affected_by(h, e).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
+    spots = positioned(e).groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"))
+    return near_spots(h, spots, WHOLE_KM).groupBy(F.col("left_id").alias("id")).agg(F.sum("n").alias("events"))
+
+
+def has_signal(h: DataFrame, s: DataFrame) -> DataFrame:
+    """``src`` hotel, ``dst`` signal: route signals by their hotel, point signals by distance."""
+    routes = s.where(F.col("hotel_id").isNotNull()).select(F.col("hotel_id").alias("src"), F.col("id").alias("dst")).join(h.select(F.col("id").alias("src")), "src", "left_semi")
+    return routes.unionByName(near_pairs(h, s.where(F.col("hotel_id").isNull()), WHOLE_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
+
+
+def signal_values(h: DataFrame, s: DataFrame, whole: bool = False) -> DataFrame:
+    """Per hotel (``id``) the ``severities`` of its signals, whether any is ``heavy`` or ``moderate``, the ``worst`` delay, and the mean ``delay`` of its routes."""
+    rows = s.where(F.col("hotel_id").isNotNull()).groupBy(F.col("hotel_id").alias("id")).agg(F.collect_set("severity").alias("severities"), F.max("eta_change_min").alias("worst"), F.avg("eta_change_min").alias("delay"))
+    if whole:
+        rows = rows.unionByName(near_spots(h, point_spots(s), WHOLE_KM).groupBy(F.col("left_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_set("severities"))).alias("severities"), F.max("worst").alias("worst")).withColumn("delay", F.lit(None).cast("double")))
+        rows = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("severities"))).alias("severities"), F.max("worst").alias("worst"), F.max("delay").alias("delay"))  # sets of a few severities
+    any_of = lambda v: F.array_contains("severities", v).alias(v)
+    return rows.select("id", "severities", any_of("heavy"), any_of("moderate"), "worst", "delay")
+
+
 def edges(spark: SparkSession, folder: str, whole: bool = False) -> dict[str, DataFrame]:
     h, s, e, n = (f(spark, folder) for f in (hotels, signals, events, news))
     ends = lambda d, a, b: d.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("src"), F.col(b).alias("dst"))
     return {
         "LOCATED_IN": ends(h, "id", "city"), "HAS_AMENITY": hotel_amenities(h), "NEAR_ATTRACTION": hotel_attractions(h),
-        "HAS_SIGNAL": ends(s, "hotel_id", "id").join(h.select(F.col("id").alias("src")), "src", "left_semi"),
+        "HAS_SIGNAL": has_signal(h, s) if whole else ends(s, "hotel_id", "id").join(h.select(F.col("id").alias("src")), "src", "left_semi"),
         "MENTIONED_IN": ends(e, "id", "news_url").join(n.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst"),
         "AFFECTED_BY": affected_by(h, e, whole).select("src", "dst"),
     }
@@ -113,6 +145,9 @@ AMENITY = f"am AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUE
 ATTRACTION = f"att AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUES {values((v, k) for k, v in ATTRACTIONS.items())}) a(name, word) ON contains(lower(h.description), a.word))"
 AFFECTED = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.02 AND h.lat + 0.02 AND {km_sql('h', 'e')} <= {EVENT_KM}e0)"
 AFFECTED_WHOLE = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND {km_sql('h', 'e')} <= {WHOLE_KM}e0)"
+#: Signals with the hotels they are linked to: ``hs`` has a row per link.
+SIGNALS_WHOLE = f"""{SIGNALS}, hs AS (SELECT h.id AS src, s.* FROM s JOIN h ON s.hotel_id = h.id UNION ALL SELECT h.id, s.* FROM h JOIN s ON s.hotel_id IS NULL AND {KNOWN.format('h')} AND {KNOWN.format('s')}
+    AND s.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND s.lng BETWEEN h.lng - 0.1 AND h.lng + 0.1 WHERE {km_sql('h', 's')} <= {WHOLE_KM}e0)"""
 EDGES = f"""{HOTELS}, {SIGNALS}, {EVENTS}, {NEWS}, {AMENITY}, {ATTRACTION}, {AFFECTED},
     edge AS (SELECT id AS src, city AS dst, 'LOCATED_IN' AS type FROM h WHERE city IS NOT NULL
         UNION ALL SELECT src, dst, 'HAS_AMENITY' FROM am UNION ALL SELECT src, dst, 'NEAR_ATTRACTION' FROM att
@@ -121,9 +156,20 @@ EDGES = f"""{HOTELS}, {SIGNALS}, {EVENTS}, {NEWS}, {AMENITY}, {ATTRACTION}, {AFF
         UNION ALL SELECT src, dst, 'AFFECTED_BY' FROM ab)"""
 
 
+#: Parts of the SQL, and what stands in their place over the whole links.
+WHOLE_PARTS = {
+    AFFECTED: AFFECTED_WHOLE, SIGNALS: SIGNALS_WHOLE, "SELECT s.hotel_id, s.id, 'HAS_SIGNAL' FROM s SEMI JOIN h ON s.hotel_id = h.id": "SELECT src, id, 'HAS_SIGNAL' FROM hs",
+    "g AS (SELECT hotel_id, string_agg(DISTINCT severity, ';' ORDER BY severity) AS v, max(eta_change_min) AS w FROM s WHERE hotel_id IS NOT NULL GROUP BY 1)": "g AS (SELECT src AS hotel_id, string_agg(DISTINCT severity, ';' ORDER BY severity) AS v, max(eta_change_min) AS w FROM hs GROUP BY 1)",
+    "avg(eta_change_min) AS delay, bool_or(severity = 'heavy') AS heavy, bool_or(severity = 'moderate') AS moderate, max(eta_change_min) AS worst FROM s WHERE hotel_id IS NOT NULL GROUP BY 1": "avg(eta_change_min) FILTER (WHERE route IS NOT NULL) AS delay, bool_or(severity = 'heavy') AS heavy, bool_or(severity = 'moderate') AS moderate, max(eta_change_min) AS worst FROM (SELECT * EXCLUDE (src, hotel_id), src AS hotel_id, hotel_id AS route FROM hs) GROUP BY 1",
+    "count(*) AS total": "count(DISTINCT s.id) AS total", "count(*) FILTER (WHERE s.severity": "count(DISTINCT s.id) FILTER (WHERE s.severity", "FROM s JOIN h ON s.hotel_id = h.id GROUP BY 1": "FROM hs s JOIN h ON s.src = h.id GROUP BY 1",
+}
+
+
 def whole_sql(sql: str) -> str:
     """The SQL of a query over the whole links."""
-    return sql.replace(AFFECTED, AFFECTED_WHOLE)
+    for part, whole in WHOLE_PARTS.items():
+        sql = sql.replace(part, whole)
+    return sql
 
 
 def rounded(c: str, digits: int) -> str:

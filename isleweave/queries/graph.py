@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance_km
 from ..functions.text import island_city
 from ..operators import graph as g
-from ..operators.proximity import near_pairs
+from ..operators.proximity import near_pairs, near_spots
 from ..operators.scoring import half_up
 from ..sources.landed import severity
 from ..sources.tables import table
@@ -99,8 +99,8 @@ def candidate_pool(spark: SparkSession, folder: str, whole: bool = False) -> Dat
     """One row per hotel with its amenities, attractions, severities, worst delay and number of events."""
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     listed = lambda d, name: d.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ";").alias(name))
-    sig = s.where(F.col("hotel_id").isNotNull()).groupBy(F.col("hotel_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("severity")), ";").alias("severities"), F.max("eta_change_min").alias("worst_delay"))
-    ev = base.affected_by(h, e, whole).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("event_count"))
+    sig = base.signal_values(h, s, whole).select("id", F.array_join(F.array_sort("severities"), ";").alias("severities"), F.col("worst").alias("worst_delay"))
+    ev = base.event_counts(h, e, whole).withColumnRenamed("events", "event_count")
     out = h.select("id", "name", "city", "rating").join(listed(base.hotel_amenities(h), "amenities"), "id", "left").join(listed(base.hotel_attractions(h), "attractions"), "id", "left").join(sig, "id", "left").join(ev, "id", "left")
     return out.select("id", "name", "city", "rating", *[F.coalesce(c, F.lit("")).alias(c) for c in ("amenities", "attractions", "severities")], "worst_delay", F.coalesce("event_count", F.lit(0)).alias("event_count"))
 
@@ -162,12 +162,17 @@ def traffic_status_global(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("severity", "n", F.floor(F.col("n") * 100 / F.greatest(total, F.lit(1)) + 0.5).alias("percent"))
 
 
-def traffic_status_city(spark: SparkSession, folder: str) -> DataFrame:
-    """Route signals of each city's hotels by severity, each signal once."""
+def traffic_status_city(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Route signals (for ``whole`` point signals too) of each city's hotels by severity, each signal once."""
     h, s = base.hotels(spark, folder), base.signals(spark, folder)
     per = s.where(F.col("hotel_id").isNotNull()).join(h.select(F.col("id").alias("hotel_id"), "city"), "hotel_id").dropDuplicates(["id", "city"])
     n = lambda v: F.count(F.when(F.col("severity") == v, 1)).alias(v)
-    return per.groupBy("city").agg(F.count(F.lit(1)).alias("total"), n("heavy"), n("moderate"), n("light"), n("unknown"))
+    routes = per.groupBy("city").agg(F.count(F.lit(1)).alias("total"), n("heavy"), n("moderate"), n("light"), n("unknown"))
+    if not whole:
+        return routes
+    counts = ("total", "heavy", "moderate", "light", "unknown")
+    met = near_spots(h, base.point_spots(s), base.WHOLE_KM, ["city"]).groupBy("city", "lat", "lng").agg(*[F.max(c).alias(c) for c in counts])  # each spot once per city
+    return routes.unionByName(met.select("city", *counts)).groupBy("city").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def travel_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,7 +253,7 @@ QUERIES = {
     )
 }
 #: Queries that are registered over the whole links too.
-WHOLE = (graph_overview_rels, edge_list, graph_network, node_neighbours, candidate_pool, event_news_chain, clear_counts)
+WHOLE = (graph_overview_rels, edge_list, graph_network, node_neighbours, candidate_pool, event_news_chain, clear_counts, traffic_status_city)
 QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
 _NEAR = f"SELECT h.id AS hotel_id, p.id AS other_id, {km_sql('h', 'p')} AS km FROM h JOIN p ON {KNOWN.format('h')} AND {KNOWN.format('p')} AND p.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND p.lng BETWEEN h.lng - 0.1 AND h.lng + 0.1 WHERE {km_sql('h', 'p')} <= {LINK_KM}e0"

@@ -35,8 +35,8 @@ def pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Candidates with the raw values of all sub-scores: one row per hotel that has a city."""
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     c = base.positioned(table(spark, folder, "city")).select(F.col("name").alias("city"), F.col("lat").alias("clat"), F.col("lng").alias("clng"))
-    sig = s.where(F.col("hotel_id").isNotNull()).groupBy(F.col("hotel_id").alias("id")).agg(F.avg("eta_change_min").alias("delay"), F.max(F.col("severity") == "heavy").alias("heavy"), F.max(F.col("severity") == "moderate").alias("moderate"), F.max("eta_change_min").alias("worst"))
-    aff = base.affected_by(h, e, whole).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
+    sig = base.signal_values(h, s, whole).drop("severities")
+    aff = base.event_counts(h, e, whole)
     rating = sc.truthy(F.col("rating"))
     rating = F.when(rating > 10, rating / 20).when(rating > 5, rating / 2).otherwise(rating)
     km = sc.half_up(F.when(F.col("known"), distance_km(F.col("lat"), F.col("lng"), F.col("clat"), F.col("clng"))), 6)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from isleweave.queries import base, graph
+from isleweave.queries import base, graph, ranking
 
 HOTEL = "id string, name string, description string, rating double, star_rating double, price_range string, price_per_night_lkr double, address string, city_name string, lat double, lng double, source string, last_updated string, loaded_at timestamp"
 EVENT = "id string, title string, event_type string, start_time string, lat double, lng double, news_url string, loaded_at timestamp"
@@ -32,3 +32,13 @@ def test_incidents_within_five_km(spark, made):
     folder = made(events=[("near", "traffic_incident", 6.005, 80.0, None), ("mid", "traffic_incident", 6.04, 80.0, None), ("far", "traffic_incident", 6.05, 80.0, None)])
     assert {(r.src, r.dst) for r in base.edges(spark, folder, whole=True)["AFFECTED_BY"].collect()} == {("h1", "near"), ("h1", "mid")}
     assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": 2, "h2": 0, "h3": 0}
+
+
+def test_point_signals_within_five_km(spark, made):
+    routes = [("r1", "h1", "light", 2.0, 6.9, 80.0), ("r2", "gone", "heavy", 9.0, 6.9, 80.0)]
+    points = [("p1", None, "heavy", 7.0, 6.03, 80.0), ("p2", None, "moderate", 1.0, 6.03, 80.0), ("p3", None, "heavy", 30.0, 6.05, 80.0), ("p4", None, "heavy", 50.0, 0.0, 80.0), ("p5", None, None, None, 6.13, 80.0)]
+    folder = made(signals=routes + points)
+    assert {(r.src, r.dst) for r in base.edges(spark, folder, whole=True)["HAS_SIGNAL"].collect()} == {("h1", "r1"), ("h1", "p1"), ("h1", "p2"), ("h2", "p5")}
+    assert {r.id: (r.severities, r.worst_delay) for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": ("heavy;light;moderate", 7.0), "h2": ("", None), "h3": ("", None)}
+    assert {r.id: (r.heavy, r.moderate, r.worst, r.delay) for r in ranking.pool(spark, folder, whole=True).collect() if r.id == "h1"} == {"h1": (True, True, 7.0, 2.0)}
+    assert {tuple(r) for r in graph.QUERIES["traffic_status_city_whole"](spark, folder).collect()} == {("Kolavara", 3, 1, 1, 1, 0), ("Elsewhere", 1, 0, 0, 0, 0)}
