@@ -47,8 +47,33 @@ def hotel_attractions(h: DataFrame) -> DataFrame:
     return h.select(F.col("id").alias("src"), F.explode(attraction_kinds(F.col("description"))).alias("dst"))
 
 
+def keyword_news(n: DataFrame, cities: DataFrame) -> DataFrame:
+    """``news_url, news_title`` of the news that names a city of the table ``cities`` in its title or summary."""
+    words = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    named = F.broadcast(cities.where(F.col("name") != "").select(F.lower("name").alias("word")).distinct())  # 24 rows
+    hit = n.select("url", "title", words.alias("words")).join(named, F.contains(F.col("words"), F.col("word")), "left_semi")
+    return hit.select(F.col("url").alias("news_url"), F.col("title").alias("news_title"))
+
+
+def keyword_events(e: DataFrame, n: DataFrame, cities: DataFrame) -> DataFrame:
+    """``dst, news_url, news_title``: events of such news."""
+    return e.where(F.col("news_url").isNotNull()).select(F.col("id").alias("dst"), "news_url").join(keyword_news(n, cities), "news_url")
+
+
+def keyword_hotels(h: DataFrame, cities: DataFrame) -> DataFrame:
+    """``src``: the hotels of all cities of the table; each is affected by every keyword event, as in the reference."""
+    return h.select(F.col("id").alias("src"), F.col("city").alias("name")).join(F.broadcast(cities.select("name").distinct()), "name", "left_semi").select("src")
+
+
+def affected_by_whole(h: DataFrame, e: DataFrame, n: DataFrame, cities: DataFrame) -> DataFrame:
+    """``src`` hotel, ``dst`` event: within 5 km, or of news that names a city."""
+    named, in_city = keyword_events(e, n, cities).select("dst"), keyword_hotels(h, cities)
+    near = affected_by(h, e, True).join(named.withColumn("named", F.lit(1)), "dst", "left").join(in_city.withColumn("in_city", F.lit(1)), "src", "left")
+    return near.where(F.col("named").isNull() | F.col("in_city").isNull()).select("src", "dst").unionByName(in_city.crossJoin(named))
+
+
 def affected_by(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
-    """``src`` hotel, ``dst`` event at most 1 km away (5 km for ``whole``), ``km``."""
+    """``src`` hotel, ``dst`` event at most 1 km away (5 km for ``whole``, where keywords link more), ``km``."""
     return near_pairs(h, e, WHOLE_KM if whole else EVENT_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "km")
 
 
@@ -60,12 +85,18 @@ def point_spots(s: DataFrame) -> DataFrame:
     )
 
 
-def event_counts(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
-    """``id`` of every hotel with events and their number ``events``; events at one position are counted before any pair is made."""
-    if not whole:
+def event_counts(h: DataFrame, e: DataFrame, n: DataFrame | None = None, cities: DataFrame | None = None) -> DataFrame:
+    """``id`` of every hotel with events and their number ``events``; with ``n`` and ``cities`` over the whole links.
+
+    Events at one position are counted before any pair is made, and those by keyword once for all hotels.
+    """
+    if n is None or cities is None:
         return affected_by(h, e).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
-    spots = positioned(e).groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"))
-    return near_spots(h, spots, WHOLE_KM).groupBy(F.col("left_id").alias("id")).agg(F.sum("n").alias("events"))
+    named = keyword_events(e, n, cities).select(F.col("dst").alias("id"), F.lit(1).alias("named"))
+    spots = positioned(e.join(named, "id", "left")).groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("other"))
+    near = near_spots(h, spots, WHOLE_KM).groupBy(F.col("left_id").alias("id")).agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+    in_city = keyword_hotels(h, cities).select(F.col("src").alias("id")).crossJoin(named.agg(F.count(F.lit(1)).alias("named")))  # one row
+    return near.join(in_city, "id", "full").select("id", F.when(F.col("named").isNull(), F.col("n")).otherwise(F.coalesce("other", F.lit(0)) + F.col("named")).alias("events"))
 
 
 def has_signal(h: DataFrame, s: DataFrame) -> DataFrame:
@@ -91,7 +122,7 @@ def edges(spark: SparkSession, folder: str, whole: bool = False) -> dict[str, Da
         "LOCATED_IN": ends(h, "id", "city"), "HAS_AMENITY": hotel_amenities(h), "NEAR_ATTRACTION": hotel_attractions(h),
         "HAS_SIGNAL": has_signal(h, s) if whole else ends(s, "hotel_id", "id").join(h.select(F.col("id").alias("src")), "src", "left_semi"),
         "MENTIONED_IN": ends(e, "id", "news_url").join(n.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst"),
-        "AFFECTED_BY": affected_by(h, e, whole).select("src", "dst"),
+        "AFFECTED_BY": affected_by_whole(h, e, n, table(spark, folder, "city")) if whole else affected_by(h, e).select("src", "dst"),
     }
 
 
@@ -140,11 +171,14 @@ def km_sql(p: str, q: str) -> str:
 HOTELS = _latest("h", "hotel", "id", ["loaded_at", "last_updated"], f", {city_sql('city_name')} AS city")
 SIGNALS = _latest("s", "traffic_signal", "id", ["signal_ts", "loaded_at", "severity"])
 EVENTS = _latest("e", "graph_event", "id", ["loaded_at", "title", "start_time"])
-NEWS = _latest("n", "news_signal", "url", ["loaded_at", "summary", "published_at"])
+NEWS_ORDER = ["loaded_at", "summary", "published_at"]
+NEWS = _latest("n", "news_signal", "url", NEWS_ORDER)
 AMENITY = f"am AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUES {values((k, w) for k, ws in AMENITIES.items() for w in ws)}) a(name, word) ON contains(lower(h.description), a.word))"
 ATTRACTION = f"att AS (SELECT DISTINCT h.id AS src, a.name AS dst FROM h JOIN (VALUES {values((v, k) for k, v in ATTRACTIONS.items())}) a(name, word) ON contains(lower(h.description), a.word))"
 AFFECTED = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.02 AND h.lat + 0.02 AND {km_sql('h', 'e')} <= {EVENT_KM}e0)"
-AFFECTED_WHOLE = f"ab AS (SELECT h.id AS src, e.id AS dst, {km_sql('h', 'e')} AS km FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND {km_sql('h', 'e')} <= {WHOLE_KM}e0)"
+AFFECTED_WHOLE = f"""{_latest("kr", "news_signal", "url", NEWS_ORDER)}, kn AS (SELECT url FROM kr WHERE EXISTS (SELECT 1 FROM city k WHERE k.name <> '' AND contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))), lower(k.name)))),
+    ab AS (SELECT h.id AS src, e.id AS dst FROM h JOIN e ON {KNOWN.format('h')} AND {KNOWN.format('e')} AND e.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND {km_sql('h', 'e')} <= {WHOLE_KM}e0
+        UNION SELECT h.id, e.id FROM h, e WHERE h.city IN (SELECT name FROM city) AND e.news_url IN (SELECT url FROM kn))"""
 #: Signals with the hotels they are linked to: ``hs`` has a row per link.
 SIGNALS_WHOLE = f"""{SIGNALS}, hs AS (SELECT h.id AS src, s.* FROM s JOIN h ON s.hotel_id = h.id UNION ALL SELECT h.id, s.* FROM h JOIN s ON s.hotel_id IS NULL AND {KNOWN.format('h')} AND {KNOWN.format('s')}
     AND s.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND s.lng BETWEEN h.lng - 0.1 AND h.lng + 0.1 WHERE {km_sql('h', 's')} <= {WHOLE_KM}e0)"""

@@ -100,18 +100,35 @@ def candidate_pool(spark: SparkSession, folder: str, whole: bool = False) -> Dat
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     listed = lambda d, name: d.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ";").alias(name))
     sig = base.signal_values(h, s, whole).select("id", F.array_join(F.array_sort("severities"), ";").alias("severities"), F.col("worst").alias("worst_delay"))
-    ev = base.event_counts(h, e, whole).withColumnRenamed("events", "event_count")
+    ev = base.event_counts(h, e, *((base.news(spark, folder), table(spark, folder, "city")) if whole else ())).withColumnRenamed("events", "event_count")
     out = h.select("id", "name", "city", "rating").join(listed(base.hotel_amenities(h), "amenities"), "id", "left").join(listed(base.hotel_attractions(h), "attractions"), "id", "left").join(sig, "id", "left").join(ev, "id", "left")
     return out.select("id", "name", "city", "rating", *[F.coalesce(c, F.lit("")).alias(c) for c in ("amenities", "attractions", "severities")], "worst_delay", F.coalesce("event_count", F.lit(0)).alias("event_count"))
 
 
 def event_news_chain(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     h, e, n = (f(spark, folder) for f in (base.hotels, base.events, base.news))
-    near = base.affected_by(h, e, whole).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id"))
+    if whole:
+        return _whole_chain(h, e, n, table(spark, folder, "city"))
+    near = base.affected_by(h, e).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id"))
     chain = h.select(F.col("id").alias("hotel_id")).join(near, "hotel_id", "left").join(e.select(F.col("id").alias("event_id"), "news_url"), "event_id", "left").join(n.select(F.col("url").alias("news_url"), F.col("title").alias("news_title")), "news_url", "left")
     return chain.groupBy("hotel_id").agg(F.countDistinct("event_id").alias("events"), F.countDistinct("news_title").alias("titles"), F.min("news_title").alias("first_title"))
 
 
+def _whole_chain(h: DataFrame, e: DataFrame, n: DataFrame, cities: DataFrame) -> DataFrame:
+    """The chain over events within 5 km and those by keyword; the latter are the same for all their hotels, so they are counted once."""
+    named = base.keyword_events(e, n, cities)
+    mark = lambda c, name: named.select(F.col(c).alias(f"same_{c}")).distinct().withColumn(name, F.lit(1))
+    near = base.affected_by(h, e, True).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id")).join(e.select(F.col("id").alias("event_id"), "news_url"), "event_id").join(n.select(F.col("url").alias("news_url"), F.col("title").alias("news_title")), "news_url", "left")
+    near = near.join(mark("dst", "old_event"), F.col("event_id") == F.col("same_dst"), "left").join(mark("news_title", "old_title"), F.col("news_title") == F.col("same_news_title"), "left")
+    each = lambda c, old: (F.countDistinct(c), F.countDistinct(F.when(F.col(old).isNull(), F.col(c))))
+    (events, new_events), (titles, new_titles) = each("event_id", "old_event"), each("news_title", "old_title")
+    near = near.groupBy("hotel_id").agg(events.alias("events"), new_events.alias("new_events"), titles.alias("titles"), new_titles.alias("new_titles"), F.min("news_title").alias("first"))
+    all_named = named.agg(F.countDistinct("dst").alias("n_events"), F.countDistinct("news_title").alias("n_titles"), F.min("news_title").alias("n_first"))  # one row
+    rows = h.select(F.col("id").alias("hotel_id")).join(near, "hotel_id", "left").join(base.keyword_hotels(h, cities).withColumnRenamed("src", "hotel_id").crossJoin(all_named), "hotel_id", "left")
+    total = lambda c: F.coalesce(F.when(F.col("n_events").isNotNull(), F.coalesce(f"new_{c}", F.lit(0)) + F.col(f"n_{c}")).otherwise(F.col(c)), F.lit(0)).alias(c)
+    return rows.select("hotel_id", total("events"), total("titles"), F.least("first", "n_first").alias("first_title"))
+
+
 def radius_link_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Point signals within 5 km of each hotel, counted."""
     points = base.signals(spark, folder).where(F.col("hotel_id").isNull())

@@ -36,7 +36,7 @@ def pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     c = base.positioned(table(spark, folder, "city")).select(F.col("name").alias("city"), F.col("lat").alias("clat"), F.col("lng").alias("clng"))
     sig = base.signal_values(h, s, whole).drop("severities")
-    aff = base.event_counts(h, e, whole)
+    aff = base.event_counts(h, e, *((base.news(spark, folder), table(spark, folder, "city")) if whole else ()))
     rating = sc.truthy(F.col("rating"))
     rating = F.when(rating > 10, rating / 20).when(rating > 5, rating / 2).otherwise(rating)
     km = sc.half_up(F.when(F.col("known"), distance_km(F.col("lat"), F.col("lng"), F.col("clat"), F.col("clng"))), 6)

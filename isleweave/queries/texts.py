@@ -91,6 +91,14 @@ def news_keyword_link(spark: SparkSession, folder: str) -> DataFrame:
     return hit.join(F.broadcast(per_town), "one").select("url", "city", "hotels")  # one row per town of the list
 
 
+def news_keyword_link_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the table of cities as both the keywords and the list of towns."""
+    cities = table(spark, folder, "city")
+    hit = base.keyword_news(base.news(spark, folder), cities).select(F.col("news_url").alias("url"))
+    per_town = base.hotels(spark, folder).join(F.broadcast(cities.select(F.col("name").alias("city")).distinct()), "city", "left_semi").groupBy("city").agg(F.count(F.lit(1)).alias("hotels"))
+    return hit.crossJoin(F.broadcast(per_town)).select("url", "city", "hotels")  # one row per city of the table
+
+
 def event_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Incident titles taken apart: kind before the colon, streets after it."""
     e = base.events(spark, folder).where(F.col("event_type") == "traffic_incident")
@@ -157,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_city, intent_price_regex, intent_rating_regex, intent_flags, intent_keywords, amenity_synonyms, single_attribute, ner_neighbourhoods, ner_landmarks, ner_attractions, url_host, md5_ids,
-        news_keyword_link, event_titles, json_slots, latest_news_topk, top_rated_nulls_first, news_dedupe_by_url_capped, source_fallback, union_sources_keep_first, recent_window, complete_items,
+        news_keyword_link, news_keyword_link_whole, event_titles, json_slots, latest_news_topk, top_rated_nulls_first, news_dedupe_by_url_capped, source_fallback, union_sources_keep_first, recent_window, complete_items,
     )
 }
 
@@ -201,6 +209,7 @@ SQL = {
     "url_host": f"WITH {NEWS} SELECT string_split(url, '/')[3] AS host, count(*) AS n FROM n GROUP BY 1",
     "md5_ids": f"WITH {NEWS} SELECT md5(coalesce(title, '')) AS event_id, min(substring(title, 1, 200)) AS title, count(*) AS mentions, min(url) AS first_url FROM n GROUP BY 1",
     "news_keyword_link": f"WITH {HOTELS}, {NEWS}, k AS (SELECT city, count(*) AS hotels FROM h WHERE lower(city) IN ({', '.join(map(_q, TOWNS))}) GROUP BY 1) SELECT n.url, k.city, k.hotels FROM n, k WHERE {_any(chr(108) + 'ower(concat_ws(' + _q(' ') + ', coalesce(n.title, ' + _q('') + '), coalesce(n.summary, ' + _q('') + ')))', MENTIONS)}",
+    "news_keyword_link_whole": f"WITH {HOTELS}, {NEWS}, k AS (SELECT city, count(*) AS hotels FROM h WHERE city IN (SELECT name FROM city) GROUP BY 1) SELECT n.url, k.city, k.hotels FROM n, k WHERE EXISTS (SELECT 1 FROM city c WHERE c.name <> '' AND contains(lower(concat_ws(' ', coalesce(n.title, ''), coalesce(n.summary, ''))), lower(c.name)))",
     "event_titles": f"WITH {EVENTS} SELECT id, upper(regexp_extract(title, '^([A-Za-z_]+):', 1)) AS kind, regexp_extract(trim(regexp_replace(title, '^[A-Za-z_]+:', '')), '(?i)^(.*?) to ', 1) AS from_street, length(trim(regexp_replace(title, '^[A-Za-z_]+:', ''))) AS rest_length FROM e WHERE event_type = 'traffic_incident'",
     "json_slots": "WITH j AS (SELECT doc_id, regexp_extract(text, '(\\{[^{}]*\\})', 1) AS o FROM documents WHERE contains(text, '{')), k AS (SELECT doc_id, CASE WHEN json_valid(o) THEN o END AS o FROM j) SELECT doc_id, json_extract_string(o, '$.severity') AS severity, try_cast(json_extract_string(o, '$.eta') AS DOUBLE) AS eta FROM k",
     "latest_news_topk": f"WITH {NEWS} SELECT url, title, published_at FROM n ORDER BY published_at DESC NULLS FIRST, url LIMIT 10",

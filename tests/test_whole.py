@@ -2,7 +2,7 @@
 
 import pytest
 
-from isleweave.queries import base, graph, ranking
+from isleweave.queries import base, graph, ranking, texts
 
 HOTEL = "id string, name string, description string, rating double, star_rating double, price_range string, price_per_night_lkr double, address string, city_name string, lat double, lng double, source string, last_updated string, loaded_at timestamp"
 EVENT = "id string, title string, event_type string, start_time string, lat double, lng double, news_url string, loaded_at timestamp"
@@ -42,3 +42,23 @@ def test_point_signals_within_five_km(spark, made):
     assert {r.id: (r.severities, r.worst_delay) for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": ("heavy;light;moderate", 7.0), "h2": ("", None), "h3": ("", None)}
     assert {r.id: (r.heavy, r.moderate, r.worst, r.delay) for r in ranking.pool(spark, folder, whole=True).collect() if r.id == "h1"} == {"h1": (True, True, 7.0, 2.0)}
     assert {tuple(r) for r in graph.QUERIES["traffic_status_city_whole"](spark, folder).collect()} == {("Kolavara", 3, 1, 1, 1, 0), ("Elsewhere", 1, 0, 0, 0, 0)}
+
+
+def test_news_that_names_a_city(spark, made):
+    events = [("i", "traffic_incident", 6.01, 80.0, None), ("a", "news", None, None, "u1"), ("b", "news", 6.01, 80.0, "u2"), ("c", "news", None, None, "u3"), ("d", "news", None, None, "u4")]
+    news = [("u1", "Strike in KOLAVARA", "x"), ("u2", "A title", "near Hikkala"), ("u3", "Harbour", None), ("u4", None, "kolavara")]
+    folder = made(events=events, news=news)
+    want = {("h1", "i")} | {(h, e) for h in ("h1", "h3") for e in "abd"}
+    assert sorted((r.src, r.dst) for r in base.edges(spark, folder, whole=True)["AFFECTED_BY"].collect()) == sorted(want)
+    chain = {r.hotel_id: (r.events, r.titles, r.first_title) for r in graph.QUERIES["event_news_chain_whole"](spark, folder).collect()}
+    assert chain == {"h1": (4, 2, "A title"), "h2": (0, 0, None), "h3": (3, 2, "A title")}
+    assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": 4, "h2": 0, "h3": 3}
+    assert {r.id: r.events for r in ranking.pool(spark, folder, whole=True).collect()} == {"h1": 4, "h2": 0, "h3": 3}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in ("hotel", "graph_event", "traffic_signal", "news_signal", "city"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    for query in ("event_news_chain_whole", "candidate_pool_whole", "edge_list_whole"):
+        rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
+        assert rows(graph.QUERIES[query](spark, folder).toPandas()) == rows(con.sql(graph.SQL[query]).df())
+    assert {tuple(r) for r in texts.QUERIES["news_keyword_link_whole"](spark, folder).collect()} == {(u, c, 1) for u in ("u1", "u2", "u4") for c in ("Kolavara", "Hikkala")}
