@@ -140,6 +140,18 @@ def tfidf_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return sc.top_k(sims, ["query_id"], [F.col("similarity").desc(), F.col("id").desc()], K)
 
 
+def tfidf_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten hotels most like each question document whose id is divisible by 20, over name, description, amenities and attractions."""
+    words = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
+    h = base.hotels(spark, folder).select("id", F.concat_ws(" ", "name", "description", words(t.amenities(F.col("description"))), words(t.attraction_kinds(F.col("description")))).alias("text"))
+    d = table(spark, folder, "documents").where((F.col("doc_type") == "qa") & F.col("text").isNotNull() & (F.col("doc_id") % 20 == 0))
+    q = d.groupBy("doc_id").agg(F.min("text").alias("text")).select(F.concat(F.lit("question:"), F.col("doc_id")).alias("id"), "text")
+    w = ev.tf_idf(h.unionByName(q), STOPS)
+    asked = F.col("id").startswith("question:")
+    sims = ev.cosine_scores(w.where(asked).withColumnRenamed("id", "query_id"), w.where(~asked)).withColumn("similarity", sc.half_up(F.col("similarity"), 8))
+    return sc.top_k(sims, ["query_id"], [F.col("similarity").desc(), F.col("id").desc()], K)
+
+
 def _lists(spark: SparkSession, folder: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rankings of the systems ``graph`` and ``filter`` per city, and gold."""
     c = pool(spark, folder, whole)
@@ -265,7 +277,7 @@ def gold_resolution(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, intent_weights, filter_baseline, gold_predicate, tfidf_baseline, rrf_fusion, adaptive_fusion, ranking_metrics,
+        weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, intent_weights, filter_baseline, gold_predicate, tfidf_baseline, tfidf_questions, rrf_fusion, adaptive_fusion, ranking_metrics,
         metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, krippendorff_alpha, majority_vote, judgment_counts, reasons, context_text, persona_weights, gold_resolution,
     )
 }
@@ -359,6 +371,14 @@ SQL = {
         nn AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM w0 GROUP BY 1), w1 AS (SELECT w0.id, w0.term, w0.raw / nn.norm AS w FROM w0 JOIN nn ON nn.id = w0.id),
         sm AS (SELECT a.id AS query_id, b.id, {rounded('sum(a.w * b.w)', 8)} AS similarity FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.id IN ('v1', 'v2', 'v3', 'v4') AND b.id NOT IN ('v1', 'v2', 'v3', 'v4') GROUP BY 1, 2)
         SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) AS rank FROM sm) WHERE rank <= {K}""",
+    "tfidf_questions": f"""WITH {HOTELS}, {AMENITY}, {ATTRACTION}, ma AS (SELECT src, string_agg(dst, ' ') AS v FROM am GROUP BY 1), mt AS (SELECT src, string_agg(dst, ' ') AS v FROM att GROUP BY 1),
+        d AS (SELECT h.id, false AS asked, concat_ws(' ', h.name, h.description, ma.v, mt.v) AS text FROM h LEFT JOIN ma ON ma.src = h.id LEFT JOIN mt ON mt.src = h.id
+            UNION ALL SELECT concat('question:', doc_id), true, min(text) FROM documents WHERE doc_type = 'qa' AND text IS NOT NULL AND doc_id % 20 = 0 GROUP BY doc_id),
+        tk AS (SELECT id, asked, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM d), tf AS (SELECT id, asked, term, count(*) AS tf FROM tk WHERE length(term) >= 2 AND term NOT IN {_STOP} GROUP BY 1, 2, 3),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w0 AS (SELECT tf.id, tf.asked, tf.term, tf.tf * (ln((1e0 + (SELECT count(*) FROM d)) / (1 + df.df)) + 1) AS raw FROM tf JOIN df ON df.term = tf.term),
+        nn AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM w0 GROUP BY 1), w1 AS (SELECT w0.id, w0.asked, w0.term, w0.raw / nn.norm AS w FROM w0 JOIN nn ON nn.id = w0.id),
+        sm AS (SELECT a.id AS query_id, b.id, {rounded('sum(a.w * b.w)', 8)} AS similarity FROM w1 a JOIN w1 b ON a.term = b.term WHERE a.asked AND NOT b.asked GROUP BY 1, 2)
+        SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) AS rank FROM sm) WHERE rank <= {K}""",
     "rrf_fusion": f"WITH {_LISTS}, y AS (SELECT query_id, CASE WHEN system = 'graph' THEN 0 ELSE 1 END AS list, 1e0 AS weight, rank, item FROM l), {_FUSED}",
     "adaptive_fusion": f"WITH {_LISTS}, z AS (SELECT city AS query_id, count(*) < 20 AS small FROM c GROUP BY 1), y AS (SELECT l.query_id, CASE WHEN (system = 'graph') = small THEN 1 ELSE 0 END AS list, CASE WHEN (system = 'graph') = small THEN 1e0 ELSE 2e0 END AS weight, rank, item FROM l JOIN z ON z.query_id = l.query_id), {_FUSED}",
     "ranking_metrics": f"WITH {_METRICS} SELECT system, query_id, {', '.join(f'{rounded(n, 6)} AS {n}' for n in NAMES)} FROM m",

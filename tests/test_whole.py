@@ -62,3 +62,11 @@ def test_news_that_names_a_city(spark, made):
         rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
         assert rows(graph.QUERIES[query](spark, folder).toPandas()) == rows(con.sql(graph.SQL[query]).df())
     assert {tuple(r) for r in texts.QUERIES["news_keyword_link_whole"](spark, folder).collect()} == {(u, c, 1) for u in ("u1", "u2", "u4") for c in ("Kolavara", "Hikkala")}
+
+
+def test_questions_are_searched_by_name_too(spark, made):
+    folder = made()
+    docs = [(i, k, x) for i, k, x in ((20, "qa", "what of h1?"), (40, "qa", "h3 or h2"), (41, "qa", "h1"), (60, "news", "h1"), (80, "qa", None))]
+    spark.createDataFrame(docs, "doc_id long, doc_type string, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {(r.query_id, r.id) for r in ranking.QUERIES["tfidf_questions"](spark, folder).collect()}
+    assert got == {("question:20", "h1"), ("question:40", "h2"), ("question:40", "h3")}
