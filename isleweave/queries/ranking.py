@@ -78,22 +78,24 @@ def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = Fa
     return _ranked(weighted(left)).join(flags, "id").select("city", "rank", "id", "score", "filters_relaxed")
 
 
-def _personal(spark: SparkSession, folder: str, preference: str) -> DataFrame:
-    c = pool(spark, folder).where(F.col("city") == "Kolavara")
+def _personal(spark: SparkSession, folder: str, preference: str, whole: bool = False) -> DataFrame:
+    c = pool(spark, folder, True) if whole else pool(spark, folder).where(F.col("city") == "Kolavara")
     km = sc.half_up(F.when(F.col("known"), distance_km(F.lit(EVENT["lat"]), F.lit(EVENT["lng"]), F.col("lat"), F.col("lng"))), 6)
     p = parts()
     rows = c.withColumn("event_km", km).select("id", "city", "event_km", *[x.alias(k) for k, x in p.items()]).withColumn("event", sc.event_affinity(F.col("event_km"), EVENT["radius"], preference, ["city"]))
     dis = F.when(F.coalesce(F.col("event_km") <= EVENT["radius"], F.lit(False)), F.greatest(F.lit(0.0), F.col("disruption") - 0.45)).otherwise(F.col("disruption")) if preference == "avoid" else F.col("disruption")
     every = {**{k: F.col(k) for k in p}, "disruption": dis, "event": F.col("event")}
-    return _ranked(rows.withColumn("score", sc.half_up(sc.weighted_total(every, SEEK | {"event": 0.30}), 4))).select("rank", "id", "score", sc.half_up(F.col("event"), 3).alias("event"))
+    return _ranked(rows.withColumn("score", sc.half_up(sc.weighted_total(every, SEEK | {"event": 0.30}), 4))).select(*["city"] * whole, "rank", "id", "score", sc.half_up(F.col("event"), 3).alias("event"))
 
 
-def personalized_event_seek(spark: SparkSession, folder: str) -> DataFrame:
-    return _personal(spark, folder, "seek")
+def personalized_event_seek(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """The ten best hotels of one city (for ``whole`` of every city) for those who seek an event."""
+    return _personal(spark, folder, "seek", whole)
 
 
-def personalized_event_avoid(spark: SparkSession, folder: str) -> DataFrame:
-    return _personal(spark, folder, "avoid")
+def personalized_event_avoid(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """The ten best hotels of one city (for ``whole`` of every city) for those who avoid an event."""
+    return _personal(spark, folder, "avoid", whole)
 
 
 def intent_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,7 +285,7 @@ QUERIES = {
 }
 #: Queries that are registered over the whole links too; the others on the pool read neither events nor signals.
 WHOLE = (
-    weighted_retrieve, weighted_retrieve_relaxed, rrf_fusion, adaptive_fusion, ranking_metrics, metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, reasons, context_text,
+    weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, rrf_fusion, adaptive_fusion, ranking_metrics, metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, reasons, context_text,
 )
 QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
@@ -399,3 +401,6 @@ SQL = {
     "reasons": f"WITH {_POOL}, {_WEIGHTED} SELECT city, rank, id, coalesce(concat_ws('; ', CASE WHEN spatial > 0.7e0 THEN 'close to the centre' END, CASE WHEN accessibility > 0.7e0 THEN 'quick to reach' END, CASE WHEN facility > 0.5e0 THEN 'well equipped' END, CASE WHEN disruption < 0.5e0 THEN 'disturbed' END, CASE WHEN disruption > 0.85e0 THEN 'undisturbed' END), '') AS reasons FROM wr WHERE rank <= {K}",
 }
 SQL |= {f"{f.__name__}_whole": base.whole_sql(SQL[f.__name__]) for f in WHOLE}
+for _k in ("seek", "avoid"):
+    _sql = SQL[f"personalized_event_{_k}_whole"].replace(" WHERE city = 'Kolavara'", "").replace("row_number() OVER (ORDER BY", "row_number() OVER (PARTITION BY city ORDER BY").replace("SELECT rank, id,", "SELECT city, rank, id,")
+    SQL[f"personalized_event_{_k}_whole"] = _sql.replace("(event_km) OVER ()", "(event_km) OVER (PARTITION BY city)")

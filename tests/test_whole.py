@@ -70,3 +70,9 @@ def test_questions_are_searched_by_name_too(spark, made):
     spark.createDataFrame(docs, "doc_id long, doc_type string, text string").write.parquet(f"{folder}/documents.parquet")
     got = {(r.query_id, r.id) for r in ranking.QUERIES["tfidf_questions"](spark, folder).collect()}
     assert got == {("question:20", "h1"), ("question:40", "h2"), ("question:40", "h3")}
+
+
+def test_personal_rankings_of_every_city(spark, made):
+    folder = made()
+    for name in ("personalized_event_seek_whole", "personalized_event_avoid_whole"):
+        assert {(r.city, r.rank, r.id) for r in ranking.QUERIES[name](spark, folder).collect()} == {("Kolavara", 1, "h1"), ("Elsewhere", 1, "h2"), ("Hikkala", 1, "h3")}
