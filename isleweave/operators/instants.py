@@ -1,17 +1,29 @@
 """Timestamps of mixed formats and time zones, normalised to UTC instants.
 
 Every value is turned into the array of all its valid interpretations, as built-in expressions. Each source's records
-are then read in the order of loading and one interpretation per value is chosen by Viterbi: an interpretation later
-than its load, a long lag, a change of format and a backward jump in time all cost something.
+are then read in the order of loading and one interpretation per value is chosen by Viterbi over the whole source: an
+interpretation later than its load, a long lag, a change of format and a backward jump in time all cost something.
+
+The order of all sources is cut into blocks of about equal size, wherever that falls. A record of one reading separates
+what is before from what is after, so only runs of ambiguous records need a search, and only runs that touch an end of
+their block need to hear from other blocks: each block tells what it costs to enter and to leave it by every reading
+(min-plus sums), the driver puts these few numbers in a row and fixes the readings at the ends of the blocks, and the
+blocks are then read a second time. The choice is that of one search over the whole source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from ..plans.shipping import ship
+from ..plans.skew import join_small
+
 #: Zone abbreviations and the offsets, in minutes, that each may mean.
 ZONES = {
     "Z": [0], "UTC": [0], "GMT": [0], "UT": [0], "WET": [0], "WEST": [60], "BST": [60], "IST": [330, 60], "SLST": [330], "CET": [60], "CEST": [120], "MEZ": [60], "MESZ": [120],
@@ -19,8 +31,10 @@ ZONES = {
     "AEST": [600], "AEDT": [660], "ACST": [570], "ACDT": [630], "AWST": [480], "NZST": [720], "NZDT": [780], "JST": [540], "SGT": [480], "PKT": [300], "NPT": [345],
 }
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-#: Records of one source loaded within so many seconds form one chain. Chains are independent, so a source that holds most rows is still spread over many tasks.
-CHAIN_S = 86_400
+#: Records per block of the order (more where there would be more than MOST_BLOCKS); a worker holds one block at a time.
+BLOCK, MOST_BLOCKS = 20_000, 100_000
+#: Numbers of the forms, by which a change of form is told.
+FORM_NAMES = ["iso", "basic", "words", "american", "dmy", "mdy", "unix"]
 #: Costs: all-number date not in the source's order; abbreviation not of the source's zone; change of format; hour of backward jump (at most ten); load before the instant.
 ORDER_COST, ZONE_COST, SWITCH_COST, BACK_COST, EARLY_COST = 60.0, 6.0, 0.2, 0.5, 25.0
 #: Clock skew allowed between instant and load.
@@ -109,52 +123,152 @@ def with_readings(rows: DataFrame, value: str, home_zone: str, date_order: str)
     return out.select(*keep, F.when(col("__form").isNull(), nothing).when(col("__form") == "unix", in_unix).otherwise(F.concat(first, second)).alias("readings"))
 
 
-def _choose(readings: list[np.ndarray], forms: list[list[str]], costs: list[np.ndarray], loaded: np.ndarray) -> list[int]:
-    """Viterbi over one chain: the index of the chosen reading of each record."""
-    best, back = None, []
-    for k, (utc, form, cost) in enumerate(zip(readings, forms, costs)):
-        lag = loaded[k] - utc
-        score = cost + np.where(lag < -SKEW_S, EARLY_COST, np.log1p(np.maximum(lag, 0) / 3600.0))
-        if best is None:
-            back.append(np.zeros(len(utc), dtype=int))
-            best = score
-        else:
-            last_utc, last_form = readings[k - 1], forms[k - 1]
-            jump = np.minimum(np.maximum(last_utc[:, None] - utc[None, :], 0) / 3600.0, 10.0) * BACK_COST
-            switch = np.array([[SWITCH_COST if a != b else 0.0 for b in form] for a in last_form])
-            step = best[:, None] + jump + switch
-            back.append(step.argmin(axis=0))
-            best = step.min(axis=0) + score
-    at = int(best.argmin())
-    path = [at]
-    for k in range(len(back) - 1, 0, -1):
-        at = int(back[k][at])
-        path.append(at)
-    return path[::-1]
-
-
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["loaded_s", "id", "value"], kind="stable").reset_index(drop=True)
-    one = np.fromiter((len(u) == 1 for u in pdf["utc"]), dtype=bool, count=len(pdf))
-    utc, form, cost = list(pdf["utc"]), list(pdf["form"]), list(pdf["cost"])
-    chosen = np.array([u[0] for u in utc], dtype="int64")
-    # a record with a single reading separates what is before from what is after, so only runs of ambiguous records need the search
-    k, n, loaded = 0, len(pdf), pdf["loaded_s"].to_numpy()
-    while k < n:
-        if one[k]:
-            k += 1
+class Block:
+    """Records in order: per record (row) and reading (column) the instant, the form and the cost, infinite where there is no such reading."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.sizes = np.fromiter(map(len, pdf["utc"]), dtype=np.int64, count=len(pdf))
+        row = np.repeat(np.arange(len(pdf)), self.sizes)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        shape = len(pdf), int(self.sizes.max()) if len(pdf) else 1
+        self.utc, self.form, self.own = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64), np.full(shape, np.inf)
+        if len(row):
+            self.utc[row, column], self.form[row, column] = np.concatenate(list(pdf["utc"])), np.concatenate(list(pdf["form"]))
+            lag = pdf["loaded_s"].to_numpy()[row] - self.utc[row, column]
+            self.own[row, column] = np.concatenate(list(pdf["cost"])) + np.where(lag < -SKEW_S, EARLY_COST, np.log1p(np.maximum(lag, 0) / 3600.0))
+
+
+def _step(utc: np.ndarray, form: np.ndarray, next_utc: np.ndarray, next_form: np.ndarray) -> np.ndarray:
+    """Cost of going from each reading of a record to each reading of the next (of many records at once)."""
+    back = np.minimum(np.maximum(utc[..., :, None] - next_utc[..., None, :], 0) / 3600.0, 10.0) * BACK_COST
+    return back + SWITCH_COST * (form[..., :, None] != next_form[..., None, :])
+
+
+def _through(block: Block, a: int, b: int) -> np.ndarray:
+    """Least cost from each reading of record a to each of record b - 1, all records between included."""
+    m = np.full((block.own.shape[1],) * 2, np.inf)
+    np.fill_diagonal(m, block.own[a])
+    for k in range(a + 1, b):
+        m = (m[:, :, None] + _step(block.utc[k - 1], block.form[k - 1], block.utc[k], block.form[k])[None]).min(axis=1) + block.own[k][None]
+    return m[: block.sizes[a], : block.sizes[b - 1]]
+
+
+def _choose(block: Block, runs: list[tuple[int, int]], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Viterbi over many runs at once: all their records, and the chosen reading of each."""
+    runs = sorted(runs, key=lambda r: r[0] - r[1])
+    start, size = np.array([a for a, _ in runs]), np.array([b - a for a, b in runs])
+    best, pointers = own[start].copy(), np.zeros(own.shape, dtype=np.int64)
+    going = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")  # runs longer than t come first
+    for t in range(1, int(size[0])):
+        at = start[: going[t]] + t
+        step = best[: going[t], :, None] + _step(block.utc[at - 1], block.form[at - 1], block.utc[at], block.form[at])
+        pointers[at] = step.argmin(axis=1)
+        best[: going[t]] = step.min(axis=1) + own[at]
+    chosen, records, readings = best.argmin(axis=1), [], []
+    for t in range(int(size[0]) - 1, -1, -1):
+        at = start[: going[t]] + t
+        records.append(at)
+        readings.append(chosen[: going[t]].copy())
+        chosen[: going[t]] = pointers[at, chosen[: going[t]]] if t else chosen[: going[t]]
+    return np.concatenate(records), np.concatenate(readings)
+
+
+def _chains(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Ends of the chains (one field of one source) in a block that is in order."""
+    new = (pdf["field_name"] != pdf["field_name"].shift()) | (pdf["source"] != pdf["source"].shift())
+    starts = [*np.flatnonzero(new.to_numpy()), len(pdf)]
+    yield from zip(starts, starts[1:])
+
+
+def _runs(one: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Runs of ambiguous records in a..b, each with the records of one reading beside it."""
+    many = np.flatnonzero(~one[a:b]) + a
+    if len(many):
+        for run in np.split(many, np.flatnonzero(np.diff(many) > 1) + 1):
+            yield max(int(run[0]) - 1, a), min(int(run[-1]) + 2, b)
+
+
+ENDS = "block int, field_name string, source string, at_start boolean, whole boolean, utc array<array<bigint>>, form array<array<int>>, costs array<array<double>>"
+
+
+def _ends(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """What other blocks must know of a block: of its first and last chain, the readings at the end and the costs to pass.
+
+    A chain that fills the block and has no record of one reading gives one row of the whole; others give a row for
+    each end of the block, up to their outermost record of one reading.
+    """
+    block = Block(pdf)
+    for a, b in _chains(pdf):
+        if a > 0 and b < len(pdf):
             continue
-        a = max(k - 1, 0)
-        while k < n and not one[k]:
-            k += 1
-        b = min(k + 1, n)
-        path = _choose([np.asarray(u, dtype="float64") for u in utc[a:b]], [list(f) for f in form[a:b]], [np.asarray(c, dtype="float64") for c in cost[a:b]], loaded[a:b])
-        for i, j in zip(range(a, b), path):
-            chosen[i] = utc[i][j]
-    return pd.DataFrame({"field_name": pdf["field_name"], "id": pdf["id"], "value": pdf["value"], "utc_s": chosen})
+        name = int(pdf["block"].iloc[0]), pdf["field_name"].iloc[a], pdf["source"].iloc[a]
+        single = np.flatnonzero(block.sizes[a:b] == 1) + a
+        pieces = [(a, b, True, True)] if not len(single) else [(a, int(single[0]) + 1, True, False), (int(single[-1]), b, False, False)]
+        for i, j, start, whole in pieces:
+            if whole or (start and i == 0) or (not start and j == len(pdf)):
+                ends = [(k, block.sizes[k]) for k in (i, j - 1)]
+                yield (*name, start, whole, [block.utc[k, :n].tolist() for k, n in ends], [block.form[k, :n].tolist() for k, n in ends], _through(block, i, j).tolist())
+
+
+def _joined(rows: list) -> dict[tuple[int, str, str], tuple[int | None, int | None]]:
+    """The fixed first and last reading of every chain that goes on in another block; ``rows`` are those of ``_ends``."""
+    fixed: dict[tuple[int, str, str], list] = {}
+    rows = sorted(rows, key=lambda r: (r.field_name, r.source, r.block, not r.at_start))
+    k = 0
+    while k < len(rows):
+        # a stretch starts after a record of one reading and goes on while whole blocks are ambiguous
+        end = k + 1
+        while end < len(rows) and (rows[end].field_name, rows[end].source) == (rows[k].field_name, rows[k].source) and (rows[end - 1].whole or not rows[end - 1].at_start) and rows[end].block > rows[end - 1].block:
+            end += 1
+        part = rows[k:end]
+        if len(part) > 1:
+            best, back = np.asarray(part[0].costs).min(axis=0), []
+            for p, q in zip(part, part[1:]):
+                m = np.asarray(q.costs)
+                enter = best[:, None] + _step(*map(np.asarray, (p.utc[1], p.form[1], q.utc[0], q.form[0])))
+                through = enter.min(axis=0)[:, None] + m
+                back.append((enter.argmin(axis=0), through.argmin(axis=0)))
+                best = through.min(axis=0)
+            last = int(best.argmin())
+            for i in range(len(part) - 1, 0, -1):
+                of, first = part[i], int(back[i - 1][1][last])
+                entry = fixed.setdefault((of.block, of.field_name, of.source), [None, None])
+                entry[0] = first
+                if of.whole:
+                    entry[1] = last
+                last = int(back[i - 1][0][first])
+            of = part[0]
+            fixed.setdefault((of.block, of.field_name, of.source), [None, None])[1] = last
+            if of.whole:
+                fixed[(of.block, of.field_name, of.source)][0] = int(np.asarray(of.costs)[:, last].argmin())
+        k = end
+    return {key: tuple(v) for key, v in fixed.items()}
+
 
+def _chosen(pdf: pd.DataFrame, fixed: dict) -> pd.DataFrame:
+    block = Block(pdf)
+    own, runs = block.own.copy(), []
+    for a, b in _chains(pdf):
+        for at, reading in zip((a, b - 1), fixed.get((int(pdf["block"].iloc[0]), pdf["field_name"].iloc[a], pdf["source"].iloc[a]), (None, None))):
+            if reading is not None:
+                own[at, np.arange(own.shape[1]) != reading] = np.inf
+        runs += _runs(block.sizes == 1, a, b)
+    reading = np.zeros(len(pdf), dtype=np.int64)
+    if runs:
+        records, readings = _choose(block, runs, own)
+        reading[records] = readings  # runs share records of one reading only
+    return pd.DataFrame({"field_name": pdf["field_name"], "id": pdf["id"], "value": pdf["value"], "utc_s": block.utc[np.arange(len(pdf)), reading]})
 
-def normalise_instants(values: DataFrame, feeds: DataFrame) -> DataFrame:
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The whole blocks of a partition."""
+    parts = [b for b in batches if len(b)]
+    if parts:
+        whole = pd.concat(parts, ignore_index=True)
+        yield from (block.reset_index(drop=True) for _, block in whole.groupby("block", sort=True))
+
+
+def normalise_instants(values: DataFrame, feeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """``field_name, id, value, utc_s``: one row per distinct ``field_name, id, value`` that denotes an instant.
 
     ``values`` has ``field_name, id, source, value`` (string) and ``loaded_at`` (timestamp, may be null: read as the
@@ -163,19 +277,30 @@ def normalise_instants(values: DataFrame, feeds: DataFrame) -> DataFrame:
     values, dates without time, and rows with a null id give no row. The same value under one id keeps its earliest
     load.
 
-    Scale: readings are built-in expressions. Chains are cut per source and day of loading, so no group grows with the
-    size of a source; only values with more than one reading cost a search.
+    Scale: readings are built-in expressions. The order is cut into blocks of about ``block`` records by range, so no
+    task grows with the size of a source; two chains of each block, and at most three rows, go to the driver.
     """
+    ship(values.sparkSession)
     once = (
         values.where(F.col("id").isNotNull() & F.col("value").isNotNull() & (F.trim("value") != ""))
         .groupBy("field_name", "id", "source", "value")
         .agg(F.coalesce(F.min(F.unix_seconds(F.col("loaded_at").cast("timestamp"))), F.lit(0)).alias("loaded_s"))
     )
     zones = feeds.where(F.col("source").isNotNull()).groupBy("source").agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order"))
-    read = with_readings(once.join(zones, "source", "left"), "value", "home_zone", "date_order")
-    flat = read.select("field_name", "id", F.coalesce("source", F.lit("")).alias("source"), "value", "loaded_s", F.col("readings.utc_s").alias("utc"), F.col("readings.form").alias("form"), F.col("readings.cost").alias("cost"), F.floor(F.col("loaded_s") / CHAIN_S).alias("chain"))
-    keys = ["field_name", "source", "chain"]
-    flagged = flat.withColumn("search", F.max(F.size("utc") > 1).over(Window.partitionBy(*keys)))
-    plain = flagged.where(~F.col("search") & (F.size("utc") > 0)).select("field_name", "id", "value", F.col("utc")[0].alias("utc_s"))
-    chosen = flagged.where(F.col("search") & (F.size("utc") > 0)).drop("search").groupBy(*keys).applyInPandas(_chain, "field_name string, id string, value string, utc_s bigint")
-    return plain.unionByName(chosen).distinct()
+    read = with_readings(join_small(once, zones, ["source"], "left"), "value", "home_zone", "date_order")
+    flat = read.select("field_name", "id", F.coalesce("source", F.lit("")).alias("source"), "value", "loaded_s", F.col("readings.utc_s").alias("utc"), F.transform("readings.form", lambda f: F.array_position(F.array(*map(F.lit, FORM_NAMES)), f).cast("int")).alias("form"), F.col("readings.cost").alias("cost"))
+    flat = cut(flat).where(F.size("utc") > 0)  # after the cut: pushed below, the test would compute the readings again
+    order = ["field_name", "source", "loaded_s", "id", "value"]
+    ordered = cut(flat.repartitionByRange(min(MOST_BLOCKS, -(-flat.count() // block)) or 1, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id()))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _blocks(batches):
+            yield pd.DataFrame(list(_ends(pdf)), columns=[c.split()[0] for c in ENDS.split(", ")])
+
+    fixed = _joined(ordered.drop("id", "value").mapInPandas(ends, ENDS).collect())  # at most three rows a block
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _blocks(batches):
+            yield _chosen(pdf, fixed)
+
+    return ordered.mapInPandas(chosen, "field_name string, id string, value string, utc_s bigint").distinct()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isleweave.functions.geo import distance_km
+from isleweave.operators import instants as inst
 from isleweave.operators.instants import normalise_instants
 from isleweave.operators.proximity import near_pairs, points_in_regions
 from isleweave.operators.units import hotel_units, not_in_common_unit, tidy_unit, unit_dictionary
@@ -127,3 +128,38 @@ def test_repeated_hour_is_chosen_by_the_load(spark):
     rows = [("f", "first", "berlin", "2025-10-26T02:10:00", at(2025, 10, 26, 0, 20), None), ("f", "second", "berlin", "2025-10-26T02:40:00", at(2025, 10, 26, 1, 50), None)]
     got = {r.id: r.utc_s for r in normalise_instants(spark.createDataFrame(rows, VALUE), feeds).collect()}
     assert got == {"first": utc(2025, 10, 26, 0, 10), "second": utc(2025, 10, 26, 1, 40)}
+
+
+def _mixed_feed(n, seed):
+    """Values of one source that are mostly ambiguous: all-number dates and abbreviations of two meanings, over days."""
+    r = random.Random(seed)
+    rows, t = [], 1_735_600_000
+    for k in range(n):
+        t += r.randrange(600, 9000)
+        at = datetime.fromtimestamp(t, timezone.utc)
+        kind = r.random()
+        text = at.strftime("%d/%m/%Y %H:%M") if kind < 0.5 else at.strftime("%a, %d %b %Y %H:%M:%S IST") if kind < 0.9 else at.strftime("%Y-%m-%dT%H:%M:%S+00:00")
+        rows.append(("f", f"i{k:04d}", r.choice(["s", "s", "s", "q"]), text, datetime.fromtimestamp(t + r.randrange(60, 90_000), timezone.utc), None))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1, 3, 40])
+def test_instants_in_blocks_equal_one_search(spark, monkeypatch, block):
+    monkeypatch.setattr(inst, "ORDER_COST", 0.4)  # so that the search, not the source's order, decides
+    monkeypatch.setattr(inst, "ZONE_COST", 0.3)
+    values = spark.createDataFrame(_mixed_feed(240, 5), VALUE)
+    feeds = spark.createDataFrame([("s", "Asia/Colombo", "dmy"), ("q", "Europe/London", "mdy")], "source string, home_zone string, date_order string")
+    zones = feeds.withColumnRenamed("source", "src")
+    read = inst.with_readings(values.join(zones, values["source"] == zones["src"]).withColumn("s", F.unix_seconds("loaded_at")), "value", "home_zone", "date_order").select("id", "source", "s", "readings").collect()
+    want = {}
+    for source in ("s", "q"):
+        chain = sorted((x for x in read if x.source == source), key=lambda x: (x.s, x.id))
+        best = [(0.0, ())]
+        for k, x in enumerate(chain):  # every path that may still win, one per last reading
+            lag = lambda u: x.s - u
+            own = [y.cost + (inst.EARLY_COST if lag(y.utc_s) < -inst.SKEW_S else math.log1p(max(lag(y.utc_s), 0) / 3600)) for y in x.readings]
+            go = lambda p, y: 0 if p is None else min(max(p.utc_s - y.utc_s, 0) / 3600, 10) * inst.BACK_COST + inst.SWITCH_COST * (p.form != y.form)
+            best = [min((c + o + go(p[-1] if p else None, y), (*p, y)) for c, p in best) for y, o in zip(x.readings, own)]
+        want |= {x.id: y.utc_s for x, y in zip(chain, min(best)[1])}
+    assert sum(len(x.readings) > 1 for x in read) > 150
+    assert {x.id: x.utc_s for x in normalise_instants(values, feeds, block).collect()} == want
