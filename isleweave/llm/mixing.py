@@ -17,25 +17,26 @@ def sized_documents(documents: DataFrame, vocabulary: str | None = None) -> Data
     return cut(documents.select("doc_id", "source", token_count(documents.sparkSession, F.col("text"), vocabulary).alias("tokens")))
 
 
-def mixing_rates(sized: DataFrame, mix: DataFrame) -> DataFrame:
+def mixing_rates(sized: DataFrame, mix: DataFrame, total: float | None = None) -> DataFrame:
     """One row per source of either table: ``source, target_share, max_repeats, tokens, share, rate``.
 
     ``rate`` is how often each document is used on average. Sources with documents, tokens and a positive target take
-    part; their targets are scaled to sum 1 (``share``). The total is the largest that no source's cap
-    (``max_repeats``) forbids, so shares are met exactly in expectation and the source that runs out first is used
-    exactly ``max_repeats`` times. Others have rate 0. A null cap means no cap (with no cap at all, the total is that
-    of the corpus). Sources must be unique in ``mix``; a null source takes no part.
+    part; their targets are scaled to sum 1 (``share``). The mix aims at ``total`` tokens, by default those of all
+    sources that take part. A source whose cap (``max_repeats``) forbids its share is used exactly ``max_repeats``
+    times and falls short, which ``reached_shares`` reports; the others still get their share of the total, so a tiny
+    source never shrinks them. Others have rate 0. A null cap means no cap. Sources must be unique in ``mix``; a null
+    source takes no part.
     """
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     all_ = mix.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(sizes, "source", "full")
     part = (F.col("source").isNotNull()) & (F.col("tokens") > 0) & (F.col("target_share") > 0) & F.coalesce(F.col("max_repeats") > 0, F.lit(True))
     goal = F.when(part, F.col("target_share"))
-    sums = all_.agg(F.sum(goal).alias("goals"), F.sum(F.when(part, F.col("tokens"))).alias("corpus"), F.min(F.when(part, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).alias("most"), F.lit(1).alias("one"))
+    sums = all_.agg(F.sum(goal).alias("goals"), F.sum(F.when(part, F.col("tokens"))).alias("corpus"), F.lit(1).alias("one"))
     out = all_.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one")  # sums is one row
-    total = F.coalesce(F.col("most") * F.col("goals"), F.col("corpus"))
     share = goal / F.col("goals")
-    rate = F.coalesce(share * total / F.when(F.col("tokens") > 0, F.col("tokens")), F.lit(0.0))
-    rate = F.least(rate, F.coalesce(F.col("max_repeats").cast("double"), rate))  # guards against rounding above the cap
+    aim = F.col("corpus") if total is None else F.lit(float(total))
+    rate = F.coalesce(share * aim / F.when(F.col("tokens") > 0, F.col("tokens")), F.lit(0.0))
+    rate = F.least(rate, F.coalesce(F.col("max_repeats").cast("double"), rate))
     return out.select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(share, F.lit(0.0)).alias("share"), rate.alias("rate"))
 
 
@@ -51,18 +52,19 @@ def with_copies(sized: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFra
     return join_small(sized, rates.select("source", "rate"), ["source"], "left").withColumn("copies", copies.cast("int")).drop("rate")
 
 
-def mixed(documents: DataFrame, mix: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(documents: DataFrame, mix: DataFrame, seed: int = SEED, total: float | None = None) -> DataFrame:
     """``doc_id, source, tokens, copy``: one row per use of a document, ``copy`` from 1."""
     sized = sized_documents(documents)
-    used = with_copies(sized, mixing_rates(sized, mix), seed).where(F.col("copies") > 0)
+    used = with_copies(sized, mixing_rates(sized, mix, total), seed).where(F.col("copies") > 0)
     return used.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
-def reached_shares(documents: DataFrame, mix: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per source: target, cap, corpus tokens, rate, tokens and documents in the mix, most copies, share reached."""
+def reached_shares(documents: DataFrame, mix: DataFrame, seed: int = SEED, total: float | None = None) -> DataFrame:
+    """One row per source: target, cap, corpus tokens, rate, tokens and documents in the mix, most copies, share reached, and how far it stays ``short`` of its share."""
     sized = sized_documents(documents)
-    rates = cut(mixing_rates(sized, mix))
+    rates = cut(mixing_rates(sized, mix, total))
     used = with_copies(sized, rates, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
-    total = used.agg(F.sum("mixed_tokens")).scalar()
+    whole = used.agg(F.sum("mixed_tokens")).scalar()
     both = rates.join(used, rates["source"].eqNullSafe(used["source"]), "left").drop(used["source"])
-    return both.select("source", "target_share", "max_repeats", "tokens", "share", "rate", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mixed_tokens", "mixed_documents", "most_copies")], F.coalesce(F.try_divide("mixed_tokens", total), F.lit(0.0)).alias("share_reached"))
+    reached = F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0))
+    return both.select("source", "target_share", "max_repeats", "tokens", "share", "rate", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mixed_tokens", "mixed_documents", "most_copies")], reached.alias("share_reached"), F.greatest(F.lit(0.0), F.col("share") - reached).alias("short"))

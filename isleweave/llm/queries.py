@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.skew import salted_join
 from ..sources.tables import table
 from .addresses import mined, parsed, same_house
 from .entity_matching import matches
@@ -25,7 +26,7 @@ def _cut_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     title = F.lit("graph_event.title").alias("field_name")
     found = cut_texts(values, news.select(title, F.col("title").alias("value")))
     links = event.where(F.col("news_url").isNotNull()).select("id", F.col("news_url").alias("url")).distinct()
-    whole = links.join(news.select("url", F.col("title").alias("whole")).distinct(), "url").select(title, "id", "whole")
+    whole = salted_join(links, news.select("url", F.col("title").alias("whole")).distinct(), ["url"]).select(title, "id", "whole")
     return values, confirmed(found, whole)
 
 
