@@ -16,8 +16,11 @@ from isleweave.llm import near_duplicates as nd  # noqa: E402
 from isleweave.llm import personal as pe  # noqa: E402
 from isleweave.llm import tokenise as tk  # noqa: E402
 from isleweave.llm import truncation as tr  # noqa: E402
+from isleweave.llm import personal_labels as pl  # noqa: E402
 from isleweave.llm.personal_labels import labelled_texts  # noqa: E402
 
+from held_out import HELD_OUT  # noqa: E402
+
 ODD = "'sdmtlvreLVE  \n\t\r 　xyzäé09,!\"漢½²٠👍‍﻿<|endoftext|>''"
 
 
@@ -231,21 +234,55 @@ def test_retrieval_is_exact_above_the_floor(spark):
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pe.Tagger(pe.trained(texts=500, passes=10))
-
-
-def test_tagger_on_held_out_labels(tagger):
-    hit = found = gold = 0
-    for pieces in labelled_texts(300, seed=99):
-        text = "".join(p for p, _ in pieces)
-        want, at = set(), 0
-        for part, kind in pieces:
-            if kind:
-                want.add((at, at + len(part), kind))
-            at += len(part)
-        got = set(tagger.spans([text])[0])
-        hit, found, gold = hit + len(got & want), found + len(got), gold + len(want)
-    assert hit / gold > 0.95 and hit / found > 0.95
+    return pe.Tagger(pe.read_model())
+
+
+def _pieces(tagger, pieces):
+    """Pieces found, pieces marked."""
+    text, want = "", set()
+    for part, kind in pieces:
+        if kind:
+            want.add((len(text), len(text) + len(part), kind))
+        text += part
+    return set(tagger.spans([text])[0]), want
+
+
+def test_training_learns_and_the_file_belongs_to_the_table():
+    small = pe.Tagger(pe.trained(texts=600, passes=6))
+    pairs = [_pieces(small, p) for p in labelled_texts(200, seed=99)]
+    hit, gold, found = sum(len(g & w) for g, w in pairs), sum(len(w) for _, w in pairs), sum(len(g) for g, _ in pairs)
+    assert hit / gold > 0.8 and hit / found > 0.8
+    import numpy as np
+
+    with np.load(pe.FILE) as kept:
+        assert int(kept["fingerprint"]) == pe.fingerprint(), "run python -m isleweave.llm.personal"
+
+
+def test_tagger_on_held_out_contexts_and_names(tagger):
+    """Recall and precision per kind on sentences that share neither context nor name with the labelled table."""
+    from collections import Counter
+
+    hit, gold, found = Counter(), Counter(), Counter()
+    for line in HELD_OUT.strip().split("\n"):
+        parts = [(m.group(3) or m.group(4), m.group(2)) for m in re.finditer(r"(⟦(\w+)\|([^⟧]*)⟧)|([^⟦]+)", line)]
+        got, want = _pieces(tagger, parts)
+        gold.update(k for *_, k in want), found.update(k for *_, k in got), hit.update(k for *_, k in got & want)
+    for kind in pe.KIND_NAMES:
+        assert hit[kind] / gold[kind] > 0.85 and hit[kind] / found[kind] > 0.85, (kind, hit, gold, found)
+    assert sum(hit.values()) >= 0.9 * sum(gold.values()) and sum(hit.values()) >= 0.9 * sum(found.values())
+
+
+def test_no_label_stands_in_the_tables():
+    import glob
+
+    import pandas as pd
+
+    texts = {t for f in glob.glob("/root/testdata/*/documents.parquet") for t in pd.read_parquet(f, columns=["text"])["text"].dropna()}
+    blob = "\n".join(texts)
+    slot = re.compile(r"\{\{|\}\}|\{\w+\}|<\w+>")
+    for row in [x for part in pl.rows() for x in part]:
+        for fixed in slot.split(row):
+            assert len(fixed.strip()) < 12 or fixed.strip() not in blob, (row, fixed)
 
 
 def test_tagger_on_odd_texts(tagger):
