@@ -360,7 +360,7 @@ The <Place> <Noun>s <Org> <did> a <adj> <noun>.
 the <Place> <Adj> <Noun>s <Org>, said one <role>
 a <role> told the <Place> <Noun> <Org>
 a <adj> <noun> at <Place>, and the <Place> <Org>
-worth Rs. <nn>.<n> million, incl. a <adj> <noun> at <Place>
+costs Rs. <nn>.<n> m, with a <adj> <noun> at <Place>
 The <Place> <noun> unit and the <Place> <Noun> <Org>
 <Org> of <Noun>s and <Noun>s
 <Place> <did> a <adj> <noun> in <Month>.
