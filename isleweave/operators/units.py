@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..plans.lineage import cut
+from ..plans.shipping import ship
 from ..plans.skew import join_small
 
 #: Signs and short forms that no currency list spells out, and the code each stands for.
 SIGNS = [("€", "EUR"), ("£", "GBP"), ("₹", "INR"), ("$", "USD"), ("us$", "USD"), ("a$", "AUD"), ("au$", "AUD"), ("rs", "LKR"), ("slrs", "LKR"), ("රු", "LKR"), ("indian rs", "INR")]
 #: Greatest weighted edit distance, as a share of the longer spelling.
 LIMIT = 0.3
+#: The same for spellings of scales, which are short: "out of ten" may lose a letter, "/10" may not.
+SCALE_LIMIT = 0.15
 TOLERANCE = 0.03
 
 
@@ -66,6 +69,7 @@ def unit_dictionary(spellings: DataFrame, canon: DataFrame, limit: float = LIMIT
     spelling whose best aliases name different units equally well, and one near to nothing, is left out. Nulls are
     left out.
     """
+    ship(spellings.sparkSession)
     words = spellings.where(F.col("spelling").isNotNull()).select("spelling").distinct()
     canon = canon.select(tidy_unit(F.col("alias")).alias("alias"), "unit").where(F.col("alias").isNotNull() & F.col("unit").isNotNull()).distinct()
     exact = words.join(canon, words["spelling"] == canon["alias"]).select("spelling", "unit", F.lit(0.0).alias("share"))
@@ -107,15 +111,21 @@ def currency_mention(text: Column) -> Column:
     return tidy_unit(F.coalesce(pick(named), pick(after), pick(before)))
 
 
-def rating_scale(text: Column, rating: Column) -> Column:
-    """The scale (5, 10 or 100) that a text names for a rating, or null. A number beside the scale must be the rating."""
+#: How texts name the scale of a rating; other spellings are mapped to the nearest of these.
+SCALES = [(f"{w}{x}", str(n)) for n, xs in ((5, ("5", "five")), (10, ("10", "ten")), (100, ("100", "hundred"))) for x in xs for w in ("/", "of ", "out of ")] + [
+    (f"{x}-point", str(n)) for n, xs in ((5, ("5", "five")), (10, ("10", "ten")), (100, ("100", "hundred"))) for x in xs
+] + [("%", "100"), ("percent", "100"), ("per cent", "100")]
+
+
+def rating_mention(text: Column, rating: Column) -> Column:
+    """How a text names the scale of its rating ("out of 10", "%", "ten-point"), or null. A number beside the scale must be the rating."""
     same = lambda c: F.abs(c.try_cast("double") - rating) <= 0.051
-    shape = r"(\d+(?:\.\d+)?)\s*(?:/|out of|of)\s*(5|10|100)(?!\.?\d)"
-    found, of = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
-    percent = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*(?:%|percent\b|per cent\b)", 1)
-    word = F.regexp_extract(F.lower(text), r"\b(five|ten|hundred|5|10|100)[- ]point", 1)
-    words = F.create_map(*[F.lit(x) for k, v in (("five", 5), ("ten", 10), ("hundred", 100), ("5", 5), ("10", 10), ("100", 100)) for x in (k, v)])
-    return F.when(same(found), of.try_cast("int")).when(same(percent), F.lit(100)).when(word != "", F.try_element_at(words, word))
+    low = F.lower(text)
+    of = r"(\d+(?:\.\d+)?)\s*((?:/|out of|of)\s*[a-z0-9]+)(?!\.?\d)"
+    share = r"(\d+(?:\.\d+)?)\s*(%|per ?cent)"
+    point = F.regexp_extract(low, r"\b([a-z]+|\d+)[- ]point", 1)
+    pick = lambda shape: F.when(same(F.regexp_extract(low, shape, 1)), F.regexp_replace(F.regexp_replace(F.regexp_extract(low, shape, 2), r"\s+", " "), "^/ ", "/"))
+    return F.coalesce(pick(of), pick(share), F.when(point != "", F.concat(point, F.lit("-point"))))
 
 
 def usual_scales(rows: DataFrame) -> DataFrame:
@@ -128,22 +138,28 @@ def hotel_units(hotels: DataFrame, fx: DataFrame) -> DataFrame:
     """One row per hotel row: ``id``, the unit of each known value, and the values in common units.
 
     Columns: ``rating_scale`` (5, 10, 100), ``rating_5``, ``currency`` (code of price_per_night), ``price_lkr``,
-    ``lkr_unit`` (LKR, LKR_thousand or a code: what price_per_night_lkr really holds), ``lkr_value``. Null, NaN, zero
-    and negative values are unknown and stay null. A currency that no spelling names is LKR. Extra columns are
-    ignored. An empty input gives an empty result.
+    ``lkr_unit`` (LKR, LKR_thousand or a code: what price_per_night_lkr really holds), ``lkr_value``, ``unplaced``. Null,
+    NaN, zero and negative values are unknown and stay null. An amount whose currency nothing names is in LKR; one
+    whose spelling the dictionary cannot place has no currency and no ``price_lkr``, and the spelling stands in
+    ``unplaced``. Scales of ratings are mined from the descriptions and mapped by a dictionary like the currencies'.
+    Extra columns are ignored. An empty input gives an empty result.
 
     price_per_night_lkr is judged against price_per_night where that is known, else against the range of the values
     that such a comparison confirmed.
     """
     value = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0), F.col(c)).alias(c)
     rows = hotels.select("id", "source", value("rating"), value("price_per_night"), value("price_per_night_lkr"), tidy_unit(F.col("price_currency")).alias("spelling"), F.coalesce("description", F.lit("")).alias("text"))
-    rows = rows.withColumn("spelling", F.coalesce("spelling", currency_mention(F.col("text")))).withColumn("named", rating_scale(F.col("text"), F.col("rating"))).drop("text")
+    rows = rows.withColumn("mention", currency_mention(F.col("text"))).withColumn("scale_spelling", rating_mention(F.col("text"), F.col("rating"))).drop("text")
     canon = fx.select(F.col("currency").alias("alias"), F.col("currency").alias("unit")).unionByName(fx.select(F.col("currency_name").alias("alias"), F.col("currency").alias("unit"))).unionByName(fx.sparkSession.createDataFrame(SIGNS, "alias string, unit string"))
-    rows = with_unit(rows, cut(unit_dictionary(rows.select("spelling"), canon)), "spelling", "currency").withColumn("currency", F.coalesce("currency", F.lit("LKR")))
+    dictionary = cut(unit_dictionary(rows.select(F.explode(F.array("spelling", "mention")).alias("spelling")).distinct(), canon))
+    scales = cut(unit_dictionary(rows.select(F.col("scale_spelling").alias("spelling")).distinct(), fx.sparkSession.createDataFrame(SCALES, "alias string, unit string"), SCALE_LIMIT))
+    rows = with_unit(with_unit(with_unit(rows, dictionary, "spelling", "currency"), dictionary, "mention", "mentioned"), scales, "scale_spelling", "named")
+    rows = rows.withColumn("named", F.col("named").cast("int")).withColumn("currency", F.coalesce("currency", F.when(F.col("spelling").isNull(), F.coalesce("mentioned", F.lit("LKR"))).otherwise(F.col("mentioned"))))
+    rows = rows.withColumn("unplaced", F.when(F.col("currency").isNull(), F.col("spelling"))).drop("spelling", "mention", "mentioned", "scale_spelling")
     # fx has one row per currency (at most some 180 in the world), usual one per source kept small by the same check
     rates = fx.groupBy(F.col("currency").alias("currency")).agg(F.max("lkr_per_unit").alias("rate"))
     table = rates.agg(F.map_from_entries(F.collect_list(F.struct("currency", "rate"))).alias("rates"))
-    rows = rows.join(F.broadcast(rates), "currency", "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
+    rows = rows.join(F.broadcast(rates), "currency", "left").withColumn("rate", F.when(F.col("currency").isNotNull(), F.coalesce("rate", F.lit(1.0))))
     rows = join_small(rows, cut(usual_scales(rows)), ["source"], "left")
 
     scale = F.coalesce("named", "usual", F.lit(5))
@@ -164,7 +180,7 @@ def hotel_units(hotels: DataFrame, fx: DataFrame) -> DataFrame:
     guessed = F.when(fits(v), F.lit("LKR")).when((F.col("currency") != "LKR") & fits(v * F.col("rate")), F.col("currency")).when(fits(v * 1000), F.lit("LKR_thousand")).otherwise(F.lit("LKR"))
     rows = rows.withColumn("lkr_unit", F.when(v.isNotNull(), F.coalesce("judged", guessed)))
     factor = F.when(F.col("lkr_unit") == "LKR_thousand", 1000.0).otherwise(F.coalesce(F.try_element_at("rates", F.col("lkr_unit")), F.lit(1.0)))
-    return rows.select("id", "source", "rating", "rating_scale", "rating_5", "price_per_night", F.when(F.col("price_per_night").isNotNull(), F.col("currency")).alias("currency"), "price_lkr", "price_per_night_lkr", "lkr_unit", (v * factor).alias("lkr_value"))
+    return rows.select("id", "source", "rating", "rating_scale", "rating_5", "price_per_night", F.when(F.col("price_per_night").isNotNull(), F.col("currency")).alias("currency"), "price_lkr", "price_per_night_lkr", "lkr_unit", (v * factor).alias("lkr_value"), F.when(F.col("price_per_night").isNotNull(), F.col("unplaced")).alias("unplaced"))
 
 
 def not_in_common_unit(units: DataFrame) -> DataFrame:

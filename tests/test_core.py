@@ -163,3 +163,26 @@ def test_instants_in_blocks_equal_one_search(spark, monkeypatch, block):
         want |= {x.id: y.utc_s for x, y in zip(chain, min(best)[1])}
     assert sum(len(x.readings) > 1 for x in read) > 150
     assert {x.id: x.utc_s for x in normalise_instants(values, feeds, block).collect()} == want
+
+
+def test_a_spelling_no_dictionary_places_is_reported(spark):
+    fx = spark.createDataFrame([("LKR", "Sri Lankan rupee", 1.0), ("USD", "US dollar", 300.0)], "currency string, currency_name string, lkr_per_unit double")
+    rows = [("a", "zorkmid", 50.0, None), ("b", None, 50.0, None), ("c", "zorkmid", 50.0, "Rates are quoted in US dollar"), ("d", "US dolar", 50.0, None), ("e", " ", 50.0, "Rated 8.4 out of tenn."), ("f", None, None, "8.4 out of 10")]
+    hotels = spark.createDataFrame([(i, "s", 8.4, p, None, c, t) for i, c, p, t in rows], "id string, source string, rating double, price_per_night double, price_per_night_lkr double, price_currency string, description string")
+    got = {r.id: r for r in hotel_units(hotels, fx).collect()}
+    assert (got["a"].currency, got["a"].price_lkr, got["a"].unplaced) == (None, None, "zorkmid")
+    assert [got[i].currency for i in "bcde"] == ["LKR", "USD", "USD", "LKR"] and all(got[i].unplaced is None for i in "bcde")
+    assert got["e"].rating_scale == got["f"].rating_scale == 10 and got["f"].unplaced is None
+
+
+def test_a_crowded_cell_is_split(spark):
+    from isleweave.plans import skew
+
+    r = random.Random(8)
+    spots = [(f"s{i}", 6.0 + r.uniform(0, 3e-4), 80.0 + r.uniform(0, 3e-4)) for i in range(600)] + [(f"t{i}", r.uniform(-60, 60), r.uniform(-170, 170)) for i in range(600)]
+    hotels = [("h", 6.0001, 80.0001), ("far", 50.0, 50.0)]
+    a, b = spark.createDataFrame(hotels, POINT), spark.createDataFrame(spots, POINT)
+    counts = b.groupBy(F.lit(1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    assert skew.hot_keys(counts, ["cell"], "n", least=100).first()["__salts"] == 12
+    want = {("h", i) for i, y, x in spots if km((6.0001, 80.0001), (y, x)) <= 0.02}
+    assert {(x.left_id, x.right_id) for x in near_pairs(a, b, 0.02).collect()} == want and len(want) > 100
