@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from ..plans.skew import salted_join
+from ..plans.skew import join_small, salted_join
 
 #: Notes that name no house, and names of the country.
 CARE_OF = r"\b(?:c/o|care of|attn:?)\b[^,]*(?:,|$)"
@@ -89,7 +89,7 @@ def _rewritten(houses: DataFrame, rewrites: DataFrame) -> DataFrame:
     """``houses`` with every word replaced by its better form."""
     keys = ["id", "town", "number", "words"]
     each = houses.select(*keys, F.posexplode("words").alias("at", "word"))
-    new = each.join(rewrites, "word", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("better", "word").alias("w")))).alias("w"))
+    new = join_small(each, rewrites, ["word"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("better", "word").alias("w")))).alias("w"))
     return new.select("id", "town", "number", F.col("w.w").alias("words")).distinct()
 
 
@@ -115,3 +115,14 @@ def same_house(houses: DataFrame) -> DataFrame:
     keyed = houses.select("id", "town", "number", F.concat_ws(" ", "words").alias("street")).distinct()
     pairs = salted_join(keyed.withColumnRenamed("id", "id_a"), keyed.withColumnRenamed("id", "id_b"), ["town", "number", "street"])
     return pairs.where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()
+
+
+def house_classes(houses: DataFrame) -> DataFrame:
+    """``id, house_id, records``: of each record and each of its houses, the least id at that house and how many ids are there.
+
+    The links of ``same_house`` in a form that grows with the records, however many share a house.
+    """
+    key = ["town", "number", "street"]
+    keyed = houses.select("id", "town", "number", F.concat_ws(" ", "words").alias("street")).distinct()
+    classes = keyed.groupBy(*key).agg(F.min("id").alias("house_id"), F.count(F.lit(1)).alias("records"))
+    return salted_join(keyed, classes, key, classes, "records").select("id", "house_id", "records").distinct()

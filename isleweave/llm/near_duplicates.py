@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from ..plans.skew import salted_join
+from ..plans.shipping import ship
+from ..plans.skew import LEAST, salted_join
 
 #: Ratio between the ends of a band of sizes, and segments of a band over the least number that suffices.
 BAND, SLACK = 1.3, 1.4
@@ -171,7 +172,7 @@ def _rows(records: DataFrame, plan: Plan, shared, probe: bool) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
-        crowd = counts[0] + counts[1]
+        crowd = counts[0].astype(np.int64) + counts[1]
         for whole in batches:
             for start in range(0, len(whole), 2000):  # bounds what a worker holds at once
                 pdf = whole.iloc[start : start + 2000]
@@ -181,7 +182,7 @@ def _rows(records: DataFrame, plan: Plan, shared, probe: bool) -> DataFrame:
                 else:
                     a, i, b, j = _index_keys(plan, hashes, sizes)
                     keys, owner = np.concatenate([a, b]), np.concatenate([i, j])
-                salts = 1 + np.minimum(crowd[(keys % np.uint64(COUNTERS)).astype(np.int64)] // split, 255)
+                salts = 1 + crowd[(keys % np.uint64(COUNTERS)).astype(np.int64)] // split
                 if probe:
                     salt = (_mix(rec[owner].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
                 else:
@@ -210,8 +211,9 @@ def token_classes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def similar_classes(classes: DataFrame, threshold: float, least: int) -> DataFrame:
     """``rec_a, rec_b, similarity`` of all pairs of different classes at least ``threshold`` alike."""
     spark = classes.sparkSession
+    ship(spark)
     plan = Plan(threshold, least)
-    shared = spark.sparkContext.broadcast(_bucket_counts(classes, plan).astype(np.int32))  # 1 MB, fixed
+    shared = spark.sparkContext.broadcast(np.minimum(_bucket_counts(classes, plan), np.iinfo(np.int32).max).astype(np.int32))  # 1 MB, fixed
     index, probes = _rows(classes, plan, shared, False).alias("s"), _rows(classes, plan, shared, True).alias("r")
     ratio = (1 - threshold) / (1 + threshold)
     col = F.col
@@ -219,8 +221,9 @@ def similar_classes(classes: DataFrame, threshold: float, least: int) -> DataFra
     order = (col("s.n") < col("r.n")) | ((col("s.n") == col("r.n")) & (col("s.rec") < col("r.rec")))
     sized = col("s.n") >= col("r.n") * threshold - 1e-9
     found = probes.join(index, (col("r.key") == col("s.key")) & (col("r.salt") == col("s.salt")) & order & sized & close).select(col("r.rec").alias("rec_r"), col("s.rec").alias("rec_s")).distinct()
+    found = cut(found)  # pairs of numbers; a record may be met by a third of all others, so the tokens come by salted joins
     words = classes.select("rec", "words", "n")
-    pairs = found.join(words.toDF("rec_r", "words_r", "n_r"), "rec_r").join(words.toDF("rec_s", "words_s", "n_s"), "rec_s")
+    pairs = salted_join(salted_join(found, words.toDF("rec_r", "words_r", "n_r"), ["rec_r"], found.groupBy("rec_r").agg(F.count(F.lit(1)).alias("__n"))), words.toDF("rec_s", "words_s", "n_s"), ["rec_s"], found.groupBy("rec_s").agg(F.count(F.lit(1)).alias("__n")))
     both = F.size(F.array_intersect("words_r", "words_s"))
     pairs = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("n_r") + F.col("n_s") - F.col("both")))
     return cut(pairs.where(F.col("both") >= threshold * (F.col("n_r") + F.col("n_s") - F.col("both")) - 1e-9).select(F.least("rec_r", "rec_s").alias("rec_a"), F.greatest("rec_r", "rec_s").alias("rec_b"), "similarity"))
@@ -250,17 +253,24 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``rec, root``: the least node reachable from each node over ``rec_a, rec_b``.
 
     Alternates large-star and small-star steps, so the rounds grow with the logarithm of the longest chain. Every
-    round is written to the shared checkpoint folder; no link or label is collected.
+    round is written to the shared checkpoint folder; no link or label is collected. The links of a hub, a node with
+    more links than a task should hold, are spread by salts.
     """
+
+    def least_of(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
+        return salted_join(links, low.select("u", "m"), ["u"], low, "k") if n > LEAST else links.join(low.select("u", "m"), "u")  # no key of fewer links is hot
+
     edges = cut(pairs.select(F.greatest("rec_a", "rec_b").alias("u"), F.least("rec_a", "rec_b").alias("v")).distinct())
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small)
-        same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "low").alias("m"), "k")
+        large = least_of(both, low, 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = least_of(large, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        new, old = cut(small), n
+        n = new.count()
+        same = n == old and new.exceptAll(edges).isEmpty()
         edges = new
         if same:
             break

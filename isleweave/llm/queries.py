@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import salted_join
 from ..sources.tables import table
-from .addresses import mined, parsed, same_house
+from .addresses import house_classes, mined, parsed, same_house
 from .entity_matching import matches
 from .mixing import mixed, reached_shares
 from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
@@ -87,6 +87,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_house(_houses(spark, folder)[0])
 
 
+def p7_houses(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, house_id, records``: the house of every hotel record as the least id there, and how many records it has."""
+    return house_classes(_houses(spark, folder)[0])
+
+
 def p7_rewrites(spark: SparkSession, folder: str) -> DataFrame:
     """``round, word, better``: the rewrites that were mined."""
     return _houses(spark, folder)[1]
@@ -123,7 +128,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted("text", table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_houses, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
 _TOKENS = "list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))), '[a-z0-9]+'))"
 SQL = {
     "p4_found": f"""

@@ -323,3 +323,17 @@ def test_nothing_outside_imports_this_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", "\n".join(x for x in p.read_text().splitlines() if "import" in x)), p
+
+
+def test_classes_of_a_crowded_house(spark):
+    rows = [(f"i{k:03d}", "t", "1", ["main", "road"]) for k in range(150)] + [(f"j{k}", "t", str(k), ["side", "lane"]) for k in range(10)] + [("i000", "t", "3", ["side", "lane"])]
+    got = {(r.id, r.house_id, r.records) for r in ad.house_classes(spark.createDataFrame(rows, "id string, town string, number string, words array<string>")).collect()}
+    assert {x for x in got if x[1] == "i000" and x[2] == 150} == {(f"i{k:03d}", "i000", 150) for k in range(150)} and ("j3", "i000", 2) in got and len(got) == 161
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAST", 10)  # spreads the links of every node
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 430)]
+    nodes = spark.createDataFrame([(i,) for i in {x for p in pairs for x in p}], "rec bigint")
+    got = {r.rec: r.root for r in nd.components(nodes, spark.createDataFrame(pairs, "rec_a bigint, rec_b bigint")).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[i] == 400 for i in range(400, 431))
