@@ -1,11 +1,10 @@
 """Records of one entity in several sources that share no key.
 
-All attributes become terms of one inverted index. Similarity is BM25 with every term at most once in a record and no
-length normalisation, that is the sum of the terms' inverse document frequencies, so it is the same from both sides.
-Retrieval is exact above a floor: a record looks up only its rarest terms, as many as it takes until the rest
-together cannot reach the floor, and scores what it meets on all terms. The floor of a record is at least what its
-common terms (those with long posting lists) reach together, so long lists are scored but never looked up. Nearest neighbours per source that choose each
-other are rated by a logistic model of the gap to the runner-up and the shares of the attributes that agree.
+All attributes become terms of one inverted index. The score of a record for a query is BM25 with every term at most
+once in a record. Each record asks for its K best in every other source, exactly: it looks up its terms from the
+rarest on, until the rest together cannot reach FLOOR of its own weight, and scores what it meets on all terms. A
+record that meets nothing above that looks up more terms, down to LOWER. Nearest neighbours that choose each other are
+rated by a logistic model of the gap to the runner-up and the shares of the attributes that agree.
 """
 
 from __future__ import annotations
@@ -20,11 +19,11 @@ from ..plans.skew import salted_join
 from .addresses import town_name
 from .near_duplicates import components
 
-#: Pairs that share this share of a record's weight, and more than its common terms alone, are retrieved.
-FLOOR = 0.42
-#: A term is common when more than one record in COMMON has it, and more than LEAST_COMMON records.
-COMMON, LEAST_COMMON = 2000, 50
-#: Weight of parts of words and of terms made of several attributes, which repeat what other terms say.
+#: Least share of its own weight that a record asks for, and what one asks for that meets nothing above the first.
+FLOOR, LOWER = 0.42, 0.33
+#: How many a record asks for in each other source; BM25's saturation and normalisation by length.
+K, K1, B = 3, 1.2, 0.75
+#: Weight of terms made of several attributes, which repeat what other terms say.
 REPEATED = 0.3
 #: A pair this close to a record's best in a source counts as its best too (a source may list one entity twice).
 TIE = 0.75
@@ -71,12 +70,9 @@ def record_terms(rows: DataFrame, houses: DataFrame | None = None) -> DataFrame:
     none = F.array().cast("array<struct<kind:int,term:string>>")
     last = F.size("brand") - 1
     couples = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws("_", F.get("brand", i - 1), F.get("brand", i)))).otherwise(F.array().cast("array<string>"))  # neighbours in order, so that long names stay linear
-    # a swapped or doubled letter keeps most trigrams; only those with the town are rare enough to look up
-    grams = F.flatten(F.transform("brand", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 3, F.lit(1))), lambda i: F.substring(w, i, F.lit(4)))))
     names = [
         F.transform("brand", lambda w: term(NAME, tag("n", w))),
         F.when(F.col("town").isNotNull(), F.transform(couples, lambda w: term(NAME, tag("nt", w, F.col("town"))))).otherwise(none),
-        F.transform(F.array_distinct(grams), lambda w: term(NAME, tag("g", w))),
         F.transform(F.array_intersect(F.array_distinct(_words(F.col("name"))), kinds), lambda w: term(NAME, tag("k", w))),
     ]
     # cells of about 200 m in four grids, each shifted by half a cell: places within 50 m share at least one
@@ -95,67 +91,95 @@ def record_terms(rows: DataFrame, houses: DataFrame | None = None) -> DataFrame:
 
 
 def weighted(records: DataFrame) -> DataFrame:
-    """``records`` with ``packed``: per term a 64-bit number of hash, kind and weight, rarest first; its weight is the BM25 weight of a term in half-percent steps."""
-    total = records.agg(F.count(F.lit(1))).scalar()
+    """``records`` with ``rec`` (a number), ``length`` (BM25's factor of the record's length), ``own`` and ``packed``: per term a 64-bit number of hash, weight and kind, most common first.
+
+    A weight is the inverse document frequency of BM25 in half-percent steps; ``own`` is the sum of a record's weights.
+    """
+    total, mean = records.agg(F.count(F.lit(1))).scalar(), records.agg(F.avg(F.size("terms"))).scalar()
     each = records.select("id", F.explode("terms").alias("t")).select("id", "t.kind", "t.term")
     counts = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = idf * F.when(F.col("term").rlike("^(?:g|xs|xh):"), REPEATED).otherwise(1.0)
-    common = (F.col("df") > F.greatest(F.lit(total / COMMON), F.lit(LEAST_COMMON))).cast("long")
-    weights = counts.select("kind", "term", "df", F.least(F.greatest(F.round(idf * 200), F.lit(0)), F.lit(8191)).cast("long").alias("w"), common.alias("common"))
-    packed = F.shiftleft(F.xxhash64("kind", "term"), 15).bitwiseOR(F.shiftleft(F.col("common"), 14)).bitwiseOR(F.shiftleft(F.col("w"), 1)).bitwiseOR(F.col("kind").cast("long"))
-    scored = salted_join(each, weights, ["kind", "term"], counts, "df").select("id", packed.alias("p"))
-    return records.drop("terms").join(scored.groupBy("id").agg(F.collect_list("p").alias("packed")), "id")  # a record's own terms, some forty
+    weight = idf * F.when(F.col("term").rlike("^(?:xs|xh):"), REPEATED).otherwise(1.0)
+    weights = counts.select("kind", "term", "df", F.least(F.greatest(F.round(weight * 200), F.lit(0)), F.lit(8191)).cast("long").alias("w"))
+    packed = F.shiftleft(F.xxhash64("kind", "term"), 14).bitwiseOR(F.shiftleft(F.col("w"), 1)).bitwiseOR(F.col("kind").cast("long"))
+    scored = salted_join(each, weights, ["kind", "term"], counts, "df").select("id", "df", packed.alias("p"))
+    packs = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("rarity"), "p"))).alias("t")).select("id", F.col("t.p").alias("packed"))  # a record's own terms, some thirty
+    length = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("packed") / mean))
+    return records.drop("terms").join(packs, "id").withColumn("rec", F.monotonically_increasing_id()).withColumn("length", length).withColumn("own", _sum(F.col("packed")))
 
 
 def _weight(p: Column) -> Column:
-    return F.shiftright(p, 1).bitwiseAND(F.lit(8191))
+    return F.shiftright(p, 1).bitwiseAND(F.lit(8191)).cast("int")
 
 
 def _sum(packed: Column, kind: int | None = None) -> Column:
-    def add(acc: Column, p: Column) -> Column:
-        w = _weight(p).cast("int")
-        return acc + (w if kind is None else F.when(p.bitwiseAND(F.lit(1)) == kind, w).otherwise(0))
+    return F.aggregate(packed, F.lit(0), lambda acc, p: acc + (_weight(p) if kind is None else F.when(p.bitwiseAND(F.lit(1)) == kind, _weight(p)).otherwise(0)))
+
+
+def _unneeded(floor: Column) -> Column:
+    """How many of the most common terms a record may leave out: all together they stay below the floor."""
+    step = lambda acc, p: F.struct((acc["sum"] + _weight(p)).alias("sum"), (acc["n"] + F.when(acc["sum"] + _weight(p) < floor, 1).otherwise(0)).alias("n"))
+    return F.aggregate("packed", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+
+
+def _met(records: DataFrame, index: DataFrame, counts: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """``a, b`` (a < b): records of different sources that share a term which one of them looks up, from place ``start`` to before ``stop`` of its terms."""
+    probes = records.select(F.col("rec").alias("q"), F.col("source").alias("q_source"), F.explode(F.slice("packed", start + 1, stop - start)).alias("p"))
+    pairs = salted_join(index, probes, ["p"], counts, "df").where(F.col("source") != F.col("q_source"))
+    return cut(pairs.select(F.least("q", "rec").alias("a"), F.greatest("q", "rec").alias("b")).distinct())
+
 
-    return F.aggregate(packed, F.lit(0), add)
+def _scored(met: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with the weight that they share, that of names among it, and what each has; those below LOWER of both are dropped."""
+    side = lambda x: records.select(F.col("rec").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("packed", "own", "source", "length")])
+    both = salted_join(salted_join(met, side("a"), ["a"], met.groupBy("a").agg(F.count(F.lit(1)).alias("__n"))), side("b"), ["b"], met.groupBy("b").agg(F.count(F.lit(1)).alias("__n")))
+    both = both.withColumn("shared", F.array_intersect("packed_a", "packed_b")).withColumn("score", _sum(F.col("shared"))).where(F.col("score") >= LOWER * F.least("own_a", "own_b"))
+    names = [_sum(F.col(f"packed_{x}"), NAME).alias(f"own_name_{x}") for x in "ab"]
+    return cut(both.select("a", "b", "source_a", "source_b", "score", _sum(F.col("shared"), NAME).alias("name"), "own_a", "own_b", *names, "length_a", "length_b"))
 
 
-def retrieved(records: DataFrame) -> DataFrame:
-    """``a, b`` (a < b) and what they share, of all pairs of ``records`` that score above the floor of either.
+def retrieved(records: DataFrame, k: int = K) -> DataFrame:
+    """``q, d, q_source, d_source, score, bm25, pair``: of each record q the ``k`` best d in every other source by BM25 (then by number), exactly.
 
-    Exact: of a record's terms the common ones and, from the weakest on, others are left out while together they stay
-    below the floor; a pair that shares only those cannot reach it, so looking up the rest misses nothing.
+    Asked for are records that share at least FLOOR of q's weight; where no other source has any, at least LOWER.
+    Terms are left out of the search only while together they cannot reach that, so nothing is missed. ``pair`` holds
+    the columns of ``_scored``.
     """
-    is_common = lambda p: F.shiftright(p, 14).bitwiseAND(F.lit(1)) == 1
-    base = _sum(F.filter("packed", is_common))
-    floors = records.withColumn("own", _sum(F.col("packed"))).withColumn("base", base).withColumn("floor", F.greatest(F.col("own") * FLOOR, F.col("base") + 1.0))
-    listed = F.array_sort(F.transform(F.filter("packed", lambda p: ~is_common(p)), lambda p: F.struct(_weight(p).alias("w"), p.alias("p"))))
-    terms = floors.select("id", F.posexplode(listed).alias("at", "t"), "base", "floor")
-    so_far = F.sum("t.w").over(Window.partitionBy("id").orderBy("at"))
-    marked = terms.select("id", F.col("t.p").alias("p"), (F.col("base") + so_far >= F.col("floor")).alias("rare"))
-    probes = marked.where("rare").select("p", F.col("id").alias("q"))
-    met = salted_join(probes, marked.select("p", F.col("id").alias("d")), ["p"]).where(F.col("q") != F.col("d")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
-    side = lambda x: floors.select(F.col("id").alias(x), F.col("packed").alias(f"packed_{x}"), F.col("own").alias(f"own_{x}"), F.col("floor").alias(f"floor_{x}"), _sum(F.col("packed"), NAME).alias(f"own_name_{x}"))
-    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.array_intersect("packed_a", "packed_b"))
-    sums = both.withColumn("score", _sum(F.col("shared"))).where((F.col("score") >= F.col("floor_a")) | (F.col("score") >= F.col("floor_b"))).withColumn("name", _sum(F.col("shared"), NAME))
-    return cut(sums.select("a", "b", "score", "name", (F.col("score") - F.col("name")).alias("place"), "own_a", "own_b", "own_name_a", "own_name_b", *[(F.col(f"own_{x}") - F.col(f"own_name_{x}")).alias(f"own_place_{x}") for x in "ab"]))
-
-
-def mutual(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The retrieved pairs that are (nearly) best from both sides, with features and what speaks against them.
-
-    Best means within TIE of the record's highest score in the other's source. ``rival`` is the score gap, told as the
-    share of the score that the best pair not tied with it reaches (0 where there is none). ``far`` and ``other_site`` are exact grounds for different
-    entities.
+    index = records.select("rec", "source", F.explode("packed").alias("p"))
+    counts = index.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
+    first, size = _unneeded(F.col("own") * FLOOR), F.size("packed")
+    scored = _scored(_met(records, index, counts, first, size), records)
+    enough = scored.select(F.explode(F.array(F.when(F.col("score") >= F.col("own_a") * FLOOR, F.col("a")), F.when(F.col("score") >= F.col("own_b") * FLOOR, F.col("b")))).alias("rec")).where(F.col("rec").isNotNull()).distinct()
+    alone = cut(records.join(enough, "rec", "left_anti"))
+    more = _scored(_met(alone, index, counts, _unneeded(F.col("own") * LOWER), first), records)
+    pairs = cut(scored.unionByName(more).dropDuplicates(["a", "b"]))
+    pair = F.struct(*pairs.columns).alias("pair")
+    way = lambda q, d: pairs.select(F.col(q).alias("q"), F.col(d).alias("d"), F.col(f"source_{q}").alias("q_source"), F.col(f"source_{d}").alias("d_source"), F.col(f"own_{q}").alias("q_own"), "score", (F.col("score") * F.col(f"length_{d}")).alias("bm25"), pair)
+    ways = way("a", "b").unionByName(way("b", "a"))
+    lonely = alone.select(F.col("rec").alias("q"), F.lit(LOWER).alias("least"))
+    ways = ways.join(lonely, "q", "left").where(F.col("score") >= F.col("q_own") * F.coalesce("least", F.lit(FLOOR)))
+    rank = F.row_number().over(Window.partitionBy("q", "d_source").orderBy(F.col("bm25").desc(), "d"))
+    return ways.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank", "q_own", "least")
+
+
+def mutual(found: DataFrame, records: DataFrame) -> DataFrame:
+    """The pairs of ``retrieved`` that choose each other and are (nearly) best from both sides, with features and what speaks against them.
+
+    Nearly best means within TIE of the record's highest score in the other's source. ``rival`` is the score gap, told
+    as the share of the score that the best pair not tied with it reaches (0 where there is none). ``far`` and
+    ``other_site`` are exact grounds for different entities.
     """
-    info = records.select("id", "source", "lat", "lng", "site", "brand")
+    best = F.max("bm25").over(Window.partitionBy("q", "d_source"))  # K rows at most
+    found = found.withColumn("best", best).withColumn("next", F.max(F.when(F.col("bm25") < TIE * F.col("best"), F.col("bm25"))).over(Window.partitionBy("q", "d_source"))).where(F.col("bm25") >= TIE * F.col("best"))
+    gap = F.coalesce("next", F.lit(0.0)) / F.col("bm25")
+    chosen = found.groupBy(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("rival"), F.first("pair").alias("pair")).where(F.col("n") == 2)
+    info = records.select("rec", "id", "lat", "lng", "site", "brand")
     side = lambda x: info.toDF(x, *[f"{c}_{x}" for c in info.columns[1:]])
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    ends = full.select(F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("source_b").alias("s"), "score"), F.struct(F.col("b").alias("q"), F.col("source_a").alias("s"), "score"))).alias("e")).select("e.*")
-    best = ends.groupBy("q", "s").agg(F.max("score").alias("best"))
-    next_ = ends.join(best, ["q", "s"]).groupBy("q", "s").agg(F.first("best").alias("best"), F.max(F.when(F.col("score") < TIE * F.col("best"), F.col("score"))).alias("next"))
-    of = lambda q, s: next_.select(F.col("q").alias(q), F.col("s").alias(f"source_{s}"), F.col("best").alias(f"best_{q}"), F.coalesce("next", F.lit(0)).alias(f"next_{q}"))
-    full = full.join(of("a", "b"), ["a", "source_b"]).join(of("b", "a"), ["b", "source_a"]).where((F.col("score") >= TIE * F.col("best_a")) & (F.col("score") >= TIE * F.col("best_b")))
+    full = chosen.select("a", "b", "rival", *[F.col(f"pair.{c}").alias(c) for c in ("source_a", "source_b", "score", "name", "own_a", "own_b", "own_name_a", "own_name_b")])
+    full = full.join(side("a"), "a").join(side("b"), "b")  # a record is in at most K pairs a source
+    full = full.withColumn("place", F.col("score") - F.col("name"))
+    for x in "ab":
+        full = full.withColumn(f"own_place_{x}", F.col(f"own_{x}") - F.col(f"own_name_{x}"))
     km = distance_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     share = lambda x, own: F.coalesce(F.try_divide(F.col(x).cast("double"), F.least(f"{own}_a", f"{own}_b")), F.lit(0.0))
     letters = lambda x: F.array_sort(F.split(x, ""))
@@ -165,8 +189,8 @@ def mutual(pairs: DataFrame, records: DataFrame) -> DataFrame:
     place = F.when(km <= AT, F.lit(1.0)).otherwise(share("place", "own_place"))  # cells tell less than the distance
     sites = (F.col("site_a") != "") & (F.col("site_b") != "")
     return full.select(
-        "a", "b", "source_a", "source_b", km.alias("km"),
-        (F.greatest("next_a", "next_b") / F.col("score")).alias("rival"), share("score", "own").alias("share"), alike.alias("near_name"), place.alias("place_share"), F.least(alike, place).alias("both"),
+        F.col("id_a").alias("a"), F.col("id_b").alias("b"), "source_a", "source_b", km.alias("km"),
+        "rival", share("score", "own").alias("share"), alike.alias("near_name"), place.alias("place_share"), F.least(alike, place).alias("both"),
         F.coalesce(km > FAR, F.lit(False)).alias("far"), F.coalesce(sites & (F.col("site_a") != F.col("site_b")), F.lit(False)).alias("other_site"), F.coalesce(sites & (F.col("site_a") == F.col("site_b")), F.lit(False)).alias("same_site"),
     )
 
@@ -194,6 +218,32 @@ def calibrated(pairs: DataFrame) -> list[float]:
     return w.tolist()
 
 
+def _sure(records: DataFrame, least: float) -> DataFrame:
+    """``a, b, confidence``: mutual nearest records with at least ``least`` confidence and no exact ground against them."""
+    pairs = cut(mutual(retrieved(records), records))
+    weights = calibrated(pairs)
+    score = F.lit(weights[0]) + sum((F.lit(w) * F.col(c) for w, c in zip(weights[1:], FEATURES)), F.lit(0.0))
+    return cut(pairs.where(~F.col("far") & ~F.col("other_site")).withColumn("confidence", 1 / (1 + F.exp(-score))).where(F.col("confidence") >= least).select("a", "b", "confidence"))
+
+
+def _entities(sure: DataFrame) -> DataFrame:
+    """``rec, root``: records that sure pairs connect."""
+    nodes = sure.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+    return cut(components(nodes, sure.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))))
+
+
+def entities(rows: DataFrame, houses: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """``id, entity_id, matches, weakest``: of each matched record the least id of its entity, its number of direct matches and the entity's weakest confidence.
+
+    The form of ``matches`` that grows with the records, however many describe one entity.
+    """
+    sure = _sure(cut(weighted(cut(record_terms(rows, houses)))), least)
+    ends = sure.select(F.explode(F.array("a", "b")).alias("rec"), "confidence").groupBy("rec").agg(F.count(F.lit(1)).alias("matches"), F.min("confidence").alias("low"))
+    placed = _entities(sure).join(ends, "rec")
+    weakest = placed.groupBy("root").agg(F.min("low").alias("weakest"), F.count(F.lit(1)).alias("n"))
+    return salted_join(placed, weakest, ["root"], weakest, "n").select(F.col("rec").alias("id"), F.col("root").alias("entity_id"), "matches", "weakest")
+
+
 def matches(rows: DataFrame, houses: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``id_a, id_b, confidence, direct`` of records of different sources that describe one entity, smaller id first.
 
@@ -202,12 +252,8 @@ def matches(rows: DataFrame, houses: DataFrame | None = None, least: float = 0.5
     confidence of the group). Nulls in any attribute are allowed; an empty input gives no match.
     """
     records = cut(weighted(cut(record_terms(rows, houses))))
-    pairs = cut(mutual(retrieved(records), records))
-    weights = calibrated(pairs)
-    score = F.lit(weights[0]) + sum((F.lit(w) * F.col(c) for w, c in zip(weights[1:], FEATURES)), F.lit(0.0))
-    sure = cut(pairs.where(~F.col("far") & ~F.col("other_site")).withColumn("confidence", 1 / (1 + F.exp(-score))).where(F.col("confidence") >= least).select("a", "b", "confidence"))
-    nodes = sure.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
-    roots = cut(components(nodes, sure.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))))
+    sure = _sure(records, least)
+    roots = _entities(sure)
     weakest = sure.join(roots.withColumnRenamed("rec", "a"), "a").groupBy("root").agg(F.min("confidence").alias("weakest"))
     placed = roots.join(records.select(F.col("id").alias("rec"), "source", "lat", "lng", "site"), "rec")
     side = lambda x: placed.select("root", *[F.col(c).alias(f"{c}_{x}") for c in ("rec", "source", "lat", "lng", "site")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.skew import salted_join
 from ..sources.tables import table
 from .addresses import house_classes, mined, parsed, same_house
-from .entity_matching import matches
+from .entity_matching import entities, matches
 from .mixing import mixed, reached_shares
 from .near_duplicates import components, distinct_tokens, expanded_pairs, near_duplicates
 from .personal import personal_spans, redacted
@@ -73,6 +73,11 @@ def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
     return matches(table(spark, folder, "hotel"), _houses(spark, folder)[0])
 
 
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, entity_id, matches, weakest``: the hotel of every matched record as the least id of its records."""
+    return entities(table(spark, folder, "hotel"), _houses(spark, folder)[0])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """``id_a, id_b``: the pairs of ``p5_matches``."""
     return p5_matches(spark, folder).select("id_a", "id_b").distinct()
@@ -128,7 +133,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted("text", table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p7_found, p7_houses, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_groups, p5_found, p5_matches, p5_entities, p7_found, p7_houses, p7_rewrites, p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_redacted)}
 _TOKENS = "list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))), '[a-z0-9]+'))"
 SQL = {
     "p4_found": f"""

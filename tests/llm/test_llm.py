@@ -220,16 +220,24 @@ def test_entities(spark):
     assert em.matches(empty).count() == 0
 
 
-def test_retrieval_is_exact_above_the_floor(spark):
+@pytest.mark.parametrize("k", [1, 3])
+def test_retrieval_equals_brute_force_top_k(spark, k):
     r = random.Random(4)
-    terms = [f"t{i}" for i in range(30)]
-    rows = [(f"r{k:02d}", "s", None, None, "", ["x"], [(r.randrange(2), t) for t in {r.choice(terms) if r.random() < 0.5 else r.choice(terms[:6]) for _ in range(8)}]) for k in range(60)]
-    records = em.weighted(spark.createDataFrame(rows, "id string, source string, lat double, lng double, site string, brand array<string>, terms array<struct<kind:int,term:string>>"))
-    packed = {x.id: set(x.packed) for x in records.collect()}
+    rare, often = [f"t{i}" for i in range(40)], [f"c{i}" for i in range(6)]
+    rows = [(f"r{n:03d}", r.choice("stu"), None, None, "", ["x"], sorted({(r.randrange(2), t) for t in {r.choice(rare) if r.random() < r.choice([0.0, 0.3, 0.7]) else r.choice(often) for _ in range(r.randrange(2, 10))}})) for n in range(150)]
+    records = em.weighted(spark.createDataFrame(rows, "id string, source string, lat double, lng double, site string, brand array<string>, terms array<struct<kind:int,term:string>>")).cache()
+    all_ = {x.rec: x for x in records.collect()}
     weight = lambda ps: sum((p >> 1) & 8191 for p in ps)
-    floor = {i: max(em.FLOOR * weight(p), weight(x for x in p if (x >> 14) & 1) + 1) for i, p in packed.items()}
-    want = {(a, b): weight(packed[a] & packed[b]) for a, b in itertools.combinations(sorted(packed), 2) if weight(packed[a] & packed[b]) >= min(floor[a], floor[b])}
-    assert {(x.a, x.b): x.score for x in em.retrieved(records).collect()} == want and want
+    share = {(q.rec, d.rec): weight(set(q.packed) & set(d.packed)) for q in all_.values() for d in all_.values() if q.source != d.source}
+    want = set()
+    for q in all_.values():
+        mine = {d: x for (a, d), x in share.items() if a == q.rec}
+        floor = q.own * (em.FLOOR if any(x >= q.own * em.FLOOR for x in mine.values()) else em.LOWER)
+        for s in "stu":
+            best = sorted(((-x * all_[d].length, d) for d, x in mine.items() if all_[d].source == s and x >= floor))[:k]
+            want |= {(q.rec, d, share[q.rec, d]) for _, d in best}
+    assert {(x.q, x.d, x.score) for x in em.retrieved(records, k).collect()} == want and len(want) > 100
+    assert any(x < all_[q].own * em.FLOOR for q, _, x in want)  # some records had to look further
 
 
 @pytest.fixture(scope="module")
