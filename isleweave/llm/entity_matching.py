@@ -3,7 +3,7 @@
 All attributes become terms of one inverted index. The score of a record for a query is BM25 with every term at most
 once in a record. Each record asks for its K best in every other source, exactly: it looks up its terms from the
 rarest on, until the rest together cannot reach FLOOR of its own weight, and scores what it meets on all terms. A
-record that meets nothing above that looks up more terms, down to LOWER. Nearest neighbours that choose each other are
+record that no pair above that holds looks up more terms, down to LOWER. Nearest neighbours that choose each other are
 rated by a logistic model of the gap to the runner-up and the shares of the attributes that agree.
 """
 
@@ -19,20 +19,20 @@ from ..plans.skew import salted_join
 from .addresses import town_name
 from .near_duplicates import components
 
-#: Least share of its own weight that a record asks for, and what one asks for that meets nothing above the first.
+#: Least share of the weight of the lighter record that a pair must have, and of its own weight that a record asks for which no such pair holds.
 FLOOR, LOWER = 0.42, 0.33
 #: How many a record asks for in each other source; BM25's saturation and normalisation by length.
-K, K1, B = 3, 1.2, 0.75
+K, K1, B = 3, 1.2, 0.3
 #: Weight of terms made of several attributes, which repeat what other terms say.
 REPEATED = 0.3
 #: A pair this close to a record's best in a source counts as its best too (a source may list one entity twice).
-TIE = 0.75
+TIE = 0.6
 #: Labelled pairs that the calibration may fit, and how few are too few.
 LABELLED, FEWEST = 20_000, 60
 #: Positions at most AT km apart agree wholly; those farther apart than FAR are different houses; labels need FAR or NEAR.
 AT, NEAR, FAR = 0.08, 0.15, 0.5
 #: Used where there are too few labels: a constant, then one weight per feature.
-DEFAULT = [-8.0, -1.0, 1.0, 3.0, 3.0, 7.0]
+DEFAULT = [-9.5, -1.0, 3.0, 3.5, 1.5, 8.0]
 FEATURES = ("rival", "share", "near_name", "place_share", "both")
 #: Common words for kinds of house and their short forms; they identify nothing.
 KINDS = "hotel htl hotels villa lodge residency resid inn resort rsrt hostel retreat bungalow guest house rest beach gh rh grand the and restaurant".split()
@@ -141,25 +141,26 @@ def _scored(met: DataFrame, records: DataFrame) -> DataFrame:
 def retrieved(records: DataFrame, k: int = K) -> DataFrame:
     """``q, d, q_source, d_source, score, bm25, pair``: of each record q the ``k`` best d in every other source by BM25 (then by number), exactly.
 
-    Asked for are records that share at least FLOOR of q's weight; where no other source has any, at least LOWER.
-    Terms are left out of the search only while together they cannot reach that, so nothing is missed. ``pair`` holds
-    the columns of ``_scored``.
+    Asked for are pairs that share at least FLOOR of the weight of the lighter record, and for a record without any
+    such pair those that share at least LOWER of its own. Terms are left out of the search only while together they
+    cannot reach that, so nothing is missed. ``pair`` holds the columns of ``_scored``.
     """
     index = records.select("rec", "source", F.explode("packed").alias("p"))
     counts = index.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
     first, size = _unneeded(F.col("own") * FLOOR), F.size("packed")
     scored = _scored(_met(records, index, counts, first, size), records)
-    enough = scored.select(F.explode(F.array(F.when(F.col("score") >= F.col("own_a") * FLOOR, F.col("a")), F.when(F.col("score") >= F.col("own_b") * FLOOR, F.col("b")))).alias("rec")).where(F.col("rec").isNotNull()).distinct()
-    alone = cut(records.join(enough, "rec", "left_anti"))
+    sure = F.col("score") >= F.least("own_a", "own_b") * FLOOR
+    alone = cut(records.join(scored.where(sure).select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "rec", "left_anti"))
     more = _scored(_met(alone, index, counts, _unneeded(F.col("own") * LOWER), first), records)
-    pairs = cut(scored.unionByName(more).dropDuplicates(["a", "b"]))
+    lonely = lambda x: alone.select(F.col("rec").alias(x), F.lit(LOWER).alias(f"least_{x}"))
+    pairs = scored.unionByName(more).dropDuplicates(["a", "b"]).join(lonely("a"), "a", "left").join(lonely("b"), "b", "left")
+    enough = lambda x: F.coalesce(F.col("score") >= F.col(f"own_{x}") * F.col(f"least_{x}"), F.lit(False))
+    pairs = cut(pairs.where(sure | enough("a") | enough("b")).drop("least_a", "least_b"))
     pair = F.struct(*pairs.columns).alias("pair")
-    way = lambda q, d: pairs.select(F.col(q).alias("q"), F.col(d).alias("d"), F.col(f"source_{q}").alias("q_source"), F.col(f"source_{d}").alias("d_source"), F.col(f"own_{q}").alias("q_own"), "score", (F.col("score") * F.col(f"length_{d}")).alias("bm25"), pair)
+    way = lambda q, d: pairs.select(F.col(q).alias("q"), F.col(d).alias("d"), F.col(f"source_{q}").alias("q_source"), F.col(f"source_{d}").alias("d_source"), "score", (F.col("score") * F.col(f"length_{d}")).alias("bm25"), pair)
     ways = way("a", "b").unionByName(way("b", "a"))
-    lonely = alone.select(F.col("rec").alias("q"), F.lit(LOWER).alias("least"))
-    ways = ways.join(lonely, "q", "left").where(F.col("score") >= F.col("q_own") * F.coalesce("least", F.lit(FLOOR)))
     rank = F.row_number().over(Window.partitionBy("q", "d_source").orderBy(F.col("bm25").desc(), "d"))
-    return ways.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank", "q_own", "least")
+    return ways.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
 def mutual(found: DataFrame, records: DataFrame) -> DataFrame:

@@ -225,19 +225,20 @@ def test_retrieval_equals_brute_force_top_k(spark, k):
     r = random.Random(4)
     rare, often = [f"t{i}" for i in range(40)], [f"c{i}" for i in range(6)]
     rows = [(f"r{n:03d}", r.choice("stu"), None, None, "", ["x"], sorted({(r.randrange(2), t) for t in {r.choice(rare) if r.random() < r.choice([0.0, 0.3, 0.7]) else r.choice(often) for _ in range(r.randrange(2, 10))}})) for n in range(150)]
+    rows += [(f"l{n}{s}", s, None, None, "", ["x"], [(0, f"p{n}{j}") for j in range(4)] + [(1, f"q{n}{s}{j}") for j in range(6)]) for n in range(5) for s in "st"]
     records = em.weighted(spark.createDataFrame(rows, "id string, source string, lat double, lng double, site string, brand array<string>, terms array<struct<kind:int,term:string>>")).cache()
     all_ = {x.rec: x for x in records.collect()}
     weight = lambda ps: sum((p >> 1) & 8191 for p in ps)
     share = {(q.rec, d.rec): weight(set(q.packed) & set(d.packed)) for q in all_.values() for d in all_.values() if q.source != d.source}
+    sure = {(q, d) for (q, d), x in share.items() if x >= em.FLOOR * min(all_[q].own, all_[d].own)}
+    held = {q for q, _ in sure}
+    fit = {(q, d): x for (q, d), x in share.items() if (q, d) in sure or any(r not in held and x >= em.LOWER * all_[r].own for r in (q, d))}
     want = set()
-    for q in all_.values():
-        mine = {d: x for (a, d), x in share.items() if a == q.rec}
-        floor = q.own * (em.FLOOR if any(x >= q.own * em.FLOOR for x in mine.values()) else em.LOWER)
-        for s in "stu":
-            best = sorted(((-x * all_[d].length, d) for d, x in mine.items() if all_[d].source == s and x >= floor))[:k]
-            want |= {(q.rec, d, share[q.rec, d]) for _, d in best}
+    for q, s in itertools.product(all_, "stu"):
+        best = sorted((-x * all_[d].length, d) for (a, d), x in fit.items() if a == q and all_[d].source == s)[:k]
+        want |= {(q, d, share[q, d]) for _, d in best}
     assert {(x.q, x.d, x.score) for x in em.retrieved(records, k).collect()} == want and len(want) > 100
-    assert any(x < all_[q].own * em.FLOOR for q, _, x in want)  # some records had to look further
+    assert any((q, d) not in sure for q, d, _ in want)  # some records had to look further
 
 
 @pytest.fixture(scope="module")
