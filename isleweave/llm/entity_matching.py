@@ -96,13 +96,15 @@ def weighted(records: DataFrame) -> DataFrame:
     A weight is the inverse document frequency of BM25 in half-percent steps; ``own`` is the sum of a record's weights.
     """
     total, mean = records.agg(F.count(F.lit(1))).scalar(), records.agg(F.avg(F.size("terms"))).scalar()
-    each = records.select("id", F.explode("terms").alias("t")).select("id", "t.kind", "t.term")
-    counts = each.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df"))
+    # a term is a number from here on: hash, whether it repeats others, kind
+    number = lambda t: F.shiftleft(F.xxhash64(t["kind"], t["term"]), 2).bitwiseOR(F.when(F.rlike(t["term"], F.lit("^(?:xs|xh):")), F.lit(2)).otherwise(0).cast("long")).bitwiseOR(t["kind"].cast("long"))
+    each = records.select("id", F.explode(F.transform("terms", number)).alias("t"))
+    counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.when(F.col("term").rlike("^(?:xs|xh):"), REPEATED).otherwise(1.0)
-    weights = counts.select("kind", "term", "df", F.least(F.greatest(F.round(weight * 200), F.lit(0)), F.lit(8191)).cast("long").alias("w"))
-    packed = F.shiftleft(F.xxhash64("kind", "term"), 14).bitwiseOR(F.shiftleft(F.col("w"), 1)).bitwiseOR(F.col("kind").cast("long"))
-    scored = salted_join(each, weights, ["kind", "term"], counts, "df").select("id", "df", packed.alias("p"))
+    weight = idf * F.when(F.col("t").bitwiseAND(F.lit(2)) == 2, REPEATED).otherwise(1.0)
+    w = F.least(F.greatest(F.round(weight * 200), F.lit(0)), F.lit(8191)).cast("long")
+    packed = F.shiftleft(F.shiftright("t", 2), 14).bitwiseOR(F.shiftleft(w, 1)).bitwiseOR(F.col("t").bitwiseAND(F.lit(1)))
+    scored = salted_join(each, counts.select("t", "df", packed.alias("p")), ["t"], counts, "df").select("id", "df", "p")
     packs = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("rarity"), "p"))).alias("t")).select("id", F.col("t.p").alias("packed"))  # a record's own terms, some thirty
     length = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("packed") / mean))
     return records.drop("terms").join(packs, "id").withColumn("rec", F.monotonically_increasing_id()).withColumn("length", length).withColumn("own", _sum(F.col("packed")))
