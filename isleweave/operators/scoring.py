@@ -26,6 +26,25 @@ def persona_weights(persona: str | None, event: bool) -> dict[str, float] | None
     return normalised(known[0] | {"event": EVENT_WEIGHT if event and known[1] in ("seek", "avoid") else 0.0})
 
 
+#: How much each sign of an intent moves a weight.
+DELTAS = [
+    ("cheapest", "economic", 0.20), ("cheapest", "facility", -0.05), ("highest_rated", "facility", 0.20), ("highest_rated", "economic", -0.05), ("most_accessible", "accessibility", 0.20),
+    ("most_accessible", "disruption", 0.10), ("access", "accessibility", 0.15), ("traffic", "disruption", 0.15), ("traffic", "accessibility", 0.05), ("far", "disruption", 0.10), ("amenities", "facility", 0.10),
+]
+
+
+def intent_weights(i: dict[str, Column]) -> dict[str, Column]:
+    """Weights of an intent (its columns by name): the defaults moved by its signs, none below 0, summing to 1."""
+    sign = {"cheapest": i["sort"] == "cheapest", "highest_rated": i["sort"] == "highest_rated", "most_accessible": i["sort"] == "most_accessible", "access": i["access"] == "high", "traffic": i["avoid_traffic"], "far": i["proximity"] == "far", "amenities": F.size(i["amenities"]) > 0}
+    moved = {k: F.lit(w) for k, w in WEIGHTS.items()}
+    for s, k, d in DELTAS:
+        moved[k] = moved[k] + F.when(sign[s], d).otherwise(0.0)
+    moved["spatial"] = F.when(sign["far"], F.greatest(F.lit(0.05), moved["spatial"] - 0.10)).otherwise(moved["spatial"])
+    moved = {k: F.greatest(F.lit(0.0), c) for k, c in moved.items()}
+    total = sum(moved.values(), F.lit(0.0))
+    return {k: c / total for k, c in moved.items()}
+
+
 def truthy(c: Column) -> Column:
     """``c`` where it is neither null, NaN nor zero, else null."""
     return F.when(c.isNotNull() & ~F.isnan(c) & (c != 0), c)
@@ -122,3 +141,12 @@ def passes_strictly(value: Column, least: float | None = None, most: float | Non
     if most is not None:
         ok = ok & F.coalesce(value <= most, F.lit(False))
     return ok
+
+
+def at_least(value: str, bound: str) -> Column:
+    """A bound that is a column: null bounds nothing; an unknown value fails any other."""
+    return F.col(bound).isNull() | F.coalesce(F.col(value) >= F.col(bound), F.lit(False))
+
+
+def at_most(value: str, bound: str) -> Column:
+    return F.col(bound).isNull() | F.coalesce(F.col(value) <= F.col(bound), F.lit(False))

@@ -14,7 +14,7 @@ from ..operators.proximity import near_pairs, near_spots
 from ..sources.tables import table
 
 EVENT_KM = 1.0
-#: How far incidents and signals reach in the reference. Queries named ``..._whole`` link by it; those beside them keep the radius of their SQL.
+#: How far incidents and signals reach; the nearer EVENT_KM stands for callers that ask for it.
 WHOLE_KM = 5.0
 
 
@@ -72,7 +72,7 @@ def affected_by_whole(h: DataFrame, e: DataFrame, n: DataFrame, cities: DataFram
     return near.where(F.col("named").isNull() | F.col("in_city").isNull()).select("src", "dst").unionByName(in_city.crossJoin(named))
 
 
-def affected_by(h: DataFrame, e: DataFrame, whole: bool = False) -> DataFrame:
+def affected_by(h: DataFrame, e: DataFrame, whole: bool = True) -> DataFrame:
     """``src`` hotel, ``dst`` event at most 1 km away (5 km for ``whole``, where keywords link more), ``km``."""
     return near_pairs(h, e, WHOLE_KM if whole else EVENT_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "km")
 
@@ -91,7 +91,7 @@ def event_counts(h: DataFrame, e: DataFrame, n: DataFrame | None = None, cities:
     Events at one position are counted before any pair is made, and those by keyword once for all hotels.
     """
     if n is None or cities is None:
-        return affected_by(h, e).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
+        return affected_by(h, e, False).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("events"))
     named = keyword_events(e, n, cities).select(F.col("dst").alias("id"), F.lit(1).alias("named"))
     spots = positioned(e.join(named, "id", "left")).groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("other"))
     near = near_spots(h, spots, WHOLE_KM).groupBy(F.col("left_id").alias("id")).agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
@@ -105,7 +105,7 @@ def has_signal(h: DataFrame, s: DataFrame) -> DataFrame:
     return routes.unionByName(near_pairs(h, s.where(F.col("hotel_id").isNull()), WHOLE_KM).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
 
 
-def signal_values(h: DataFrame, s: DataFrame, whole: bool = False) -> DataFrame:
+def signal_values(h: DataFrame, s: DataFrame, whole: bool = True) -> DataFrame:
     """Per hotel (``id``) the ``severities`` of its signals, whether any is ``heavy`` or ``moderate``, the ``worst`` delay, and the mean ``delay`` of its routes."""
     rows = s.where(F.col("hotel_id").isNotNull()).groupBy(F.col("hotel_id").alias("id")).agg(F.collect_set("severity").alias("severities"), F.max("eta_change_min").alias("worst"), F.avg("eta_change_min").alias("delay"))
     if whole:
@@ -115,18 +115,18 @@ def signal_values(h: DataFrame, s: DataFrame, whole: bool = False) -> DataFrame:
     return rows.select("id", "severities", any_of("heavy"), any_of("moderate"), "worst", "delay")
 
 
-def edges(spark: SparkSession, folder: str, whole: bool = False) -> dict[str, DataFrame]:
+def edges(spark: SparkSession, folder: str, whole: bool = True) -> dict[str, DataFrame]:
     h, s, e, n = (f(spark, folder) for f in (hotels, signals, events, news))
     ends = lambda d, a, b: d.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("src"), F.col(b).alias("dst"))
     return {
         "LOCATED_IN": ends(h, "id", "city"), "HAS_AMENITY": hotel_amenities(h), "NEAR_ATTRACTION": hotel_attractions(h),
         "HAS_SIGNAL": has_signal(h, s) if whole else ends(s, "hotel_id", "id").join(h.select(F.col("id").alias("src")), "src", "left_semi"),
         "MENTIONED_IN": ends(e, "id", "news_url").join(n.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst"),
-        "AFFECTED_BY": affected_by_whole(h, e, n, table(spark, folder, "city")) if whole else affected_by(h, e).select("src", "dst"),
+        "AFFECTED_BY": affected_by_whole(h, e, n, table(spark, folder, "city")) if whole else affected_by(h, e, False).select("src", "dst"),
     }
 
 
-def typed_edges(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def typed_edges(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     out = None
     for name, d in edges(spark, folder, whole).items():
         part = d.select("src", "dst", F.lit(name).alias("type"))
@@ -195,7 +195,7 @@ WHOLE_PARTS = {
     AFFECTED: AFFECTED_WHOLE, SIGNALS: SIGNALS_WHOLE, "SELECT s.hotel_id, s.id, 'HAS_SIGNAL' FROM s SEMI JOIN h ON s.hotel_id = h.id": "SELECT src, id, 'HAS_SIGNAL' FROM hs",
     "g AS (SELECT hotel_id, string_agg(DISTINCT severity, ';' ORDER BY severity) AS v, max(eta_change_min) AS w FROM s WHERE hotel_id IS NOT NULL GROUP BY 1)": "g AS (SELECT src AS hotel_id, string_agg(DISTINCT severity, ';' ORDER BY severity) AS v, max(eta_change_min) AS w FROM hs GROUP BY 1)",
     "avg(eta_change_min) AS delay, bool_or(severity = 'heavy') AS heavy, bool_or(severity = 'moderate') AS moderate, max(eta_change_min) AS worst FROM s WHERE hotel_id IS NOT NULL GROUP BY 1": "avg(eta_change_min) FILTER (WHERE route IS NOT NULL) AS delay, bool_or(severity = 'heavy') AS heavy, bool_or(severity = 'moderate') AS moderate, max(eta_change_min) AS worst FROM (SELECT * EXCLUDE (src, hotel_id), src AS hotel_id, hotel_id AS route FROM hs) GROUP BY 1",
-    "count(*) AS total": "count(DISTINCT s.id) AS total", "count(*) FILTER (WHERE s.severity": "count(DISTINCT s.id) FILTER (WHERE s.severity", "FROM s JOIN h ON s.hotel_id = h.id GROUP BY 1": "FROM hs s JOIN h ON s.src = h.id GROUP BY 1",
+    "SELECT h.city, count(*) AS total": "SELECT h.city, count(DISTINCT s.id) AS total", "count(*) FILTER (WHERE s.severity": "count(DISTINCT s.id) FILTER (WHERE s.severity", "FROM s JOIN h ON s.hotel_id = h.id GROUP BY 1": "FROM hs s JOIN h ON s.src = h.id GROUP BY 1",
 }
 
 

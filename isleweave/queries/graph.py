@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +70,19 @@ def graph_overview_labels(spark: SparkSession, folder: str) -> DataFrame:
     return g.label_counts(t, "label")
 
 
-def graph_overview_rels(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def graph_overview_rels(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     return g.label_counts(base.edges(spark, folder, whole), "type")
 
 
-def edge_list(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def edge_list(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     return base.typed_edges(spark, folder, whole)
 
 
-def graph_network(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def graph_network(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     return g.network_nodes(base.typed_edges(spark, folder, whole))
 
 
-def node_neighbours(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def node_neighbours(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """All neighbours of hotels counted, the first 40 shown."""
     d = g.node_details(base.typed_edges(spark, folder, whole)).join(base.hotels(spark, folder).select(F.col("id").alias("node")), "node", "left_semi")
     return d.select("node", "total", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(">", x["type"], x["neighbour"])), ";").alias("shown"))
@@ -95,7 +93,7 @@ def hotel_city_join(spark: SparkSession, folder: str) -> DataFrame:
     return h.join(c, F.lower(h["city"]) == F.lower(c["name"])).select(h["id"], c["name"].alias("city"), "district", "province")
 
 
-def candidate_pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def candidate_pool(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """One row per hotel with its amenities, attractions, severities, worst delay and number of events."""
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     listed = lambda d, name: d.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ";").alias(name))
@@ -105,11 +103,11 @@ def candidate_pool(spark: SparkSession, folder: str, whole: bool = False) -> Dat
     return out.select("id", "name", "city", "rating", *[F.coalesce(c, F.lit("")).alias(c) for c in ("amenities", "attractions", "severities")], "worst_delay", F.coalesce("event_count", F.lit(0)).alias("event_count"))
 
 
-def event_news_chain(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def event_news_chain(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     h, e, n = (f(spark, folder) for f in (base.hotels, base.events, base.news))
     if whole:
         return _whole_chain(h, e, n, table(spark, folder, "city"))
-    near = base.affected_by(h, e).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id"))
+    near = base.affected_by(h, e, False).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id"))
     chain = h.select(F.col("id").alias("hotel_id")).join(near, "hotel_id", "left").join(e.select(F.col("id").alias("event_id"), "news_url"), "event_id", "left").join(n.select(F.col("url").alias("news_url"), F.col("title").alias("news_title")), "news_url", "left")
     return chain.groupBy("hotel_id").agg(F.countDistinct("event_id").alias("events"), F.countDistinct("news_title").alias("titles"), F.min("news_title").alias("first_title"))
 
@@ -179,7 +177,7 @@ def traffic_status_global(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("severity", "n", F.floor(F.col("n") * 100 / F.greatest(total, F.lit(1)) + 0.5).alias("percent"))
 
 
-def traffic_status_city(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def traffic_status_city(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Route signals (for ``whole`` point signals too) of each city's hotels by severity, each signal once."""
     h, s = base.hotels(spark, folder), base.signals(spark, folder)
     per = s.where(F.col("hotel_id").isNotNull()).join(h.select(F.col("id").alias("hotel_id"), "city"), "hotel_id").dropDuplicates(["id", "city"])
@@ -247,7 +245,7 @@ def hourly_signal_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("location_name", "hour").agg(last.alias("m"), F.count(F.lit(1)).alias("n")).select("location_name", "hour", "m.id", "m.severity", "n")
 
 
-def clear_counts(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def clear_counts(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """What clearing the graph would delete."""
     nodes = graph_overview_labels(spark, folder).agg(F.sum("n").alias("n")).select(F.lit("nodes").alias("what"), "n")
     return nodes.unionByName(graph_overview_rels(spark, folder, whole).agg(F.sum("n").alias("n")).select(F.lit("edges").alias("what"), "n"))
@@ -269,9 +267,8 @@ QUERIES = {
         hourly_signal_upsert, clear_counts, placeholder_fix,
     )
 }
-#: Queries that are registered over the whole links too.
+#: Queries on links by distance and by keyword; their SQL is made of that of the nearer links.
 WHOLE = (graph_overview_rels, edge_list, graph_network, node_neighbours, candidate_pool, event_news_chain, clear_counts, traffic_status_city)
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
 _NEAR = f"SELECT h.id AS hotel_id, p.id AS other_id, {km_sql('h', 'p')} AS km FROM h JOIN p ON {KNOWN.format('h')} AND {KNOWN.format('p')} AND p.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND p.lng BETWEEN h.lng - 0.1 AND h.lng + 0.1 WHERE {km_sql('h', 'p')} <= {LINK_KM}e0"
 _COUNT = "SELECT '{0}' AS {1}, count(*) AS n FROM {2}"
@@ -321,4 +318,4 @@ SQL = {
     "clear_counts": f"WITH {EDGES} SELECT 'nodes' AS what, cast(sum(n) AS BIGINT) AS n FROM ({_LABELS}) UNION ALL SELECT 'edges', count(*) FROM edge",
     "placeholder_fix": f"WITH {HOTELS} SELECT id, CASE WHEN coalesce(price_estimated, false) THEN NULL ELSE price_per_night_lkr END AS price, coalesce(price_estimated, false) AS nulled FROM h",
 }
-SQL |= {f"{f.__name__}_whole": base.whole_sql(SQL[f.__name__]) for f in WHOLE}
+SQL |= {f.__name__: base.whole_sql(SQL[f.__name__]) for f in WHOLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.geo import distance_km, known
 from ..operators import evaluation as ev
+from ..operators import retrieval as rt
 from ..operators import scoring as sc
+from ..plans.lineage import cut
+from ..plans.skew import salted_join
 from ..sources.landed import resolved_gold
 from ..sources.tables import table
 from . import base
@@ -19,19 +22,14 @@ from .base import AFFECTED, AMENITY, ATTRACTION, EVENTS, HOTELS, KNOWN, SIGNALS,
 K = 10
 ASKED, WANTED = ["pool", "wifi"], ["Beach", "Market"]
 #: An active event for the personalised rankings: position and impact radius.
-EVENT = {"lat": 6.1, "lng": 79.9, "radius": 5.0}
+EVENT = {"name": "Harbour Night", "lat": 6.1, "lng": 79.9, "radius_km": 5.0, "severity": "high"}
 SEEK = {"spatial": 0.30, "accessibility": 0.15, "facility": 0.30, "economic": 0.10, "disruption": 0.15}
-#: How much each sign of an intent moves a weight.
-DELTAS = [
-    ("cheapest", "economic", 0.20), ("cheapest", "facility", -0.05), ("highest_rated", "facility", 0.20), ("highest_rated", "economic", -0.05), ("most_accessible", "accessibility", 0.20),
-    ("most_accessible", "disruption", 0.10), ("access", "accessibility", 0.15), ("traffic", "disruption", 0.15), ("traffic", "accessibility", 0.05), ("far", "disruption", 0.10), ("amenities", "facility", 0.10),
-]
 QUERY_TEXTS = [("v1", "quiet beach with pool and garden"), ("v2", "breakfast on the terrace"), ("v3", "family friendly pavilion with gym"), ("v4", "harbour lighthouse concert")]
 #: Words that say nothing in descriptions.
 STOPS = "the a an and or of in on at with by for from to is are was it its be as this that".split()
 
 
-def pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def pool(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Candidates with the raw values of all sub-scores: one row per hotel that has a city."""
     h, s, e = (f(spark, folder) for f in (base.hotels, base.signals, base.events))
     c = base.positioned(table(spark, folder, "city")).select(F.col("name").alias("city"), F.col("lat").alias("clat"), F.col("lng").alias("clng"))
@@ -65,12 +63,12 @@ def weighted(candidates: DataFrame) -> DataFrame:
     return candidates.select("id", "city", *[c.alias(k) for k, c in p.items()]).withColumn("score", sc.half_up(sc.weighted_total({k: F.col(k) for k in p}, sc.WEIGHTS), 4))
 
 
-def weighted_retrieve(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def weighted_retrieve(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The ten best hotels of every city by the weighted score, with the sub-scores."""
     return _ranked(weighted(pool(spark, folder, whole))).select("city", "rank", "id", "score", *[sc.half_up(F.col(k), 3).alias(k) for k in sc.WEIGHTS])
 
 
-def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The same after filters that unknown values pass; a city where nothing passes keeps all its hotels."""
     keep = sc.passes_softly(F.col("rating5"), least=4.8) & sc.passes_softly(F.col("star"), least=5.0) & sc.passes_softly(F.col("km"), most=12.0)
     left = sc.relaxed(pool(spark, folder, whole), keep, ["city"])
@@ -78,37 +76,102 @@ def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = Fa
     return _ranked(weighted(left)).join(flags, "id").select("city", "rank", "id", "score", "filters_relaxed")
 
 
-def _personal(spark: SparkSession, folder: str, preference: str, whole: bool = False) -> DataFrame:
-    c = pool(spark, folder, True) if whole else pool(spark, folder).where(F.col("city") == "Kolavara")
+def _personal(spark: SparkSession, folder: str, preference: str, whole: bool = True) -> DataFrame:
+    c = pool(spark, folder, whole)
     km = sc.half_up(F.when(F.col("known"), distance_km(F.lit(EVENT["lat"]), F.lit(EVENT["lng"]), F.col("lat"), F.col("lng"))), 6)
     p = parts()
-    rows = c.withColumn("event_km", km).select("id", "city", "event_km", *[x.alias(k) for k, x in p.items()]).withColumn("event", sc.event_affinity(F.col("event_km"), EVENT["radius"], preference, ["city"]))
-    dis = F.when(F.coalesce(F.col("event_km") <= EVENT["radius"], F.lit(False)), F.greatest(F.lit(0.0), F.col("disruption") - 0.45)).otherwise(F.col("disruption")) if preference == "avoid" else F.col("disruption")
+    rows = c.withColumn("event_km", km).select("id", "city", "event_km", *[x.alias(k) for k, x in p.items()]).withColumn("event", sc.event_affinity(F.col("event_km"), EVENT["radius_km"], preference, ["city"]))
+    dis = F.when(F.coalesce(F.col("event_km") <= EVENT["radius_km"], F.lit(False)), F.greatest(F.lit(0.0), F.col("disruption") - rt.EVENT_PENALTY[EVENT["severity"]])).otherwise(F.col("disruption")) if preference == "avoid" else F.col("disruption")
     every = {**{k: F.col(k) for k in p}, "disruption": dis, "event": F.col("event")}
-    return _ranked(rows.withColumn("score", sc.half_up(sc.weighted_total(every, SEEK | {"event": 0.30}), 4))).select(*["city"] * whole, "rank", "id", "score", sc.half_up(F.col("event"), 3).alias("event"))
+    return _ranked(rows.withColumn("score", sc.half_up(sc.weighted_total(every, SEEK | {"event": 0.30}), 4))).select("city", "rank", "id", "score", sc.half_up(F.col("event"), 3).alias("event"))
 
 
-def personalized_event_seek(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """The ten best hotels of one city (for ``whole`` of every city) for those who seek an event."""
+def personalized_event_seek(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
+    """The ten best hotels of every city for those who seek an event."""
     return _personal(spark, folder, "seek", whole)
 
 
-def personalized_event_avoid(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """The ten best hotels of one city (for ``whole`` of every city) for those who avoid an event."""
+def personalized_event_avoid(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
+    """The ten best hotels of every city for those who avoid an event."""
     return _personal(spark, folder, "avoid", whole)
 
 
 def intent_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of every question: defaults moved by its intent, none below 0, summing to 1."""
     q = table(spark, folder, "documents").where((F.col("doc_type") == "qa") & F.col("text").isNotNull()).select("doc_id", t.intent(F.col("text"), F.lit(None).cast("string")).alias("i"))
-    sign = {"cheapest": F.col("i.sort") == "cheapest", "highest_rated": F.col("i.sort") == "highest_rated", "most_accessible": F.col("i.sort") == "most_accessible", "access": F.col("i.access") == "high", "traffic": F.col("i.avoid_traffic"), "far": F.col("i.proximity") == "far", "amenities": F.size("i.amenities") > 0}
-    moved = {k: F.lit(w) for k, w in sc.WEIGHTS.items()}
-    for s, k, d in DELTAS:
-        moved[k] = moved[k] + F.when(sign[s], d).otherwise(0.0)
-    moved["spatial"] = F.when(sign["far"], F.greatest(F.lit(0.05), moved["spatial"] - 0.10)).otherwise(moved["spatial"])
-    q = q.select("doc_id", *[F.greatest(F.lit(0.0), c).alias(k) for k, c in moved.items()])
-    total = sum((F.col(k) for k in sc.WEIGHTS), F.lit(0.0))
-    return q.select("doc_id", *[sc.half_up(F.col(k) / total, 4).alias(k) for k in sc.WEIGHTS])
+    moved = sc.intent_weights({c: F.col(f"i.{c}") for c in rt.ASKED})
+    return q.select("doc_id", *[sc.half_up(c, 4).alias(k) for k, c in moved.items()])
+
+
+def _asks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Asks of the question documents whose id is divisible by 20, each about the city beside it, and which question asks what."""
+    d = table(spark, folder, "documents").where((F.col("doc_type") == "qa") & F.col("text").isNotNull() & (F.col("doc_id") % 20 == 0))
+    return rt.asks_of(d.select(F.col("doc_id").alias("question_id"), t.intent(F.col("text"), t.island_city(F.col("city_name"))).alias("i")))
+
+
+SHOWN = ("ask_id", "city", "rank", "id", "score", *sc.WEIGHTS, "filters_relaxed")
+
+
+def retrieve_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best hotels for every ask of the questions, with sub-scores and reasons."""
+    best = rt.retrieve(cut(pool(spark, folder)), rt.with_weights(cut(_asks(spark, folder)[0])), K)
+    return best.select(*SHOWN, F.array_join("reasons", "; ").alias("reasons"))
+
+
+def retrieve_personas(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every persona while the event is on."""
+    c, asks = cut(pool(spark, folder)), cut(_asks(spark, folder)[0])
+    rows = [rt.retrieve(c, rt.with_weights(asks, p, EVENT), K).select(F.lit(p).alias("persona"), *SHOWN, F.array_join("reasons", "; ").alias("reasons")) for p in sc.PERSONAS]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def question_asks(spark: SparkSession, folder: str) -> DataFrame:
+    """``question_id, ask_id``: which question asks what."""
+    return _asks(spark, folder)[1]
+
+
+def question_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking of every ask as one text for an answer."""
+    h = base.hotels(spark, folder)
+    return rt.contexts(rt.retrieve(cut(pool(spark, folder)), rt.with_weights(cut(_asks(spark, folder)[0])), K), h)
+
+
+def _question_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per ask the rankings of ``graph``, ``filter`` and ``vector``, what is relevant by its bounds, and whether it asks for one thing only."""
+    c, (asks, members) = cut(pool(spark, folder)), map(cut, _asks(spark, folder))
+    ranked = rt.retrieve(c, rt.with_weights(asks), K).select(F.lit("graph").alias("system"), F.col("ask_id").alias("query_id"), "rank", F.col("id").alias("item"))
+    near = salted_join(c, asks, ["city"])
+    strict = sc.at_least("rating5", "min_rating") & sc.at_least("star", "min_star") & sc.at_least("price", "min_price") & sc.at_most("price", "max_price")
+    order = [F.col("rating5").desc_nulls_last(), F.col("price").asc_nulls_last(), F.col("id").asc()]
+    kept = sc.top_k(near.where(strict).select("ask_id", "id", "rating5", "price"), ["ask_id"], order, K).select(F.lit("filter").alias("system"), F.col("ask_id").alias("query_id"), "rank", F.col("id").alias("item"))
+    first = members.groupBy("ask_id").agg(F.min("question_id").alias("doc_id"))
+    alike = tfidf_questions(spark, folder).withColumn("doc_id", F.substring_index("query_id", ":", -1).cast("bigint"))
+    vector = alike.join(first, "doc_id").select(F.lit("vector").alias("system"), F.col("ask_id").alias("query_id"), "rank", F.col("id").alias("item"))
+    every = F.size("amenities") == F.size(F.filter("amenities", lambda a: F.exists("amen", lambda x: F.contains(x, a))))
+    relevant = near.where(strict & every).select(F.col("ask_id").alias("query_id"), F.col("id").alias("item"))
+    dims = F.when(F.col("min_price").isNotNull() | F.col("max_price").isNotNull(), 1).otherwise(0) + F.when(F.col("min_rating").isNotNull() | F.col("min_star").isNotNull(), 1).otherwise(0)
+    single = asks.select(F.col("ask_id").alias("query_id"), ((dims <= 1) & (F.col("access") != "high") & ~F.col("avoid_traffic") & (F.size("attractions") == 0)).alias("single"))
+    return cut(ranked.unionByName(kept).unionByName(vector)), cut(relevant), single
+
+
+#: The weights by which lists are fused; the adaptive ones depend on whether an ask is for one thing only.
+FUSED = {"graph+vector": {"graph": 1.0, "vector": 1.0}, "graph+filter": {"graph": 1.0, "filter": 1.0}}
+ADAPTIVE = {True: {"filter": 2.0, "graph": 1.0}, False: {"graph": 2.0, "filter": 1.0}}
+
+
+def question_systems(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision, recall, nDCG and MRR of each of the six systems over all asks."""
+    lists, relevant, single = _question_lists(spark, folder)
+    place = lambda s: F.when(s == "graph", 0).when(s == "filter", 1).otherwise(2)
+    weight = lambda of: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("system")), F.lit(0.0))
+    rows = lists.join(single, "query_id")
+    fused = [(name, weight(of)) for name, of in FUSED.items()] + [("adaptive", F.when(F.col("single"), weight(ADAPTIVE[True])).otherwise(weight(ADAPTIVE[False])))]
+    systems = [lists]
+    for name, w in fused:
+        part = rows.withColumn("weight", w).where(F.col("weight") > 0).select("query_id", place(F.col("system")).alias("list"), "weight", "rank", "item")
+        systems.append(ev.fused(part).select(F.lit(name).alias("system"), "query_id", F.col("position").cast("bigint").alias("rank"), "item"))
+    metrics = ev.ranking_metrics(reduce(DataFrame.unionByName, systems), relevant, K)
+    return metrics.groupBy("system").agg(F.count(F.lit(1)).alias("asks"), *[sc.half_up(F.avg(c), 6).alias(c) for c in NAMES])
 
 
 def filtered(candidates: DataFrame) -> DataFrame:
@@ -119,7 +182,7 @@ def filtered(candidates: DataFrame) -> DataFrame:
 
 
 def filter_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    return filtered(pool(spark, folder)).select("city", "rank", "id", "rating5")
+    return filtered(pool(spark, folder, False)).select("city", "rank", "id", "rating5")
 
 
 def gold(candidates: DataFrame) -> DataFrame:
@@ -129,7 +192,7 @@ def gold(candidates: DataFrame) -> DataFrame:
 
 
 def gold_predicate(spark: SparkSession, folder: str) -> DataFrame:
-    return gold(pool(spark, folder))
+    return gold(pool(spark, folder, False))
 
 
 def tfidf_baseline(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,21 +217,21 @@ def tfidf_questions(spark: SparkSession, folder: str) -> DataFrame:
     return sc.top_k(sims, ["query_id"], [F.col("similarity").desc(), F.col("id").desc()], K)
 
 
-def _lists(spark: SparkSession, folder: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, folder: str, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rankings of the systems ``graph`` and ``filter`` per city, and gold."""
-    c = pool(spark, folder, whole)
+    c = cut(pool(spark, folder, whole))  # read several times
     graph = _ranked(weighted(c)).select(F.lit("graph").alias("system"), F.col("city").alias("query_id"), "rank", F.col("id").alias("item"))
     flt = filtered(c).select(F.lit("filter").alias("system"), F.col("city").alias("query_id"), "rank", F.col("id").alias("item"))
     return graph.unionByName(flt), gold(c)
 
 
-def rrf_fusion(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def rrf_fusion(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     r, _ = _lists(spark, folder, whole)
     lists = r.select("query_id", F.when(F.col("system") == "graph", 0).otherwise(1).alias("list"), F.lit(1.0).alias("weight"), "rank", "item")
     return ev.fused(lists).select("query_id", "item", sc.half_up(F.col("score"), 8).alias("score"), "position")
 
 
-def adaptive_fusion(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def adaptive_fusion(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Cities of few candidates trust the filter twice, others the graph twice."""
     r, _ = _lists(spark, folder, whole)
     small = pool(spark, folder, whole).groupBy(F.col("city").alias("query_id")).agg((F.count(F.lit(1)) < 20).alias("small"))
@@ -176,7 +239,7 @@ def adaptive_fusion(spark: SparkSession, folder: str, whole: bool = False) -> Da
     return ev.fused(lists).select("query_id", "item", sc.half_up(F.col("score"), 8).alias("score"), "position")
 
 
-def _metrics(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def _metrics(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     r, relevant = _lists(spark, folder, whole)
     return ev.ranking_metrics(r, relevant, K)
 
@@ -184,34 +247,34 @@ def _metrics(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame
 NAMES = ("precision", "recall", "ndcg", "mrr")
 
 
-def ranking_metrics(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def ranking_metrics(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     return _metrics(spark, folder, whole).select("system", "query_id", *[sc.half_up(F.col(c), 6).alias(c) for c in NAMES])
 
 
-def metrics_by_system(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def metrics_by_system(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     return _metrics(spark, folder, whole).groupBy("system").agg(*[sc.half_up(F.avg(c), 6).alias(c) for c in NAMES])
 
 
-def metrics_by_category(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def metrics_by_category(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     c = table(spark, folder, "city").select(F.col("name").alias("query_id"), F.col("province").alias("category"))
     return _metrics(spark, folder, whole).join(c, "query_id").groupBy("category", "system").agg(*[sc.half_up(F.avg(x), 6).alias(x) for x in NAMES])
 
 
-def best_system(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def best_system(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Per city the system with the best nDCG; the first system wins ties."""
     m = _metrics(spark, folder, whole).withColumn("ndcg", sc.half_up(F.col("ndcg"), 6))
     key = F.struct("ndcg", F.when(F.col("system") == "graph", 0).otherwise(-1))
     return m.groupBy("query_id").agg(F.max_by("system", key).alias("best"), F.max("ndcg").alias("ndcg"))
 
 
-def hybrid_delta(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def hybrid_delta(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Mean nDCG per system and its difference from the graph's in percent."""
     m = _metrics(spark, folder, whole).groupBy("system").agg(F.avg("ndcg").alias("ndcg"))
     graph = m.where(F.col("system") == "graph").select("ndcg").scalar()
     return m.select("system", sc.half_up(F.col("ndcg"), 6).alias("ndcg"), sc.half_up((F.col("ndcg") - graph) / graph * 100, 2).alias("delta"))
 
 
-def inspect_query(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def inspect_query(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Rankings beside the candidates' values and whether each is relevant."""
     r, relevant = _lists(spark, folder, whole)
     c = pool(spark, folder, whole).select(F.col("id").alias("item"), "km", "rating5", "star")
@@ -219,7 +282,7 @@ def inspect_query(spark: SparkSession, folder: str, whole: bool = False) -> Data
     return r.join(c, "item", "left").join(hit, ["query_id", "item"], "left").select("system", "query_id", "rank", "item", "km", "rating5", "star", F.coalesce("relevant", F.lit(False)).alias("relevant"))
 
 
-def annotation_pool(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def annotation_pool(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Top five of both systems and two others per city, drawn by a seeded hash, shuffled for an annotator by another."""
     r, _ = _lists(spark, folder, whole)
     c = pool(spark, folder, whole).select(F.col("city").alias("query_id"), F.col("id").alias("item"))
@@ -247,14 +310,14 @@ def judgment_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _judgments(spark, folder).groupBy("doc_type", "k").agg(F.count("value").alias("n"), sc.half_up(F.avg("value"), 6).alias("mean"))
 
 
-def reasons(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def reasons(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Why each of a city's ten best hotels is where it is, in words, as one line per hotel."""
     w = _ranked(weighted(pool(spark, folder, whole)))
     why = F.array_compact(F.array(F.when(F.col("spatial") > 0.7, "close to the centre"), F.when(F.col("accessibility") > 0.7, "quick to reach"), F.when(F.col("facility") > 0.5, "well equipped"), F.when(F.col("disruption") < 0.5, "disturbed"), F.when(F.col("disruption") > 0.85, "undisturbed")))
     return w.select("city", "rank", "id", F.array_join(why, "; ").alias("reasons"))
 
 
-def context_text(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def context_text(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The ranking of every city as one text, a line per hotel with its score in ten-thousandths."""
     w = _ranked(weighted(pool(spark, folder, whole)))
     line = F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "id", F.lit("score"), F.round(F.col("score") * 10000).cast("bigint").cast("string"))
@@ -270,7 +333,7 @@ def persona_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_resolution(spark: SparkSession, folder: str) -> DataFrame:
     """Human labels (here: hotels of star 5 in three provinces' cities) supersede the rules of their queries."""
-    c = pool(spark, folder)
+    c = pool(spark, folder, False)
     own = table(spark, folder, "city").where(F.col("province").isin("West Shore", "Dry Plain")).select(F.col("name").alias("query_id"))
     human = c.where(F.col("star") == 5).select(F.col("city").alias("query_id"), F.col("id").alias("item")).join(own, "query_id", "left_semi")
     return resolved_gold(human, gold(c))
@@ -279,15 +342,14 @@ def gold_resolution(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, intent_weights, filter_baseline, gold_predicate, tfidf_baseline, tfidf_questions, rrf_fusion, adaptive_fusion, ranking_metrics,
+        weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, intent_weights, retrieve_questions, retrieve_personas, question_asks, question_contexts, question_systems, filter_baseline, gold_predicate, tfidf_baseline, tfidf_questions, rrf_fusion, adaptive_fusion, ranking_metrics,
         metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, krippendorff_alpha, majority_vote, judgment_counts, reasons, context_text, persona_weights, gold_resolution,
     )
 }
-#: Queries that are registered over the whole links too; the others on the pool read neither events nor signals.
+#: Queries on links by distance and by keyword; their SQL is made of that of the nearer links.
 WHOLE = (
     weighted_retrieve, weighted_retrieve_relaxed, personalized_event_seek, personalized_event_avoid, rrf_fusion, adaptive_fusion, ranking_metrics, metrics_by_system, metrics_by_category, best_system, hybrid_delta, inspect_query, annotation_pool, reasons, context_text,
 )
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
 
 def _low(c: str) -> str:
@@ -344,7 +406,7 @@ def _intent_sql() -> str:
     from .texts import QUESTIONS, _any
 
     moved = {k: f"{w!r}e0" for k, w in sc.WEIGHTS.items()}
-    for s, k, d in DELTAS:
+    for s, k, d in sc.DELTAS:
         moved[k] += f" + CASE WHEN {s} THEN {d!r}e0 ELSE 0e0 END"
     moved["spatial"] = f"CASE WHEN far THEN greatest(0.05e0, {moved['spatial']} - 0.10e0) ELSE {moved['spatial']} END"
     total = "(0e0 + " + " + ".join(sc.WEIGHTS) + ")"
@@ -400,7 +462,7 @@ SQL = {
     "judgment_counts": f"WITH {_JUDGED} SELECT doc_type, k, count(value) AS n, {rounded('avg(value)', 6)} AS mean FROM j GROUP BY 1, 2",
     "reasons": f"WITH {_POOL}, {_WEIGHTED} SELECT city, rank, id, coalesce(concat_ws('; ', CASE WHEN spatial > 0.7e0 THEN 'close to the centre' END, CASE WHEN accessibility > 0.7e0 THEN 'quick to reach' END, CASE WHEN facility > 0.5e0 THEN 'well equipped' END, CASE WHEN disruption < 0.5e0 THEN 'disturbed' END, CASE WHEN disruption > 0.85e0 THEN 'undisturbed' END), '') AS reasons FROM wr WHERE rank <= {K}",
 }
-SQL |= {f"{f.__name__}_whole": base.whole_sql(SQL[f.__name__]) for f in WHOLE}
+SQL |= {f.__name__: base.whole_sql(SQL[f.__name__]) for f in WHOLE}
 for _k in ("seek", "avoid"):
-    _sql = SQL[f"personalized_event_{_k}_whole"].replace(" WHERE city = 'Kolavara'", "").replace("row_number() OVER (ORDER BY", "row_number() OVER (PARTITION BY city ORDER BY").replace("SELECT rank, id,", "SELECT city, rank, id,")
-    SQL[f"personalized_event_{_k}_whole"] = _sql.replace("(event_km) OVER ()", "(event_km) OVER (PARTITION BY city)")
+    _sql = SQL[f"personalized_event_{_k}"].replace(" WHERE city = 'Kolavara'", "").replace("row_number() OVER (ORDER BY", "row_number() OVER (PARTITION BY city ORDER BY").replace("SELECT rank, id,", "SELECT city, rank, id,")
+    SQL[f"personalized_event_{_k}"] = _sql.replace("(event_km) OVER ()", "(event_km) OVER (PARTITION BY city)")

@@ -1,4 +1,4 @@
-"""The whole links: what the queries named ``..._whole`` must do on small made-up tables."""
+"""The whole links: what the queries on links must do on small made-up tables."""
 
 import pytest
 
@@ -31,7 +31,7 @@ def made(spark, tmp_path):
 def test_incidents_within_five_km(spark, made):
     folder = made(events=[("near", "traffic_incident", 6.005, 80.0, None), ("mid", "traffic_incident", 6.04, 80.0, None), ("far", "traffic_incident", 6.05, 80.0, None)])
     assert {(r.src, r.dst) for r in base.edges(spark, folder, whole=True)["AFFECTED_BY"].collect()} == {("h1", "near"), ("h1", "mid")}
-    assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": 2, "h2": 0, "h3": 0}
+    assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool"](spark, folder).collect()} == {"h1": 2, "h2": 0, "h3": 0}
 
 
 def test_point_signals_within_five_km(spark, made):
@@ -39,9 +39,9 @@ def test_point_signals_within_five_km(spark, made):
     points = [("p1", None, "heavy", 7.0, 6.03, 80.0), ("p2", None, "moderate", 1.0, 6.03, 80.0), ("p3", None, "heavy", 30.0, 6.05, 80.0), ("p4", None, "heavy", 50.0, 0.0, 80.0), ("p5", None, None, None, 6.13, 80.0)]
     folder = made(signals=routes + points)
     assert {(r.src, r.dst) for r in base.edges(spark, folder, whole=True)["HAS_SIGNAL"].collect()} == {("h1", "r1"), ("h1", "p1"), ("h1", "p2"), ("h2", "p5")}
-    assert {r.id: (r.severities, r.worst_delay) for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": ("heavy;light;moderate", 7.0), "h2": ("", None), "h3": ("", None)}
+    assert {r.id: (r.severities, r.worst_delay) for r in graph.QUERIES["candidate_pool"](spark, folder).collect()} == {"h1": ("heavy;light;moderate", 7.0), "h2": ("", None), "h3": ("", None)}
     assert {r.id: (r.heavy, r.moderate, r.worst, r.delay) for r in ranking.pool(spark, folder, whole=True).collect() if r.id == "h1"} == {"h1": (True, True, 7.0, 2.0)}
-    assert {tuple(r) for r in graph.QUERIES["traffic_status_city_whole"](spark, folder).collect()} == {("Kolavara", 3, 1, 1, 1, 0), ("Elsewhere", 1, 0, 0, 0, 0)}
+    assert {tuple(r) for r in graph.QUERIES["traffic_status_city"](spark, folder).collect()} == {("Kolavara", 3, 1, 1, 1, 0), ("Elsewhere", 1, 0, 0, 0, 0)}
 
 
 def test_news_that_names_a_city(spark, made):
@@ -50,15 +50,15 @@ def test_news_that_names_a_city(spark, made):
     folder = made(events=events, news=news)
     want = {("h1", "i")} | {(h, e) for h in ("h1", "h3") for e in "abd"}
     assert sorted((r.src, r.dst) for r in base.edges(spark, folder, whole=True)["AFFECTED_BY"].collect()) == sorted(want)
-    chain = {r.hotel_id: (r.events, r.titles, r.first_title) for r in graph.QUERIES["event_news_chain_whole"](spark, folder).collect()}
+    chain = {r.hotel_id: (r.events, r.titles, r.first_title) for r in graph.QUERIES["event_news_chain"](spark, folder).collect()}
     assert chain == {"h1": (4, 2, "A title"), "h2": (0, 0, None), "h3": (3, 2, "A title")}
-    assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool_whole"](spark, folder).collect()} == {"h1": 4, "h2": 0, "h3": 3}
+    assert {r.id: r.event_count for r in graph.QUERIES["candidate_pool"](spark, folder).collect()} == {"h1": 4, "h2": 0, "h3": 3}
     assert {r.id: r.events for r in ranking.pool(spark, folder, whole=True).collect()} == {"h1": 4, "h2": 0, "h3": 3}
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for name in ("hotel", "graph_event", "traffic_signal", "news_signal", "city"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
-    for query in ("event_news_chain_whole", "candidate_pool_whole", "edge_list_whole"):
+    for query in ("event_news_chain", "candidate_pool", "edge_list"):
         rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
         assert rows(graph.QUERIES[query](spark, folder).toPandas()) == rows(con.sql(graph.SQL[query]).df())
     assert {tuple(r) for r in texts.QUERIES["news_keyword_link_whole"](spark, folder).collect()} == {(u, c, 1) for u in ("u1", "u2", "u4") for c in ("Kolavara", "Hikkala")}
@@ -74,5 +74,5 @@ def test_questions_are_searched_by_name_too(spark, made):
 
 def test_personal_rankings_of_every_city(spark, made):
     folder = made()
-    for name in ("personalized_event_seek_whole", "personalized_event_avoid_whole"):
+    for name in ("personalized_event_seek", "personalized_event_avoid"):
         assert {(r.city, r.rank, r.id) for r in ranking.QUERIES[name](spark, folder).collect()} == {("Kolavara", 1, "h1"), ("Elsewhere", 1, "h2"), ("Hikkala", 1, "h3")}
