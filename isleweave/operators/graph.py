@@ -25,9 +25,14 @@ def merge_nodes(old: DataFrame, batch: DataFrame, keys: list[str], seq: str) ->
     return upsert_latest(both, keys, [F.col(seq).desc_nulls_last(), F.col("__new").desc()]).drop("__new")
 
 
-def insert_absent(old: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` plus the rows of ``batch`` whose key it lacks; present rows stay as they are."""
-    return old.unionByName(batch.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+def insert_absent(old: DataFrame, batch: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``old`` plus the rows of ``batch`` whose key it lacks; present rows stay as they are.
+
+    Of several batch rows with one key the first by ``order`` is written (by default by all its columns, so that every
+    run writes the same one).
+    """
+    first = upsert_latest(batch, keys, order or [F.col(c).asc_nulls_last() for c in batch.columns if c not in keys] or [F.lit(0)])
+    return old.unionByName(first.join(old.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
 def merge_edges(old: DataFrame | None, batch: DataFrame, sources: DataFrame, targets: DataFrame, seq: str) -> DataFrame:
@@ -89,3 +94,60 @@ def duplicate_groups(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
 def keep_best(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """``rows`` with ``kept``: the best of each group by ``order`` is kept, the others are losers."""
     return rows.withColumn("kept", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
+def sanitised(rows: DataFrame, dropped: tuple[str, ...] = ("embedding",)) -> DataFrame:
+    """Properties fit for display: embeddings are dropped, nested values become JSON, other values that JSON has no form for become strings."""
+    out = []
+    for f in rows.schema.fields:
+        kind = f.dataType.simpleString()
+        if f.name in dropped:
+            continue
+        nested = kind.startswith(("array", "struct", "map"))
+        out.append(F.to_json(f.name).alias(f.name) if nested else F.col(f.name).cast("string").alias(f.name) if kind.startswith(("timestamp", "date", "binary", "decimal")) else F.col(f.name))
+    return rows.select(*out)
+
+
+def collected_maps(rows: DataFrame, key: str, fields: list[str], needed: str, name: str) -> DataFrame:
+    """``key`` with the sorted distinct maps of ``fields``; maps whose ``needed`` field is null are dropped, keys stay."""
+    one = F.when(F.col(needed).isNotNull(), F.struct(*fields))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(one)).alias(name))
+
+
+def merged_slots(a: Column, b: Column) -> Column:
+    """Union of two lists of words, lower-cased and trimmed, without blanks, sorted."""
+    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(F.lower(x))), lambda x: x.isNotNull() & (x != ""))
+    return F.array_sort(F.array_union(tidy(a), tidy(b)))
+
+
+def merge_aliases(nodes: DataFrame, edges: DataFrame, canonical: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``name``) and edges (``src, dst`` and properties) after every alias is merged into its canonical name.
+
+    Edges move with their properties; where several of one ``src`` meet, the one of the greatest old name wins.
+    Aliases go, canonical nodes that were missing come.
+    """
+    moved = edges.withColumn("__old", F.col("dst")).withColumn("name", F.col("dst")).withColumn("dst", F.coalesce(canonical, F.col("dst"))).drop("name")
+    kept = upsert_latest(moved, ["src", "dst"], [F.col("__old").desc()]).drop("__old")
+    return nodes.select(F.coalesce(canonical, F.col("name")).alias("name")).distinct(), kept
+
+
+CONFIRMATION = "DELETE ALL"
+
+
+def cleared(tables: dict[str, DataFrame], confirmation: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table emptied, and how many rows each had (``name, n``); anything but the fixed confirmation is refused."""
+    if confirmation != CONFIRMATION:
+        raise ValueError(f"clearing needs the confirmation {CONFIRMATION!r}")
+    return {k: t.limit(0) for k, t in tables.items()}, label_counts(tables, "name")
+
+
+def network(edges: DataFrame, located: DataFrame | None = None, city: str | None = None, limit: int = 180) -> DataFrame:
+    """Edges of a view ``src, dst, type``: of the first ``limit`` hotels of a city by id, or the first ``limit`` edges (a display limit).
+
+    ``located`` has ``src`` (hotel) and ``dst`` (city). Edges keep their own direction.
+    """
+    if city is None:
+        return edges.orderBy("type", "src", "dst").limit(limit)
+    own = located.where(F.col("dst") == city).select(F.col("src").alias("hotel")).distinct().orderBy("hotel").limit(limit)
+    ends = lambda c: edges.join(F.broadcast(own), F.col(c) == F.col("hotel"), "left_semi")  # at most the limit
+    return ends("src").unionByName(ends("dst")).distinct()

@@ -230,6 +230,25 @@ def city_alias_merge(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("city").agg(F.countDistinct("city_name").alias("variants"), F.countDistinct("id").alias("edges"))
 
 
+def city_alias_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """LOCATED_IN edges after every written city name is merged into the city it stands for."""
+    rows = table(spark, folder, "hotel").where(F.col("id").isNotNull() & F.col("city_name").isNotNull())
+    edges = rows.select(F.col("id").alias("src"), F.col("city_name").alias("dst")).distinct()
+    return g.merge_aliases(rows.select(F.col("city_name").alias("name")).distinct(), edges, island_city(F.col("name")))[1]
+
+
+def traffic_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct severities and places of each hotel's route signals, those without a severity left out."""
+    s = base.signals(spark, folder).where(F.col("hotel_id").isNotNull())
+    maps = g.collected_maps(s, "hotel_id", ["severity", "location_name"], "severity", "maps")
+    return maps.select("hotel_id", F.array_join(F.transform("maps", lambda m: F.concat_ws("@", m["severity"], m["location_name"])), ";").alias("maps"))
+
+
+def network_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 180 edges by type and ends (a display limit)."""
+    return g.network(base.typed_edges(spark, folder))
+
+
 def severity_classify(spark: SparkSession, folder: str) -> DataFrame:
     s = base.signals(spark, folder)
     free, now = F.col("free_flow_speed"), F.col("current_speed")
@@ -263,12 +282,12 @@ QUERIES = {
     for f in (
         node_upsert_latest, node_merge_batches, insert_if_absent, edge_upsert_semi, edge_property_update, ttl_cleanup, unique_keys, graph_overview_labels, graph_overview_rels, edge_list, graph_network,
         node_neighbours, hotel_city_join, candidate_pool, event_news_chain, radius_link_signals, radius_link_incidents, route_signal_link, nearest_city, orphan_city_anti, city_stats, hotels_per_city,
-        traffic_status_global, traffic_status_city, travel_coverage, incident_count, city_centroid, bounding_box, duplicate_groups, dedupe_keep_best, city_alias_merge, severity_classify,
+        traffic_status_global, traffic_status_city, travel_coverage, incident_count, city_centroid, bounding_box, duplicate_groups, dedupe_keep_best, city_alias_merge, city_alias_edges, traffic_maps, network_first, severity_classify,
         hourly_signal_upsert, clear_counts, placeholder_fix,
     )
 }
 #: Queries on links by distance and by keyword; their SQL is made of that of the nearer links.
-WHOLE = (graph_overview_rels, edge_list, graph_network, node_neighbours, candidate_pool, event_news_chain, clear_counts, traffic_status_city)
+WHOLE = (graph_overview_rels, edge_list, graph_network, node_neighbours, candidate_pool, event_news_chain, clear_counts, network_first, traffic_status_city)
 
 _NEAR = f"SELECT h.id AS hotel_id, p.id AS other_id, {km_sql('h', 'p')} AS km FROM h JOIN p ON {KNOWN.format('h')} AND {KNOWN.format('p')} AND p.lat BETWEEN h.lat - 0.1 AND h.lat + 0.1 AND p.lng BETWEEN h.lng - 0.1 AND h.lng + 0.1 WHERE {km_sql('h', 'p')} <= {LINK_KM}e0"
 _COUNT = "SELECT '{0}' AS {1}, count(*) AS n FROM {2}"
@@ -311,6 +330,9 @@ SQL = {
     "duplicate_groups": f"WITH {HOTELS} SELECT lower(trim(name)) AS name_key, city, count(*) AS n, min(id) AS first_id FROM h GROUP BY 1, 2 HAVING count(*) > 1",
     "dedupe_keep_best": f"WITH {HOTELS} SELECT id, row_number() OVER (PARTITION BY lower(trim(name)), city ORDER BY coalesce(price_per_night_lkr > 0, false) DESC, source = 'liteapi' DESC, id) = 1 AS kept FROM h",
     "city_alias_merge": f"SELECT city, count(DISTINCT city_name) AS variants, count(DISTINCT id) AS edges FROM (SELECT id, city_name, {base.city_sql('city_name')} AS city FROM hotel WHERE id IS NOT NULL) GROUP BY 1",
+    "city_alias_edges": f"SELECT DISTINCT id AS src, {base.city_sql('city_name')} AS dst FROM hotel WHERE id IS NOT NULL AND city_name IS NOT NULL",
+    "traffic_maps": f"WITH {SIGNALS}, m AS (SELECT DISTINCT hotel_id, severity, location_name FROM s WHERE hotel_id IS NOT NULL) SELECT hotel_id, coalesce(string_agg(concat_ws('@', severity, location_name), ';' ORDER BY severity, location_name NULLS FIRST) FILTER (WHERE severity IS NOT NULL), '') AS maps FROM m GROUP BY 1",
+    "network_first": f"WITH {EDGES} SELECT src, dst, type FROM edge ORDER BY type, src, dst LIMIT 180",
     "severity_classify": f"""WITH {SIGNALS}, r AS (SELECT free_flow_speed AS f, current_speed AS c, CASE WHEN free_flow_speed IS NULL OR free_flow_speed <= 0 THEN 1e0 ELSE current_speed / free_flow_speed END AS q FROM s)
         SELECT CASE WHEN f IS NULL OR f <= 0 THEN 'unknown' WHEN q < 0.3e0 THEN 'heavy' WHEN q < 0.7e0 THEN 'moderate' ELSE 'light' END AS class, count(*) AS n, {rounded('max(q)', 4)} AS max_ratio,
         {rounded('max(CASE WHEN c > 0 AND f > 0 THEN greatest(0e0, (1 / c - 1 / f) * 60) END)', 4)} AS max_delay FROM r GROUP BY 1""",

@@ -51,6 +51,11 @@ def amenity_synonyms(spark: SparkSession, folder: str) -> DataFrame:
     return _questions(spark, folder).select("doc_id", _joined(F.array_sort(t.amenities(F.col("text")))).alias("amenities"), _joined(F.array_sort(t.asked_attractions(F.col("text")))).alias("attractions"))
 
 
+def question_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per kind and language."""
+    return table(spark, folder, "documents").groupBy("doc_type", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 def single_attribute(spark: SparkSession, folder: str) -> DataFrame:
     """Questions that ask for one thing only: price, or quality, and neither access nor attractions."""
     low, high = t.price_bounds(F.col("text"))
@@ -164,7 +169,7 @@ def complete_items(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_city, intent_price_regex, intent_rating_regex, intent_flags, intent_keywords, amenity_synonyms, single_attribute, ner_neighbourhoods, ner_landmarks, ner_attractions, url_host, md5_ids,
+        canonical_city, intent_price_regex, intent_rating_regex, intent_flags, intent_keywords, amenity_synonyms, question_counts, single_attribute, ner_neighbourhoods, ner_landmarks, ner_attractions, url_host, md5_ids,
         news_keyword_link, news_keyword_link_whole, event_titles, json_slots, latest_news_topk, top_rated_nulls_first, news_dedupe_by_url_capped, source_fallback, union_sources_keep_first, recent_window, complete_items,
     )
 }
@@ -202,6 +207,7 @@ SQL = {
         CASE WHEN cheap THEN 'cheapest' WHEN lux THEN 'highest_rated' WHEN acc OR quiet OR traffic THEN 'most_accessible' ELSE 'best_overall' END AS sort FROM f""",
     "intent_keywords": f"WITH {QUESTIONS} SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '[a-z]{{3,}}'), lambda w: w NOT IN {_STOPS})[1:12], ';') AS keywords FROM q",
     "amenity_synonyms": f"WITH {QUESTIONS}, x AS (SELECT DISTINCT doc_id, a.name FROM q JOIN {_AM} ON contains(q.t, a.word)), y AS (SELECT DISTINCT doc_id, a.name FROM q JOIN {_AT} ON contains(q.t, a.name)), xs AS (SELECT doc_id, string_agg(name, ';' ORDER BY name) AS v FROM x GROUP BY 1), ys AS (SELECT doc_id, string_agg(name, ';' ORDER BY name) AS v FROM y GROUP BY 1) SELECT q.doc_id, coalesce(xs.v, '') AS amenities, coalesce(ys.v, '') AS attractions FROM q LEFT JOIN xs ON xs.doc_id = q.doc_id LEFT JOIN ys ON ys.doc_id = q.doc_id",
+    "question_counts": "SELECT doc_type, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "single_attribute": f"WITH {QUESTIONS} SELECT doc_id, (CASE WHEN ({_MIN}) IS NOT NULL OR ({_MAX}) IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN ({_RATING}) IS NOT NULL OR ({_STAR}) IS NOT NULL THEN 1 ELSE 0 END) <= 1 AND NOT {_any('t', t.ACCESS + t.TRAFFIC + t.QUIET + t.ASKED_ATTRACTIONS)} AS single FROM q",
     "ner_neighbourhoods": f"WITH {HOTELS}, p AS (SELECT id, {_PARTS} AS parts FROM h) SELECT id, coalesce(array_to_string(({_FIRSTS.format('parts')})[1:2], ';'), '') AS names FROM p",
     "ner_landmarks": f"WITH {HOTELS}, p AS (SELECT id, {_NAMES} AS parts FROM h) SELECT id, coalesce(array_to_string(({_FIRSTS.format('parts')})[1:6], ';'), '') AS names FROM p",

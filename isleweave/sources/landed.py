@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 RATES = (
     "data array<struct<hotelId:string,roomTypes:array<struct<roomTypeId:string,offerId:string,name:string,rateType:string,offerRetailRate:array<struct<amount:double>>,"
     "rates:array<struct<name:string,boardName:string,boardType:string,retailRate:struct<total:array<struct<amount:double>>>,cancellationPolicies:struct<refundableTag:string>>>>>>>,"
-    "hotels array<struct<id:string,name:string,address:string,latitude:double,longitude:double,rating:double,stars:double,hotelDescription:string>>"
+    "hotels array<struct<id:string,name:string,address:string,latitude:double,longitude:double,rating:double,stars:double,starRating:double,hotelDescription:string,amenities:array<string>,hotelFacilities:array<string>,facilities:array<string>>>"
 )
 MATRIX = "origins array<string>, destinations array<string>, rows array<struct<elements:array<struct<status:string,distance:struct<value:double>,duration:struct<value:double>,duration_in_traffic:struct<value:double>>>>>"
 INCIDENTS = (
@@ -34,26 +34,74 @@ def severity(ratio: Column, free: Column) -> Column:
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    """One row per hotel and room offer: ``hotel_id, room_id, name, price, board, refundable``; unpriced offers are dropped."""
+    """One row per hotel and room offer: ``hotel_id, room_id, name, price, board, refundable``; unpriced offers are dropped.
+
+    A room's own name comes before that of its first rate (at most 200 characters, else "Room"), its type id before
+    the offer's.
+    """
     raw = spark.read.schema(RATES).json(path, multiLine=True)
     rooms = raw.select(F.explode("data").alias("d")).select(F.col("d.hotelId").alias("hotel_id"), F.posexplode("d.roomTypes").alias("at", "r"))
     price = F.coalesce(F.nullif(F.get("r.offerRetailRate", F.lit(0))["amount"], F.lit(0.0)), F.get(F.get("r.rates", F.lit(0))["retailRate"]["total"], F.lit(0))["amount"])
     first = F.get("r.rates", F.lit(0))
+    some = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
     return rooms.select(
-        "hotel_id", F.concat_ws(":", "hotel_id", F.coalesce("r.roomTypeId", "r.name")).alias("room_id"), F.coalesce(first["name"], F.col("r.name")).alias("name"), price.alias("price"),
-        F.coalesce(first["boardName"], first["boardType"]).alias("board"), (first["cancellationPolicies"]["refundableTag"] == "RFN").alias("refundable"),
+        "hotel_id", F.concat_ws(":", "hotel_id", some(F.col("r.roomTypeId"), F.col("r.offerId"))).alias("room_id"), F.substring(F.coalesce(some(F.col("r.name"), first["name"]), F.lit("Room")), 1, 200).alias("name"), price.alias("price"),
+        some(first["boardName"], first["boardType"]).alias("board"), F.coalesce(first["cancellationPolicies"]["refundableTag"] == "RFN", F.lit(False)).alias("refundable"),
     ).where((F.col("price") > 0) & F.col("hotel_id").isNotNull())
 
 
+#: Amenities that every hotel of the rates feed has.
+RATE_DEFAULTS = ["Air Conditioning", "24h Front Desk"]
+
+
+def read_rate_hotels(spark: SparkSession, path: str) -> DataFrame:
+    """``id, name, address, lat, lng, rating, star_rating, description, amenities`` of the hotels of a rates payload, one row per id."""
+    h = spark.read.schema(RATES).json(path, multiLine=True).select(F.explode("hotels").alias("h")).select("h.*").where(F.col("id").isNotNull())
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    listed = F.coalesce(some("amenities"), some("hotelFacilities"), some("facilities"), F.array().cast("array<string>"))
+    named = F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(listed, F.array(*map(F.lit, RATE_DEFAULTS))), lambda x: F.trim(x)), lambda x: x != "")))
+    rows = h.select("id", "name", "address", F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), halved_rating(F.col("rating")).alias("rating"), F.coalesce("stars", "starRating").alias("star_rating"), F.col("hotelDescription").alias("description"), named.alias("amenities"))
+    return rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("r")).select("id", "r.*")
+
+
 def cheapest_rooms(rooms: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` cheapest rooms of each hotel (a top-k report)."""
     order = Window.partitionBy("hotel_id").orderBy("price", "room_id")
     return rooms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rate_rollup(rooms: DataFrame) -> DataFrame:
-    """Per hotel the least price, whether any room is refundable, and the sorted distinct boards."""
-    return rooms.groupBy("hotel_id").agg(F.min("price").alias("price"), F.bool_or(F.coalesce("refundable", F.lit(False))).alias("refundable"), F.array_sort(F.collect_set("board")).alias("boards"))
+def rate_rollup(rooms: DataFrame, nights: int = 1, k: int = 5) -> DataFrame:
+    """Per hotel, over its ``k`` cheapest rooms, the least price a night, whether any room is refundable, and the sorted distinct boards."""
+    kept = cheapest_rooms(rooms, k)
+    return kept.groupBy("hotel_id").agg((F.min("price") / nights).alias("price"), F.bool_or(F.coalesce("refundable", F.lit(False))).alias("refundable"), F.array_sort(F.collect_set("board")).alias("boards"))
+
+
+PLACES = "status string, results array<struct<place_id:string,name:string,rating:double,formatted_address:string,types:array<string>,geometry:struct<location:struct<lat:double,lng:double>>>>"
+DETAILS = "result struct<place_id:string,name:string,formatted_address:string,formatted_phone_number:string,website:string,rating:double,user_ratings_total:bigint,price_level:int,geometry:struct<location:struct<lat:double,lng:double>>,types:array<string>,editorial_summary:struct<overview:string>>"
+ARTICLES = "status string, articles array<struct<title:string,description:string,url:string,publishedAt:string,source:struct<name:string>>>"
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """``id, name, rating, types, address, lat, lng`` of landed pages of a place search; pages whose status is not OK are left out."""
+    p = spark.read.schema(PLACES).json(path, multiLine=True).where(F.col("status") == "OK").select(F.explode("results").alias("p")).select("p.*")
+    return p.where(F.col("place_id").isNotNull()).select(F.col("place_id").alias("id"), "name", "rating", "types", F.col("formatted_address").alias("address"), F.col("geometry.location.lat").alias("lat"), F.col("geometry.location.lng").alias("lng"))
+
+
+def read_details(spark: SparkSession, path: str) -> DataFrame:
+    """Landed details of places, one row per file that has a result: what ``read_places`` gives, and phone, website and summary."""
+    r = spark.read.schema(DETAILS).json(path, multiLine=True).where(F.col("result.place_id").isNotNull()).select("result.*")
+    return r.select(F.col("place_id").alias("id"), "name", "rating", "types", F.col("formatted_address").alias("address"), F.col("geometry.location.lat").alias("lat"), F.col("geometry.location.lng").alias("lng"), F.col("formatted_phone_number").alias("phone"), "website", F.col("editorial_summary.overview").alias("description"))
+
+
+def read_articles(spark: SparkSession, path: str, provider: str, now: Column | None = None) -> DataFrame:
+    """``id, title, summary, published_at, url, source`` of landed pages of a news or headline feed.
+
+    Pages with a status other than ok and articles without a url are left out; an article without a time gets that of
+    reading. The source is ``provider:name``. Repeats stay: ``first_per_url`` keeps one.
+    """
+    a = spark.read.schema(ARTICLES).json(path, multiLine=True).where(F.coalesce("status", F.lit("ok")) == "ok").select(F.explode("articles").alias("a")).select("a.*").where(F.coalesce("url", F.lit("")) != "")
+    read_at = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return a.select(F.md5("url").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("summary"), F.coalesce("publishedAt", read_at).alias("published_at"), "url", F.concat(F.lit(f"{provider}:"), F.coalesce("source.name", F.lit("unknown"))).alias("source"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

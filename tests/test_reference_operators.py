@@ -230,3 +230,75 @@ def test_answers_and_cache():
     now[0] = 901.0
     assert not answer("q", "c", retrieve, cache=cache)["cached"]
     assert len([answer("z", "c", retrieve, grade=lambda q, x: 0.9)]) == 1 and asked[-1] == "z"
+
+
+def test_first_write_wins_whatever_the_partitions(spark):
+    old = spark.createDataFrame([("a", 9, "x")], "id string, seq int, v string")
+    batch = spark.createDataFrame([("b", 2, "late"), ("b", 1, "first"), ("a", 0, "no"), ("b", 1, "zz")], "id string, seq int, v string")
+    for n in (1, 3, 7):
+        assert {tuple(r) for r in g.insert_absent(old, batch.repartition(n), ["id"], [F.col("seq").asc(), F.col("v").asc()]).collect()} == {("a", 9, "x"), ("b", 1, "first")}
+    assert g.insert_absent(old.select("id"), batch.select("id"), ["id"]).count() == 2
+
+
+def test_rates_prefer_the_room(spark, tmp_path):
+    rooms = [
+        {"offerId": "o9", "name": "Sea view " + "x" * 300, "rates": [{"name": "Rate", "boardType": "RO", "retailRate": {"total": [{"amount": 90.0}]}}]},
+        {"roomTypeId": "r1", "name": "", "rates": [{"name": "From rate", "boardName": "BB", "retailRate": {"total": [{"amount": 40.0}]}, "cancellationPolicies": {"refundableTag": "RFN"}}]},
+        {"roomTypeId": "r2", "offerRetailRate": [{"amount": 30.0}], "rates": []},
+    ]
+    many = [{"roomTypeId": f"m{i}", "offerRetailRate": [{"amount": 10.0 + i}], "rates": [{"cancellationPolicies": {"refundableTag": "RFN" if i == 6 else "NRFN"}}]} for i in range(7)]
+    hotels = [{"id": "h1", "name": "H", "rating": 8.4, "starRating": 4.0, "facilities": [" Pool ", ""]}, {"id": "h1", "name": "H", "rating": 8.4, "starRating": 4.0, "facilities": [" Pool ", ""]}, {"id": None, "name": "lost"}]
+    (tmp_path / "r.json").write_text(json.dumps({"data": [{"hotelId": "h1", "roomTypes": rooms}, {"hotelId": "h2", "roomTypes": many}], "hotels": hotels}))
+    got = landed.read_rates(spark, str(tmp_path / "r.json"))
+    own = {r.room_id: r for r in got.where("hotel_id = 'h1'").collect()}
+    assert set(own) == {"h1:o9", "h1:r1", "h1:r2"} and len(own["h1:o9"].name) == 200 and own["h1:r1"].name == "From rate" and own["h1:r2"].name == "Room" and own["h1:o9"].board == "RO"
+    roll = {r.hotel_id: r for r in landed.rate_rollup(got, nights=2).collect()}
+    assert roll["h1"].price == 15.0 and roll["h2"].price == 5.0 and not roll["h2"].refundable  # the seventh plan is not kept
+    meta = landed.read_rate_hotels(spark, str(tmp_path / "r.json")).collect()
+    assert [(m.id, m.rating, m.star_rating, m.amenities) for m in meta] == [("h1", 4.2, 4.0, ["24h Front Desk", "Air Conditioning", "Pool"])]
+
+
+def test_landed_pages_of_places_and_news(spark, tmp_path):
+    (tmp_path / "ok.json").write_text(json.dumps({"status": "OK", "results": [{"place_id": "p1", "name": "A", "rating": 4.1, "types": ["spa"], "geometry": {"location": {"lat": 6.5, "lng": 80.5}}}, {"name": "no id"}]}))
+    (tmp_path / "over.json").write_text(json.dumps({"status": "OVER_QUERY_LIMIT", "results": [{"place_id": "p2"}]}))
+    assert [(r.id, r.lat) for r in landed.read_places(spark, str(tmp_path / "*.json")).collect()] == [("p1", 6.5)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.json").write_text(json.dumps({"result": {"place_id": "p1", "formatted_phone_number": "1", "editorial_summary": {"overview": "Nice"}}}))
+    (tmp_path / "d" / "b.json").write_text(json.dumps({}))
+    assert [(r.id, r.phone, r.description) for r in landed.read_details(spark, str(tmp_path / "d")).collect()] == [("p1", "1", "Nice")]
+    (tmp_path / "n").mkdir()
+    articles = [{"title": "T", "description": "d" * 600, "url": "u1", "source": {"name": "Bay"}}, {"title": None, "url": ""}, {"url": "u2", "publishedAt": "2025-01-01T00:00:00Z"}]
+    (tmp_path / "n" / "a.json").write_text(json.dumps({"status": "ok", "articles": articles}))
+    (tmp_path / "n" / "b.json").write_text(json.dumps({"status": "error", "articles": articles}))
+    rows = {r.url: r for r in landed.read_articles(spark, str(tmp_path / "n"), "gnews", F.lit("2025-02-01").cast("timestamp")).collect()}
+    assert set(rows) == {"u1", "u2"} and rows["u1"].source == "gnews:Bay" and len(rows["u1"].summary) == 500 and rows["u1"].published_at == "2025-02-01T00:00:00Z" and rows["u2"].source == "gnews:unknown" and rows["u2"].title == ""
+
+
+def test_views_and_cleaning_of_the_graph(spark):
+    rows = spark.createDataFrame([("h", "heavy", "A"), ("h", "heavy", "A"), ("h", None, "B"), ("i", None, "C")], "id string, severity string, road string")
+    assert {r.id: [tuple(m) for m in r.maps] for r in g.collected_maps(rows, "id", ["severity", "road"], "severity", "maps").collect()} == {"h": [("heavy", "A")], "i": []}
+    plain = g.sanitised(spark.sql("select 'a' id, array(1.0) embedding, map('k', 1) m, timestamp'2025-01-01 00:00:00' t, 3 n")).first().asDict()
+    assert plain == {"id": "a", "m": '{"k":1}', "t": "2025-01-01 00:00:00", "n": 3}
+    slots = spark.createDataFrame([(["Pool ", "wifi"], ["POOL", "", None, "Bar"]), (None, None)], "a array<string>, b array<string>")
+    assert [r.s for r in slots.select(g.merged_slots(F.col("a"), F.col("b")).alias("s")).collect()] == [["bar", "pool", "wifi"], []]
+    nodes = spark.createDataFrame([("trinco",), ("Trincomalee",), ("Galle",)], "name string")
+    edges = spark.createDataFrame([("h", "trinco", 1.0), ("h", "Trincomalee", 2.0), ("i", "trinco", 3.0), ("j", "Galle", 4.0)], "src string, dst string, km double")
+    new, moved = g.merge_aliases(nodes, edges, F.when(F.col("name") == "trinco", "Trincomalee"))
+    assert {r.name for r in new.collect()} == {"Trincomalee", "Galle"} and {tuple(r[c] for c in ("src", "dst", "km")) for r in moved.collect()} == {("h", "Trincomalee", 1.0), ("i", "Trincomalee", 3.0), ("j", "Galle", 4.0)}
+    with pytest.raises(ValueError):
+        g.cleared({"City": nodes}, "delete all")
+    empty, counts = g.cleared({"City": nodes}, "DELETE ALL")
+    assert empty["City"].count() == 0 and [tuple(r) for r in counts.collect()] == [("City", 3)]
+    typed = spark.createDataFrame([("h1", "Galle", "L"), ("h2", "Galle", "L"), ("h3", "Kandy", "L"), ("e", "h1", "M")], "src string, dst string, type string")
+    assert {(r.src, r.dst) for r in g.network(typed, typed.where("type = 'L'"), "Galle", 1).collect()} == {("h1", "Galle"), ("e", "h1")}
+    assert g.network(typed, limit=2).count() == 2
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from isleweave.plans import lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None)
+    with pytest.raises(RuntimeError):
+        lineage.cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))))
