@@ -63,10 +63,6 @@ def _matched(asked: Column, have: Column) -> Column:
     return F.size(F.filter(asked, lambda a: F.exists(have, lambda x: F.contains(F.lower(x), F.lower(a)))))
 
 
-def _lower_better(value: Column, low: Column, high: Column) -> Column:
-    return F.when(value.isNull(), 0.5).when(high <= low, 1.0).otherwise(1 - (value - low) / F.when(high > low, high - low))
-
-
 def retrieve(candidates: DataFrame, asks: DataFrame, limit: int = 10) -> DataFrame:
     """``ask_id, city, rank, id, score``, the sub-scores, ``reasons``, ``filters_relaxed`` and the candidate's values: the best of each ask.
 
@@ -85,7 +81,7 @@ def retrieve(candidates: DataFrame, asks: DataFrame, limit: int = 10) -> DataFra
     of = lambda c: F.when(F.col("passing") == 0, F.col(f"{c}_all")).otherwise(F.col(f"{c}_ok"))
     ranges = stats.select("ask_id", (F.col("passing") == 0).alias("filters_relaxed"), *[of(f"{x}_{n}").alias(f"{x}_{n}") for n in RANGES for x in ("low", "high")], of("high_amen").alias("high_amen"))
     rows = join_small(pairs, ranges, ["ask_id"]).where(F.col("ok") | F.col("filters_relaxed"))
-    better = lambda n: _lower_better(F.col(RANGES[n]), F.col(f"low_{n}"), F.col(f"high_{n}"))
+    better = lambda n: sc.lower_is_better(F.col(RANGES[n]), F.col(f"low_{n}"), F.col(f"high_{n}"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     near = better("km")
     amen, attr = F.size("amenities"), F.size("attractions")

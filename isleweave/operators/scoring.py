@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_small
+
 #: Default weights of the sub-scores.
 WEIGHTS = {"spatial": 0.25, "accessibility": 0.20, "facility": 0.25, "economic": 0.15, "disruption": 0.15}
 
@@ -50,10 +52,18 @@ def truthy(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (c != 0), c)
 
 
-def lower_is_better(value: Column, group: list[str]) -> Column:
-    """1 for the least value of the group, 0 for the greatest, 0.5 for unknown, 1 where all are equal."""
-    w = Window.partitionBy(*group)
-    low, high = F.min(value).over(w), F.max(value).over(w)
+def with_ranges(rows: DataFrame, group: list[str], values: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``low_`` and ``high_`` of each of ``values`` over its group, aggregated and joined back, so that no task holds a whole group.
+
+    Rows of a group with a null key are left out. ``rows`` are read twice.
+    """
+    rows = rows.withColumns({f"__{k}": v for k, v in values.items()})
+    ends = rows.groupBy(*group).agg(*[f(f"__{k}").alias(f"{n}_{k}") for k in values for n, f in (("low", F.min), ("high", F.max))])
+    return join_small(rows, ends, group).drop(*[f"__{k}" for k in values])
+
+
+def lower_is_better(value: Column, low: Column, high: Column) -> Column:
+    """1 for the least value of the range, 0 for the greatest, 0.5 for unknown, 1 where all are equal."""
     return F.when(value.isNull(), 0.5).when(high <= low, 1.0).otherwise(1 - (value - low) / F.when(high > low, high - low))
 
 
@@ -70,9 +80,8 @@ def share_matched(asked: list[str], have: Column) -> Column:
     return sum((hit(a) for a in asked), F.lit(0.0)) / len(asked)
 
 
-def facility(asked_amenities: list[str], asked_attractions: list[str], amenities: Column, attractions: Column, rating: Column, star: Column, group: list[str]) -> Column:
-    """Amenities (asked ones, else how many compared with the richest of the group), asked attractions, rating and star."""
-    most = F.max(F.size(amenities)).over(Window.partitionBy(*group))
+def facility(asked_amenities: list[str], asked_attractions: list[str], amenities: Column, attractions: Column, rating: Column, star: Column, most: Column) -> Column:
+    """Amenities (asked ones, else how many compared with ``most``, those of the richest of the group), asked attractions, rating and star."""
     some = F.when(most > 0, F.size(amenities) / most).otherwise(0.5)
     amen = share_matched(asked_amenities, amenities) if asked_amenities else some
     attr = share_matched(asked_attractions, attractions) if asked_attractions else F.lit(0.0)
@@ -85,10 +94,8 @@ def disruption(heavy: Column, moderate: Column, events: Column, worst_delay: Col
     return clamp01(1 - 0.40 * flag(heavy) - 0.20 * flag(moderate) - 0.30 * F.least(F.coalesce(events, F.lit(0)), F.lit(2)) - F.least(F.coalesce(worst_delay, F.lit(0.0)) / 20, F.lit(0.5)))
 
 
-def event_affinity(km: Column, radius_km: float, preference: str, group: list[str]) -> Column:
+def event_affinity(km: Column, radius_km: float, preference: str, low: Column, high: Column) -> Column:
     """How well a distance to an event suits: near for ``seek`` (more inside the zone), far for ``avoid``; 0.5 for unknown."""
-    w = Window.partitionBy(*group)
-    low, high = F.min(km).over(w), F.max(km).over(w)
     far = F.when(high <= low, 0.5).otherwise((km - low) / F.when(high > low, high - low))
     zone = km <= radius_km
     score = F.least(F.lit(1.0), 1 - far + F.when(zone, 0.15).otherwise(0.0)) if preference == "seek" else far if preference == "avoid" else F.lit(0.5)
@@ -117,10 +124,10 @@ def top_k(scored: DataFrame, group: list[str], order: list[Column], k: int) -> D
 
 
 def relaxed(pool: DataFrame, keep: Column, group: list[str]) -> DataFrame:
-    """Rows that pass ``keep``; where none of a group does, the whole group, with ``filters_relaxed`` true."""
-    ok = F.coalesce(keep, F.lit(False))
-    n = F.sum(F.when(ok, 1).otherwise(0)).over(Window.partitionBy(*group))
-    return pool.withColumn("__ok", ok).withColumn("__n", n).where(F.col("__ok") | (F.col("__n") == 0)).withColumn("filters_relaxed", F.col("__n") == 0).drop("__ok", "__n")
+    """Rows that pass ``keep``; where none of a group does, the whole group, with ``filters_relaxed`` true. Groups with a null key are left out."""
+    rows = pool.withColumn("__ok", F.coalesce(keep, F.lit(False)))
+    none = rows.groupBy(*group).agg((F.count(F.when(F.col("__ok"), 1)) == 0).alias("filters_relaxed"))
+    return join_small(rows, none, group).where(F.col("__ok") | F.col("filters_relaxed")).drop("__ok")
 
 
 def passes_softly(value: Column, least: float | None = None, most: float | None = None) -> Column:

@@ -46,11 +46,18 @@ def pool(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     )
 
 
+def _with_ranges(candidates: DataFrame, *more: str) -> DataFrame:
+    """Candidates with the ends of what sub-scores compare within a city."""
+    return sc.with_ranges(candidates, ["city"], {c: F.col(c) for c in ("km", "delay", "price", *more)} | {"amen": F.size("amen")})
+
+
 def parts(asked: list[str] = ASKED, wanted: list[str] = WANTED) -> dict[str, Column]:
+    """Sub-scores of candidates from ``_with_ranges``."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    low = lambda c: sc.lower_is_better(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"))
     return {
-        "spatial": sc.lower_is_better(F.col("km"), ["city"]), "accessibility": sc.lower_is_better(F.col("delay"), ["city"]), "facility": sc.facility(asked, wanted, F.col("amen"), F.col("attr"), F.col("rating5"), F.col("star"), ["city"]),
-        "economic": sc.lower_is_better(F.col("price"), ["city"]), "disruption": sc.disruption(flag("heavy"), flag("moderate"), F.col("events"), F.col("worst")),
+        "spatial": low("km"), "accessibility": low("delay"), "facility": sc.facility(asked, wanted, F.col("amen"), F.col("attr"), F.col("rating5"), F.col("star"), F.col("high_amen")),
+        "economic": low("price"), "disruption": sc.disruption(flag("heavy"), flag("moderate"), F.col("events"), F.col("worst")),
     }
 
 
@@ -60,27 +67,27 @@ def _ranked(scored: DataFrame, k: int = K) -> DataFrame:
 
 def weighted(candidates: DataFrame) -> DataFrame:
     p = parts()
-    return candidates.select("id", "city", *[c.alias(k) for k, c in p.items()]).withColumn("score", sc.half_up(sc.weighted_total({k: F.col(k) for k in p}, sc.WEIGHTS), 4))
+    return _with_ranges(candidates).select("id", "city", *[c.alias(k) for k, c in p.items()]).withColumn("score", sc.half_up(sc.weighted_total({k: F.col(k) for k in p}, sc.WEIGHTS), 4))
 
 
 def weighted_retrieve(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The ten best hotels of every city by the weighted score, with the sub-scores."""
-    return _ranked(weighted(pool(spark, folder, whole))).select("city", "rank", "id", "score", *[sc.half_up(F.col(k), 3).alias(k) for k in sc.WEIGHTS])
+    return _ranked(weighted(cut(pool(spark, folder, whole)))).select("city", "rank", "id", "score", *[sc.half_up(F.col(k), 3).alias(k) for k in sc.WEIGHTS])
 
 
 def weighted_retrieve_relaxed(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The same after filters that unknown values pass; a city where nothing passes keeps all its hotels."""
     keep = sc.passes_softly(F.col("rating5"), least=4.8) & sc.passes_softly(F.col("star"), least=5.0) & sc.passes_softly(F.col("km"), most=12.0)
-    left = sc.relaxed(pool(spark, folder, whole), keep, ["city"])
+    left = cut(sc.relaxed(cut(pool(spark, folder, whole)), keep, ["city"]))
     flags = left.select("id", "filters_relaxed")
     return _ranked(weighted(left)).join(flags, "id").select("city", "rank", "id", "score", "filters_relaxed")
 
 
 def _personal(spark: SparkSession, folder: str, preference: str, whole: bool = True) -> DataFrame:
-    c = pool(spark, folder, whole)
     km = sc.half_up(F.when(F.col("known"), distance_km(F.lit(EVENT["lat"]), F.lit(EVENT["lng"]), F.col("lat"), F.col("lng"))), 6)
     p = parts()
-    rows = c.withColumn("event_km", km).select("id", "city", "event_km", *[x.alias(k) for k, x in p.items()]).withColumn("event", sc.event_affinity(F.col("event_km"), EVENT["radius_km"], preference, ["city"]))
+    rows = _with_ranges(cut(pool(spark, folder, whole).withColumn("event_km", km)), "event_km")
+    rows = rows.select("id", "city", "event_km", *[x.alias(k) for k, x in p.items()], sc.event_affinity(F.col("event_km"), EVENT["radius_km"], preference, F.col("low_event_km"), F.col("high_event_km")).alias("event"))
     dis = F.when(F.coalesce(F.col("event_km") <= EVENT["radius_km"], F.lit(False)), F.greatest(F.lit(0.0), F.col("disruption") - rt.EVENT_PENALTY[EVENT["severity"]])).otherwise(F.col("disruption")) if preference == "avoid" else F.col("disruption")
     every = {**{k: F.col(k) for k in p}, "disruption": dis, "event": F.col("event")}
     return _ranked(rows.withColumn("score", sc.half_up(sc.weighted_total(every, SEEK | {"event": 0.30}), 4))).select("city", "rank", "id", "score", sc.half_up(F.col("event"), 3).alias("event"))
@@ -312,14 +319,14 @@ def judgment_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def reasons(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """Why each of a city's ten best hotels is where it is, in words, as one line per hotel."""
-    w = _ranked(weighted(pool(spark, folder, whole)))
+    w = _ranked(weighted(cut(pool(spark, folder, whole))))
     why = F.array_compact(F.array(F.when(F.col("spatial") > 0.7, "close to the centre"), F.when(F.col("accessibility") > 0.7, "quick to reach"), F.when(F.col("facility") > 0.5, "well equipped"), F.when(F.col("disruption") < 0.5, "disturbed"), F.when(F.col("disruption") > 0.85, "undisturbed")))
     return w.select("city", "rank", "id", F.array_join(why, "; ").alias("reasons"))
 
 
 def context_text(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """The ranking of every city as one text, a line per hotel with its score in ten-thousandths."""
-    w = _ranked(weighted(pool(spark, folder, whole)))
+    w = _ranked(weighted(cut(pool(spark, folder, whole))))
     line = F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "id", F.lit("score"), F.round(F.col("score") * 10000).cast("bigint").cast("string"))
     lines = w.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))  # at most K per city
     return lines.select("city", F.array_join("l.line", "\n").alias("context"))

@@ -92,9 +92,11 @@ def test_more_landed_files(spark, tmp_path):
 
 def test_scores(spark):
     rows = spark.createDataFrame([("a", 1.0, 0.0), ("b", 3.0, None), ("c", None, 2.0)], "id string, v double, w double").withColumn("g", F.lit(1))
-    got = {r.id: (r.s, r.one) for r in rows.select("id", sc.lower_is_better(F.col("v"), ["g"]).alias("s"), sc.lower_is_better(F.when(F.col("v") == 1, F.col("v")), ["g"]).alias("one")).collect()}
+    only = F.when(F.col("v") == 1, F.col("v"))
+    ranged, ends = sc.with_ranges(rows, ["g"], {"v": F.col("v"), "only": only}), lambda k: (F.col(f"low_{k}"), F.col(f"high_{k}"))
+    got = {r.id: (r.s, r.one) for r in ranged.select("id", sc.lower_is_better(F.col("v"), *ends("v")).alias("s"), sc.lower_is_better(only, *ends("only")).alias("one")).collect()}
     assert got == {"a": (1.0, 1.0), "b": (0.0, 0.5), "c": (0.5, 0.5)}
-    far = {r.id: (r.s, r.a) for r in rows.select("id", sc.event_affinity(F.col("v"), 1.5, "seek", ["g"]).alias("s"), sc.event_affinity(F.col("v"), 1.5, "avoid", ["g"]).alias("a")).collect()}
+    far = {r.id: (r.s, r.a) for r in ranged.select("id", sc.event_affinity(F.col("v"), 1.5, "seek", *ends("v")).alias("s"), sc.event_affinity(F.col("v"), 1.5, "avoid", *ends("v")).alias("a")).collect()}
     assert far == {"a": (1.0, 0.0), "b": (0.0, 1.0), "c": (0.5, 0.5)}
     kept = sc.relaxed(rows, F.col("v") > 5, ["g"]).collect()
     assert len(kept) == 3 and all(r.filters_relaxed for r in kept)
