@@ -201,10 +201,11 @@ def token_classes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     ``docs`` has ``id, words`` (sorted distinct tokens). Records with fewer than ``least`` tokens and null ids are in
     no class; an id with several texts may be in several.
     """
-    rows = docs.where(F.col("id").isNotNull() & (F.size("words") >= least)).select("id", "words").withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)).select("id", "set", "words")
+    rows = docs.where(F.col("id").isNotNull() & (F.size("words") >= least)).select("id", "words").withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)).select("id", "set", "words").distinct()
+    rows = cut(rows)  # read three times; the tokens are taken once
     sets = rows.groupBy("set").agg(F.first("words").alias("words"))  # equal for all rows of a set
     sets = cut(sets.select("set", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").alias("n")).withColumn("rec", F.monotonically_increasing_id()))
-    members = cut(salted_join(rows.select("id", "set").distinct(), sets.select("set", "rec"), ["set"]).select("id", "rec"))
+    members = cut(salted_join(rows.select("id", "set"), sets.select("set", "rec"), ["set"]).select("id", "rec"))
     return sets.drop("set"), members
 
 
