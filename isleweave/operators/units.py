@@ -150,6 +150,7 @@ def hotel_units(hotels: DataFrame, fx: DataFrame) -> DataFrame:
     value = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0), F.col(c)).alias(c)
     rows = hotels.select("id", "source", value("rating"), value("price_per_night"), value("price_per_night_lkr"), tidy_unit(F.col("price_currency")).alias("spelling"), F.coalesce("description", F.lit("")).alias("text"))
     rows = rows.withColumn("mention", currency_mention(F.col("text"))).withColumn("scale_spelling", rating_mention(F.col("text"), F.col("rating"))).drop("text")
+    rows = cut(rows)  # read several times; the texts are searched once
     canon = fx.select(F.col("currency").alias("alias"), F.col("currency").alias("unit")).unionByName(fx.select(F.col("currency_name").alias("alias"), F.col("currency").alias("unit"))).unionByName(fx.sparkSession.createDataFrame(SIGNS, "alias string, unit string"))
     dictionary = cut(unit_dictionary(rows.select(F.explode(F.array("spelling", "mention")).alias("spelling")).distinct(), canon))
     scales = cut(unit_dictionary(rows.select(F.col("scale_spelling").alias("spelling")).distinct(), fx.sparkSession.createDataFrame(SCALES, "alias string, unit string"), SCALE_LIMIT))
