@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance_km
 from ..functions.text import island_city
 from ..operators import graph as g
-from ..operators.proximity import near_pairs, near_spots
+from ..operators.proximity import near_pairs, near_spots, near_sums
 from ..operators.scoring import half_up
 from ..sources.landed import severity
 from ..sources.tables import table
@@ -129,9 +129,8 @@ def _whole_chain(h: DataFrame, e: DataFrame, n: DataFrame, cities: DataFrame) ->
 
 def radius_link_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Point signals within 5 km of each hotel, counted."""
-    points = base.signals(spark, folder).where(F.col("hotel_id").isNull())
-    pairs = near_pairs(base.hotels(spark, folder), points, LINK_KM)
-    return pairs.groupBy(F.col("left_id").alias("hotel_id")).agg(F.count(F.lit(1)).alias("signals"), F.min(half_up(F.col("km"), 6)).alias("nearest_km"))
+    near = near_sums(base.hotels(spark, folder), base.spots(base.points(base.signals(spark, folder))), LINK_KM, ["n"], nearest=True)
+    return near.select(F.col("left_id").alias("hotel_id"), F.col("n").alias("signals"), half_up(F.col("km"), 6).alias("nearest_km"))
 
 
 def radius_link_incidents(spark: SparkSession, folder: str) -> DataFrame:
