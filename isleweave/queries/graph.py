@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance_km
 from ..functions.text import island_city
 from ..operators import graph as g
-from ..operators.proximity import near_pairs, near_spots, near_sums
+from ..operators.proximity import near_pairs, near_spots, near_sums, near_totals
 from ..operators.scoring import half_up
 from ..sources.landed import severity
 from ..sources.tables import table
@@ -141,9 +141,11 @@ def radius_link_incidents(spark: SparkSession, folder: str) -> DataFrame:
 def route_signal_link(spark: SparkSession, folder: str) -> DataFrame:
     """Route signals by their hotel id, point signals by distance: how many of each kind are linked."""
     h, s = base.hotels(spark, folder), base.signals(spark, folder)
-    routes = s.where(F.col("hotel_id").isNotNull()).join(h.select(F.col("id").alias("hotel_id")), "hotel_id", "left_semi").select(F.lit("route").alias("kind"), F.col("id").alias("signal_id"))
-    points = near_pairs(h, s.where(F.col("hotel_id").isNull()), LINK_KM).select(F.lit("point").alias("kind"), F.col("right_id").alias("signal_id"))
-    return routes.unionByName(points).groupBy("kind").agg(F.countDistinct("signal_id").alias("signals"), F.count(F.lit(1)).alias("links"))
+    routes = base.routes(h, s).select(F.lit("route").alias("kind"), F.lit(1).alias("signals"), F.lit(1).alias("links"))  # a signal has one hotel
+    spots = base.spots(base.points(s))
+    near = spots.withColumnRenamed("n", "signals").join(near_totals(spots, base.spots(h), LINK_KM, ["n"]), ["lat", "lng"])  # a row per position
+    points = near.select(F.lit("point").alias("kind"), "signals", (F.col("signals") * F.col("n")).alias("links"))
+    return routes.unionByName(points).groupBy("kind").agg(F.sum("signals").alias("signals"), F.sum("links").alias("links"))
 
 
 def nearest_city(spark: SparkSession, folder: str) -> DataFrame:
