@@ -71,7 +71,7 @@ def graph_overview_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_overview_rels(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
-    return g.label_counts(base.edges(spark, folder, whole), "type")
+    return base.edge_counts(spark, folder) if whole else g.label_counts(base.edges(spark, folder, whole), "type")
 
 
 def edge_list(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
