@@ -79,7 +79,7 @@ def edge_list(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame
 
 
 def graph_network(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
-    return g.network_nodes(base.typed_edges(spark, folder, whole))
+    return base.degrees(spark, folder) if whole else g.network_nodes(base.typed_edges(spark, folder, whole))
 
 
 def node_neighbours(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
