@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance_km
 from ..functions.text import island_city
 from ..operators import graph as g
-from ..operators.proximity import near_pairs, near_spots, near_sums, near_totals
+from ..operators.proximity import near_links, near_pairs, near_spots, near_sums, near_totals
 from ..operators.scoring import half_up
 from ..sources.landed import severity
 from ..sources.tables import table
@@ -113,18 +113,23 @@ def event_news_chain(spark: SparkSession, folder: str, whole: bool = True) -> Da
 
 
 def _whole_chain(h: DataFrame, e: DataFrame, n: DataFrame, cities: DataFrame) -> DataFrame:
-    """The chain over events within 5 km and those by keyword; the latter are the same for all their hotels, so they are counted once."""
+    """The chain over events within 5 km and those by keyword; the latter are the same for all their hotels, so they are counted once.
+
+    Events are counted without a row per pair. Only positions that have titles meet hotels, each title of a position once.
+    """
     named = base.keyword_events(e, n, cities)
-    mark = lambda c, name: named.select(F.col(c).alias(f"same_{c}")).distinct().withColumn(name, F.lit(1))
-    near = base.affected_by(h, e, True).select(F.col("src").alias("hotel_id"), F.col("dst").alias("event_id")).join(e.select(F.col("id").alias("event_id"), "news_url"), "event_id").join(n.select(F.col("url").alias("news_url"), F.col("title").alias("news_title")), "news_url", "left")
-    near = near.join(mark("dst", "old_event"), F.col("event_id") == F.col("same_dst"), "left").join(mark("news_title", "old_title"), F.col("news_title") == F.col("same_news_title"), "left")
-    each = lambda c, old: (F.countDistinct(c), F.countDistinct(F.when(F.col(old).isNull(), F.col(c))))
-    (events, new_events), (titles, new_titles) = each("event_id", "old_event"), each("news_title", "old_title")
-    near = near.groupBy("hotel_id").agg(events.alias("events"), new_events.alias("new_events"), titles.alias("titles"), new_titles.alias("new_titles"), F.min("news_title").alias("first"))
-    all_named = named.agg(F.countDistinct("dst").alias("n_events"), F.countDistinct("news_title").alias("n_titles"), F.min("news_title").alias("n_first"))  # one row
-    rows = h.select(F.col("id").alias("hotel_id")).join(near, "hotel_id", "left").join(base.keyword_hotels(h, cities).withColumnRenamed("src", "hotel_id").crossJoin(all_named), "hotel_id", "left")
-    total = lambda c: F.coalesce(F.when(F.col("n_events").isNotNull(), F.coalesce(f"new_{c}", F.lit(0)) + F.col(f"n_{c}")).otherwise(F.col(c)), F.lit(0)).alias(c)
-    return rows.select("hotel_id", total("events"), total("titles"), F.least("first", "n_first").alias("first_title"))
+    titled = base.positioned(e).join(n.select(F.col("url").alias("news_url"), F.col("title").alias("news_title")), "news_url").where(F.col("news_title").isNotNull())
+    titled = titled.groupBy("lat", "lng", "news_title").agg(F.min("id").alias("id"))
+    titled = titled.join(named.select("news_title", F.lit(1).alias("old")).distinct(), "news_title", "left")
+    met = near_links(h, titled, base.WHOLE_KM, [], ["news_title", "old"]).groupBy(F.col("left_id").alias("hotel_id")).agg(
+        F.countDistinct("news_title").alias("titles"), F.countDistinct(F.when(F.col("old").isNull(), F.col("news_title"))).alias("new_titles"), F.min("news_title").alias("first"),
+    )
+    all_named = named.agg(F.countDistinct("news_title").alias("n_titles"), F.min("news_title").alias("n_first"))  # one row
+    in_city = base.keyword_hotels(h, cities).withColumnRenamed("src", "hotel_id").crossJoin(all_named)
+    counts = base.event_counts(h, e, n, cities).withColumnRenamed("id", "hotel_id")
+    rows = h.select(F.col("id").alias("hotel_id")).join(counts, "hotel_id", "left").join(met, "hotel_id", "left").join(in_city, "hotel_id", "left")
+    titles = F.when(F.col("n_titles").isNotNull(), F.coalesce("new_titles", F.lit(0)) + F.col("n_titles")).otherwise(F.coalesce("titles", F.lit(0)))
+    return rows.select("hotel_id", F.coalesce("events", F.lit(0)).alias("events"), titles.alias("titles"), F.least("first", "n_first").alias("first_title"))
 
 
 def radius_link_signals(spark: SparkSession, folder: str) -> DataFrame:
