@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ from ..functions.text import island_city
 from ..operators import graph as g
 from ..operators.proximity import near_links, near_pairs, near_spots, near_sums, near_totals
 from ..operators.scoring import half_up
+from ..plans.lineage import cut
 from ..sources.landed import severity
 from ..sources.tables import table
 from . import base
 from .base import AFFECTED, AMENITY, ATTRACTION, EDGES, EVENTS, HOTELS, KNOWN, NEWS, SIGNALS, km_sql, rounded
 
 LINK_KM = 5.0
+#: Edges that ``network_first`` shows.
+FIRST = 180
 
 
 def node_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,8 +256,28 @@ def traffic_maps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def network_first(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 180 edges by type and ends (a display limit)."""
-    return g.network(base.typed_edges(spark, folder))
+    """The first 180 edges by type and ends (a display limit).
+
+    Types are taken in order until there are enough. The first 180 edges of a type belong to its first 180 sources at
+    most, so that edges of hotels are made for those only.
+    """
+    h, s, e, n = (f(spark, folder) for f in (base.hotels, base.signals, base.events, base.news))
+    cities, listed = table(spark, folder, "city"), base.listed_edges(h, s, e, n)
+    first = lambda d: h.join(F.broadcast(d.select("id").distinct().orderBy("id").limit(FIRST)), "id", "left_semi")
+    parts, found = [], 0
+    for kind in sorted({*listed, "AFFECTED_BY"}):
+        if kind == "AFFECTED_BY":
+            edges = base.affected_by_whole(first(base.event_counts(h, e, n, cities).where(F.col("events") > 0)), e, n, cities)
+        elif kind == "HAS_SIGNAL":
+            near = near_sums(h, base.spots(base.points(s)), base.WHOLE_KM, ["n"]).select(F.col("left_id").alias("id"))
+            edges = base.has_signal(first(near.unionByName(listed[kind].select(F.col("src").alias("id")))), s)
+        else:
+            edges = listed[kind]
+        parts.append(cut(g.network(edges.select("src", "dst", F.lit(kind).alias("type")), limit=FIRST)))
+        found += parts[-1].count()
+        if found >= FIRST:
+            break
+    return g.network(reduce(DataFrame.unionByName, parts), limit=FIRST)
 
 
 def severity_classify(spark: SparkSession, folder: str) -> DataFrame:
