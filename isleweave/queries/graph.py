@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_km
 from ..functions.text import island_city
 from ..operators import graph as g
-from ..operators.proximity import near_links, near_pairs, near_spots, near_sums, near_totals
+from ..operators.proximity import near_first, near_links, near_pairs, near_spots, near_sums, near_totals
 from ..operators.scoring import half_up
 from ..plans.lineage import cut
 from ..sources.landed import severity
@@ -89,10 +89,35 @@ def graph_network(spark: SparkSession, folder: str, whole: bool = True) -> DataF
 
 def node_neighbours(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """All neighbours of hotels counted, the first 40 shown."""
+    if whole:
+        return _whole_neighbours(spark, folder)
     d = g.node_details(base.typed_edges(spark, folder, whole)).join(base.hotels(spark, folder).select(F.col("id").alias("node")), "node", "left_semi")
     return d.select("node", "total", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(">", x["type"], x["neighbour"])), ";").alias("shown"))
 
 
+def _whole_neighbours(spark: SparkSession, folder: str, limit: int = 40) -> DataFrame:
+    """Totals are degrees; of the links by distance and by keyword only those that may be among the first are made."""
+    h, s, e, n = (f(spark, folder) for f in (base.hotels, base.signals, base.events, base.news))
+    cities, ids = table(spark, folder, "city"), h.select(F.col("id").alias("node"))
+    pairs = lambda d: d.select(F.col("left_id").alias("src"), F.inline(F.transform("ids", lambda x: F.struct(x.alias("dst")))))
+    named = base.keyword_events(e, n, cities).select("dst").orderBy("dst").limit(limit)
+    affected = pairs(near_first(h, e, base.WHOLE_KM, limit)).unionByName(base.keyword_hotels(h, cities).crossJoin(F.broadcast(named))).distinct()
+    affected = cut(affected.select("src", "dst"))
+    enough = affected.groupBy("src").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= limit).select(F.col("src").alias("id"))  # signals come after events
+    signals = pairs(near_first(h.join(enough, "id", "left_anti"), base.points(s), base.WHOLE_KM, limit))
+    listed = base.listed_edges(h, s, e, n)
+    typed = lambda d, k: d.select("src", "dst", F.lit(k).alias("type"))
+    mine = lambda d: d.join(h.select("id"), "id", "left_semi")  # hotels whose id an event or a signal has too
+    back = typed(base.has_signal(h, mine(base.points(s))), "HAS_SIGNAL").unionByName(typed(base.affected_by_whole(h, mine(e), n, cities), "AFFECTED_BY"))
+    ends = g.both_directions(reduce(DataFrame.unionByName, [typed(d, k) for k, d in listed.items()])).unionByName(g.both_directions(back).where(F.col("direction") == "in"))
+    out = typed(affected, "AFFECTED_BY").unionByName(typed(signals, "HAS_SIGNAL"))
+    ends = ends.join(ids, "node", "left_semi").unionByName(g.both_directions(out).where(F.col("direction") == "out"))
+    first = F.row_number().over(Window.partitionBy("node").orderBy("type", "neighbour", "direction"))
+    shown = ends.withColumn("k", first).where(F.col("k") <= limit).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(">", "type", "neighbour").alias("x")))).alias("l"))
+    total = base.degrees(spark, folder).withColumnsRenamed({"id": "node", "degree": "total"})
+    return total.join(shown, "node").select("node", "total", F.array_join("l.x", ";").alias("shown"))
+
+
 def hotel_city_join(spark: SparkSession, folder: str) -> DataFrame:
     h, c = base.hotels(spark, folder), table(spark, folder, "city")
     return h.join(c, F.lower(h["city"]) == F.lower(c["name"])).select(h["id"], c["name"].alias("city"), "district", "province")
