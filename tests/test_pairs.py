@@ -12,7 +12,7 @@ from test_whole import CITY, EVENT, HOTEL, NEWS, SIGNAL
 N = 600
 #: Rows that a query may shuffle over N hotels, N signals and N events that all lie close together, where links by distance are 2 * N * N.
 MOST = 60 * N
-NAMES = ["radius_link_signals", "route_signal_link", "graph_overview_rels", "clear_counts", "graph_network", "event_news_chain", "network_first", "tfidf_questions", "node_neighbours"]
+NAMES = ["radius_link_signals", "route_signal_link", "graph_overview_rels", "clear_counts", "graph_network", "event_news_chain", "network_first", "tfidf_questions", "node_neighbours", "edge_list"]
 
 
 @pytest.fixture(scope="module")
