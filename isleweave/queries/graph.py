@@ -76,7 +76,7 @@ def graph_overview_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_overview_rels(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
-    return base.edge_counts(spark, folder) if whole else g.label_counts(base.edges(spark, folder, whole), "type")
+    return base.graph_counts(spark, folder)[1] if whole else g.label_counts(base.edges(spark, folder, whole), "type")
 
 
 def edge_list(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
@@ -322,8 +322,9 @@ def hourly_signal_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def clear_counts(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """What clearing the graph would delete."""
-    nodes = graph_overview_labels(spark, folder).agg(F.sum("n").alias("n")).select(F.lit("nodes").alias("what"), "n")
-    return nodes.unionByName(graph_overview_rels(spark, folder, whole).agg(F.sum("n").alias("n")).select(F.lit("edges").alias("what"), "n"))
+    nodes, edges = base.graph_counts(spark, folder) if whole else (graph_overview_labels(spark, folder), graph_overview_rels(spark, folder, whole))
+    all_of = lambda d, k: d.agg(F.sum("n").alias("n")).select(F.lit(k).alias("what"), "n")
+    return all_of(nodes, "nodes").unionByName(all_of(edges, "edges"))
 
 
 def placeholder_fix(spark: SparkSession, folder: str) -> DataFrame:
