@@ -28,7 +28,7 @@ def busy(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "most"), [("clear_counts", 1.5 * N), ("graph_overview_rels", 1.5 * N)])
+@pytest.mark.parametrize(("name", "most"), [("clear_counts", 1.5 * N), ("graph_overview_rels", 1.5 * N), ("edge_list", 1.5 * N)])
 def test_signals_are_shuffled_once(spark, busy, name, most):
     got, n = shuffled(spark, lambda: entry.queries()[name](spark, busy).toPandas())
     duckdb = pytest.importorskip("duckdb")
