@@ -44,5 +44,5 @@ def test_lists_of_a_crowded_position_are_split(spark):
     right = spark.range(3000).selectExpr("concat('b', id) AS id", "6.0D AS lat", "80.0D AS lng").unionByName(spark.sql("SELECT 'far' AS id, 7.0D AS lat, 80.0D AS lng"))
     left = spark.sql("SELECT * FROM VALUES ('a', 6.0D, 80.0D), ('c', 6.01D, 80.0D), ('d', 7.0D, 80.0D) t(id, lat, lng)")
     assert proximity.lists_of(right, ["lat", "lng"]).where("lat = 6").count() > 1
-    got = [tuple(r) for r in proximity.near_links(left, right, 5.0).collect()]
+    got = [tuple(r) for r in proximity.near_lists(left, proximity.lists_of(right, ["lat", "lng"]), 5.0).collect()]
     assert len(got) == 6001 and set(got) == {(i, f"b{n}") for i in "ac" for n in range(3000)} | {("d", "far")}
