@@ -105,3 +105,15 @@ def test_retrieve_of_nothing_and_contexts(spark):
 def test_six_systems(spark):
     rows = {r.system: r for r in ranking.question_systems(spark, "/root/testdata/sf0.01").collect()}
     assert set(rows) == {"graph", "filter", "vector", "graph+vector", "graph+filter", "adaptive"} and all(0 <= r.ndcg <= 1 for r in rows.values())
+
+
+def test_every_question_asks(spark):
+    """Ids that are not divisible by 20 too."""
+    folder = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{folder}/documents.parquet").where("doc_type = 'qa' AND text IS NOT NULL AND doc_id IS NOT NULL")
+    q = d.select(F.col("doc_id").alias("question_id"), t.intent(F.col("text"), t.island_city(F.col("city_name"))).alias("i")).where("i.city <> ''")
+    ids = {r.question_id for r in q.collect()}
+    assert any(i % 20 for i in ids) and {r.question_id for r in ranking.question_asks(spark, folder).collect()} == ids
+    asks = {r.ask_id for r in ranking.question_asks(spark, folder).select("ask_id").collect()}
+    got = {r.system: r.asks for r in ranking.question_systems(spark, folder).collect()}
+    assert max(got.values()) <= len(asks) and min(got.values()) > len(asks) / 2
