@@ -117,3 +117,26 @@ def test_every_question_asks(spark):
     asks = {r.ask_id for r in ranking.question_asks(spark, folder).select("ask_id").collect()}
     got = {r.system: r.asks for r in ranking.question_systems(spark, folder).collect()}
     assert max(got.values()) <= len(asks) and min(got.values()) > len(asks) / 2
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    """Candidates and asks of a city that fall into many blocks; also strict bounds against a plain re-computation."""
+    rows = list(candidates(random.Random(5)))
+    c = spark.createDataFrame(rows, CANDIDATE)
+    q = spark.createDataFrame(QUESTIONS, "question_id bigint, question string, city string").select("question_id", t.intent(F.col("question"), F.col("city")).alias("i"))
+    asks = rt.with_weights(rt.asks_of(q)[0], "quiet_seeker", HAPPENING)
+    plain = lambda d, *by: sorted(map(repr, (tuple(r[x] for x in by) for r in d.collect())))
+    want = plain(rt.retrieve(c, asks, 3), "ask_id", "rank", "id", "score", "reasons")
+    monkeypatch.setattr(rt, "CANDIDATES", 6)
+    monkeypatch.setattr(rt, "ASKS", 2)
+    assert want and plain(rt.retrieve(c, asks, 3), "ask_id", "rank", "id", "score", "reasons") == want
+    first, sizes = rt.strictly_filtered(c, asks, 3)
+    bound = lambda v, lo, hi=None: (lo is None or (v is not None and v >= lo)) and (hi is None or (v is not None and v <= hi))
+    order = lambda h: (h["rating5"] is None, -(h["rating5"] or 0), h["price"] is None, h["price"] or 0, h["id"])
+    kept, every = [], []
+    for a in asks.collect():
+        own = sorted((h for h in (r.asDict() for r in c.collect()) if h["city"] == a.city and bound(h["rating5"], a.min_rating) and bound(h["star"], a.min_star) and bound(h["price"], a.min_price, a.max_price)), key=order)
+        kept += [(a.ask_id, i + 1, h["id"]) for i, h in enumerate(own[:3])]
+        n = sum(all(any(w in x for x in h["amen"]) for w in a.amenities) for h in own)
+        every += [(a.ask_id, n)] if n else []
+    assert plain(first, "ask_id", "rank", "id") == sorted(map(repr, kept)) and plain(sizes, "ask_id", "n_all") == sorted(map(repr, every))
